@@ -26,7 +26,7 @@ GAMMA = 1.02
 MIN_GROUP = 200
 FENCE = 4.0
 # Least distance of a fence from its quartile, by metric: a floor for groups that vary little.
-SLACK = {"symbol_ratio": 0.1, "repeat_ratio": 0.1, "dup_line_ratio": 0.2, "word_length": 1.0}
+SLACK = {"symbol_ratio": 0.1, "repeat_ratio": 0.2, "dup_line_ratio": 0.4, "word_length": 1.5}
 LOW_SIDE = {"word_length"}
 
 
