@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snapframe.llm import bpe, grace_dedup, language_id, source_mix
+from snapframe.llm import bpe, grace_dedup, language_id, ngram_join, source_mix
 from snapframe.llm.common import materialise
 from snapframe.session import ship, table
 
@@ -24,6 +24,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return grace_dedup.keep_distinct(docs)
 
 
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays."""
+    ship(spark)
+    return ngram_join.keep_first(docs, words=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, repeated or left out as the sources' targets ask."""
     ship(spark)
@@ -39,6 +45,7 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_copies),
+    ("ngram_join", join_near_copies),
     ("source_mix", mix_sources),
     ("bpe", encode_text),
 ]
