@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapframe.llm import bpe, grace_dedup, language_id, ngram_join, quality_rules, source_mix, toxicity
+from snapframe.llm import bpe, grace_dedup, html_extract, language_id, ngram_join, ordinal_quality, quality_rules, source_mix, toxicity, unit_dedup
 from snapframe.session import table
 
 
@@ -29,6 +29,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,11 +45,30 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_source_mix, op4_language_id, op7_toxicity, op8_bpe, op10_grace_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_ngram_join,
+        op3_source_mix,
+        op4_language_id,
+        op5_html_extract,
+        op6_unit_dedup,
+        op7_toxicity,
+        op8_bpe,
+        op9_ordinal_quality,
+        op10_grace_dedup,
+    )
+}
+
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
