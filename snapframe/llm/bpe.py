@@ -2,7 +2,8 @@
 
 A rolling hash over the bytes of a text picks cut points that depend on nearby content only, so
 texts that share passages share chunks. Every chunk's inner part is encoded once per worker and
-kept in a bounded store that outlives tasks; further documents reuse its ids. A cut may fall
+kept in a bounded store that outlives tasks; further documents reuse its ids. New chunks are
+encoded word by word, and the ids of words are kept in a bounded table in the same way. A cut may fall
 inside a word, so the ids around it are repaired: the span about the cut is re-encoded, growing
 until both ends stand at ASCII white space. There a tokenisation of either side agrees exactly
 with that of the whole text, because pre-tokens, added tokens and NFC composition never cross
@@ -18,6 +19,7 @@ import os
 from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,17 @@ CHUNK_BITS = 9
 LEAST_CHUNK = 128
 STORE_BYTES = 40 << 20
 TOKENIZER_BYTES = 32 << 20
+MEMO_WORDS = 400_000
 
 
 class ChunkStore:
     """Chunk bytes to token ids, least recently used first out, within a byte budget."""
 
     def __init__(self, budget: int = STORE_BYTES):
-        self.ids: OrderedDict[bytes, array] = OrderedDict()
+        self.ids: OrderedDict[bytes, bytes] = OrderedDict()
         self.budget, self.held, self.hits, self.misses = budget, 0, 0, 0
 
-    def get(self, chunk: bytes) -> array | None:
+    def get(self, chunk: bytes) -> bytes | None:
         found = self.ids.get(chunk)
         if found is None:
             self.misses += 1
@@ -48,12 +51,44 @@ class ChunkStore:
             self.ids.move_to_end(chunk)
         return found
 
-    def put(self, chunk: bytes, ids: array) -> None:
+    def put(self, chunk: bytes, ids: bytes) -> None:
         self.ids[chunk] = ids
-        self.held += len(chunk) + 4 * len(ids) + 250
+        self.held += len(chunk) + len(ids) + 250
         while self.held > self.budget:
             old, gone = self.ids.popitem(last=False)
-            self.held -= len(old) + 4 * len(gone) + 250
+            self.held -= len(old) + len(gone) + 250
+
+
+class WordEncoder:
+    """Encodes byte strings that start and end at white space, remembering the ids of words.
+
+    Words are held in two generations of at most `limit` each: when the younger is full it becomes
+    the older, and words still in use move back to the younger.
+    """
+
+    def __init__(self, tokenizer, limit: int = MEMO_WORDS):
+        self.tokenizer, self.limit = tokenizer, limit
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk as native 32-bit words."""
+        split = [c.split() for c in chunks]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        used = set(chain.from_iterable(split)).difference(young)
+        fresh = []
+        for w in used:
+            if (ids := old.get(w)) is None:
+                fresh.append(w)
+            else:
+                young[w] = ids
+        for i in range(0, len(fresh), 8192):
+            part = fresh[i : i + 8192]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            young.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
+        return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
@@ -100,7 +135,7 @@ def pieces(start: int, end: int, cuts: np.ndarray, spaces: np.ndarray) -> Iterat
         yield at, end, True
 
 
-def encode_block(data: np.ndarray, offsets: np.ndarray, tokenizer, store: ChunkStore) -> list[array]:
+def encode_block(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder, store: ChunkStore) -> list[list[int]]:
     """Token ids of each text of a block."""
     cuts, spaces, raw = cut_points(data, offsets), np.flatnonzero(_IS_BREAK[data]), data.tobytes()
     plan: list[list] = []
@@ -116,25 +151,18 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, tokenizer, store: ChunkS
                 known = waiting.setdefault(chunk, len(waiting))
             parts.append(known)
         plan.append(parts)
-    encoded = tokenizer.encode_batch_fast([c.decode() for c in waiting], add_special_tokens=False) if waiting else []
-    fresh = [array("I", e.ids) for e in encoded]
+    fresh = encoder.encode(list(waiting))
     for chunk, i in waiting.items():
         if len(chunk) >= LEAST_CHUNK:
             store.put(chunk, fresh[i])
-    out = []
-    for parts in plan:
-        ids = array("I")
-        for p in parts:
-            ids.extend(fresh[p] if isinstance(p, int) else p)
-        out.append(ids)
-    return out
+    return [np.frombuffer(b"".join([fresh[p] if isinstance(p, int) else p for p in parts]), np.uint32).tolist() for parts in plan]
 
 
 _loaded: dict[str, tuple] = {}
 
 
 def _worker(spec: str):
-    """This worker's tokenizer, decimal names of the ids and chunk store."""
+    """This worker's tokenizer, decimal names of the ids, word encoder and chunk store."""
     name = hashlib.sha256(spec.encode()).hexdigest()
     if name not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,7 +171,7 @@ def _worker(spec: str):
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _loaded[name] = tokenizer, [str(i) for i in range(tokenizer.get_vocab_size())], ChunkStore()
+        _loaded[name] = tokenizer, [str(i) for i in range(tokenizer.get_vocab_size())], WordEncoder(tokenizer), ChunkStore()
     return _loaded[name]
 
 
@@ -158,21 +186,21 @@ def read_tokenizer(path: str) -> str:
 
 def _coder(broadcast, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, names, store = _worker(broadcast.value)
+        tokenizer, names, encoder, store = _worker(broadcast.value)
         for batch in batches:
             column = batch.column("text")
             for first, data, offsets in blocks(column):
-                ids = encode_block(data, offsets, tokenizer, store)
+                ids = encode_block(data, offsets, encoder, store)
                 doc_ids = batch.column("doc_id").slice(first, len(ids))
                 counts = pa.array([len(x) for x in ids], pa.int64())
-                texts = [tokenizer.decode(x.tolist(), skip_special_tokens=False) for x in ids]
+                texts = [tokenizer.decode(x, skip_special_tokens=False) for x in ids]
                 if digests:
                     spelled = [hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in ids]
                     decoded = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
                     columns = [doc_ids, counts, pa.array(spelled, pa.string()), pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    columns = [doc_ids, counts, pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    columns = [doc_ids, counts, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
