@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = BUDGET_SHA
 
     taken = sum((copy(e) for e in range(1, max_repeat)), copy(0))
     mixed = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", time(0).alias("first_time"), time(1).alias("second_time"))
-    return mixed.orderBy(F.col("first_time").asc_nulls_last())
+    return mixed.orderBy(F.col("first_time").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -107,8 +107,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     half = lambda e: F.col("taken") * 2 >= F.col("size") * (2 * e + 1)
     times = F.array_compact(F.array(F.when(half(0), F.col("first_time")), F.when(half(1), F.col("second_time"))))
     copies = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max(times).alias("mix_times"))
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size"))
-    timed = docs.join(copies, same).select(*(docs[c] for c in docs.columns), F.explode("mix_times").alias("mix_time"))
+    packed = docs.select(F.struct("*").alias("row"))
+    size = F.regexp_count(F.coalesce(F.col("row.text"), F.lit("")), F.lit(WORD)).cast("long")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("mix_id")) & F.col("row.source").eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size"))
+    timed = packed.join(copies, same).select("row", F.explode("mix_times").alias("mix_time"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return timed.repartitionByRange(parts, "mix_time").sortWithinPartitions("mix_time").drop("mix_time")
+    return timed.repartitionByRange(parts, "mix_time").sortWithinPartitions("mix_time").select("row.*")
