@@ -70,12 +70,10 @@ def quality_gate(frames: DataFrame, keys: Sequence[str], confidence: str, least:
     return frames.groupBy(*keys).agg(F.avg(confidence).alias("confidence")).filter(F.col("confidence") >= least)
 
 
-def score_reps(reps: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Traits, buckets, grade and letter of every rep; one without frames scores 0 in each trait."""
-    joined = reps.select(*keys).join(features, list(keys), "left")
+def score_reps(reps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Traits, buckets, grade and letter of every rep; one whose `features` are null scores 0 in each trait."""
     empty = F.create_map().cast("map<string,double>")
-    scored = joined.withColumn("traits", scores.trait_map(F.coalesce("features", empty)))
+    scored = reps.withColumn("traits", scores.trait_map(F.coalesce("features", empty)))
     grade = F.aggregate(F.map_values("traits"), F.lit(0.0), lambda s, x: s + x) / F.size("traits")
-    return scored.select(
-        *keys, "traits", F.transform_values("traits", lambda _, x: scores.bucket(x)).alias("buckets"), grade.alias("overall_grade")
-    ).withColumn("letter", scores.letter(F.col("overall_grade")))
+    buckets = F.transform_values("traits", lambda _, x: scores.bucket(x))
+    return scored.select(*keys, "traits", buckets.alias("buckets"), grade.alias("overall_grade")).withColumn("letter", scores.letter(F.col("overall_grade")))

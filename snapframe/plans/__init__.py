@@ -1,0 +1,6 @@
+"""Whole plans: grading, configuration, and the queries over the test tables."""
+
+from snapframe.plans import scoring_queries, sequence_queries  # noqa: F401
+from snapframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
