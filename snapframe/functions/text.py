@@ -24,6 +24,11 @@ BANDWIDTH = ((5, "1080p"), (3, "720p"), (1, "480p"))
 LEVELS = (("nfl", ("nfl", "pro", "national football league")), ("high_school", ("high school", "hs ", "prep")))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times inside `body`."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -79,10 +84,9 @@ def is_accepted_source(address: Column, hosts: tuple[str, ...], extensions: tupl
 
 def team_name(name: Column, aliases: dict[str, str] = ALIASES) -> Column:
     """The first alias, in order, that the name contains; otherwise the name in title case."""
-    lowered, out = F.lower(F.trim(name)), F
-    for part, full in aliases.items():
-        out = out.when(lowered.contains(part), full)
-    return out.otherwise(F.initcap(F.trim(name)))
+    pairs = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(full).alias("full")) for part, full in aliases.items()))
+    found = _let(F.lower(F.trim(name)), lambda n: F.get(F.filter(pairs, lambda p: n.contains(p["part"])), F.lit(0))["full"])
+    return F.coalesce(found, F.initcap(F.trim(name)))
 
 
 def teams(text: Column) -> Column:
@@ -122,17 +126,20 @@ def title_metadata(title: Column, description: Column, last_year: int) -> Column
     """What a title and description tell, with a fixed confidence for each field found."""
     both = F.concat_ws(" ", title, description)
     sure = lambda c, p: F.when(c.isNotNull(), p).otherwise(0.0)
-    sides, when, stage = teams(both), year(both, last_year), playoff_round(both)
-    return F.struct(
-        sides["team1"].alias("team1"),
-        sides["team2"].alias("team2"),
-        sure(sides, 0.8).alias("teams_confidence"),
-        when.alias("year"),
-        sure(when, 0.9).alias("year_confidence"),
-        level(both).alias("level"),
-        stage.alias("cfp_round"),
-        sure(stage, 0.7).alias("cfp_confidence"),
-        F.substring(description, 1, 500).alias("description"),
+    read = _let(both, lambda b: F.struct(teams(b).alias("sides"), year(b, last_year).alias("year"), level(b).alias("level"), playoff_round(b).alias("stage")))
+    return _let(
+        F.struct(read.alias("r"), F.substring(description, 1, 500).alias("description")),
+        lambda x: F.struct(
+            x["r"]["sides"]["team1"].alias("team1"),
+            x["r"]["sides"]["team2"].alias("team2"),
+            sure(x["r"]["sides"], 0.8).alias("teams_confidence"),
+            x["r"]["year"].alias("year"),
+            sure(x["r"]["year"], 0.9).alias("year_confidence"),
+            x["r"]["level"].alias("level"),
+            x["r"]["stage"].alias("cfp_round"),
+            sure(x["r"]["stage"], 0.7).alias("cfp_confidence"),
+            x["description"].alias("description"),
+        ),
     )
 
 
