@@ -7,6 +7,7 @@ occurs inside a multi-byte character, so word boundaries found on bytes are exac
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 # --------------------------------------------------------------------------- shared folder
@@ -61,6 +62,16 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, f)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more.
+
+    The cleaner follows the driver's garbage collections, which may be long apart; a loop of many
+    small jobs calls this so that the disk holds one round's files and not all rounds'.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once per row and use it several times inside `body`."""
     return F.transform(F.array(value), body)[0]
