@@ -15,12 +15,12 @@ _OPERATORS = {"==": "__eq__", ">=": "__ge__", "<=": "__le__", ">": "__gt__", "<"
 
 def scan(spark: SparkSession, base: str, name: str, video_id: str | None = None, where: Sequence[tuple] = (), order_by: str | None = None) -> DataFrame:
     """Rows of a table, of one video if given, under (field, operator, value) conditions; pushed to Parquet."""
+    if bad := [op for _, op, _ in where if op not in _OPERATORS]:
+        raise ValueError(f"{bad[0]}: conditions are one of {', '.join(_OPERATORS)}")
     df = spark.read.schema(TABLES[name]).parquet(f"{base}/{name}")
     if video_id is not None:
         df = df.filter(F.col("video_id") == video_id)
     for field, op, value in where:
-        if op not in _OPERATORS:
-            raise ValueError(f"{op}: conditions are one of {', '.join(_OPERATORS)}")
         df = df.filter(getattr(F.col(field), _OPERATORS[op])(value))
     return df.orderBy(order_by) if order_by else df
 

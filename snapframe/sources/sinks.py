@@ -21,23 +21,18 @@ def checked(rows: DataFrame, name: str) -> DataFrame:
     return good
 
 
-def write_rows(spark: SparkSession, base: str, name: str, rows: DataFrame, version: str) -> DataFrame:
-    """Upsert rows into a table and write the result as <base>/<name>/version=<version>; returns it.
+def write_rows(spark: SparkSession, base: str, name: str, rows: DataFrame, version: str, previous: str | None = None) -> DataFrame:
+    """Upsert rows into a version of a table and write the next: <base>/<name>/version=<version>.
 
-    Each version is written whole and never changed, so that readers and lost tasks see a
-    consistent table; the caller moves on to it by reading `version`.
+    Without `previous` the table starts empty. Each version is written whole and never changed, so
+    that readers and repeated tasks see a consistent table; callers move on by reading `version`.
     """
     required, nullable = KEYS[name]
-    try:
-        base_rows = spark.read.schema(TABLES[name]).parquet(f"{base}/{name}/latest")
-    except Exception as error:  # a table that does not exist yet is empty
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        base_rows = spark.createDataFrame([], TABLES[name])
-    merged = upsert(base_rows, checked(rows, name), list(required), list(nullable))
-    path = f"{base}/{name}/version={version}"
-    merged.write.mode("overwrite").parquet(path)
-    return spark.read.schema(TABLES[name]).parquet(path)
+    path = lambda v: f"{base}/{name}/version={v}"
+    read = lambda v: spark.read.schema(TABLES[name]).parquet(path(v))
+    old = read(previous) if previous is not None else spark.createDataFrame([], TABLES[name])
+    upsert(old, checked(rows, name), list(required), list(nullable)).write.mode("overwrite").parquet(path(version))
+    return read(version)
 
 
 def report_lines(figures: DataFrame, title: str, order: str) -> DataFrame:

@@ -16,23 +16,24 @@ TRACKED = "video_id string, play_index int, frame_index int, detection_index int
 
 
 def _follow_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     tracker = pickle.loads(state.get[0]) if state.exists else TrackerState()
     rows = pd.concat(list(parts))
-    out = follow(tracker, rows)
-    state.update((pickle.dumps(tracker),))
-    state.setTimeoutDuration(600_000)
+    over = rows["bbox"].isna()
+    out = follow(tracker, rows[~over])
+    if over.any():
+        state.remove()
+    else:
+        state.update((pickle.dumps(tracker),))
     yield out[["video_id", "play_index", "frame_index", "detection_index", "track_id"]]
 
 
 def track_stream(detections: DataFrame) -> DataFrame:
-    """Track ids for a stream of detections; each play's tracker is its state, dropped ten minutes after its last frame.
+    """Track ids for a stream of detections; each play's tracker is its state.
 
-    Frames of a play must arrive in order from one micro-batch to the next, whole frames at a time.
+    Frames of a play must arrive in order from one micro-batch to the next, whole frames at a
+    time. A row without bbox ends its play and drops the state.
     """
-    return detections.groupBy("video_id", "play_index").applyInPandasWithState(_follow_group, TRACKED, "tracker binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return detections.groupBy("video_id", "play_index").applyInPandasWithState(_follow_group, TRACKED, "tracker binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
