@@ -165,7 +165,7 @@ def pile_centroid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir)
+    b = boxes(spark, sf_dir).withColumn("frame", F.col("frame") % 3)
     poses = b.filter("track_id % 2 = 0").select("frame", F.col("track_id").alias("pose_id"), "bbox")
     return joins.match_boxes(poses, b.filter("track_id % 2 = 1"), ["frame"]).withColumn("iou", F.round("iou", 6))
 
