@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes of a text picks cut points that depend on nearby content only, so
-texts that share passages share chunks. Every chunk's inner part is encoded once per worker and
-kept in a bounded store that outlives tasks; further documents reuse its ids. New chunks are
+texts that share passages share chunks. Every chunk's inner part is encoded once per task, as
+long as a bounded store holds it; further documents reuse its ids. New chunks are
 encoded word by word, and the ids of words are kept in a bounded table in the same way. A cut may fall
 inside a word, so the ids around it are repaired: the span about the cut is re-encoded, growing
 until both ends stand at ASCII white space. There a tokenisation of either side agrees exactly
@@ -30,7 +30,7 @@ from snapframe.llm.common import _IS_BREAK, _power_tables, _byte_values, blocks,
 WINDOW_BYTES = 16
 CHUNK_BITS = 9
 LEAST_CHUNK = 128
-STORE_BYTES = 40 << 20
+STORE_BYTES = 24 << 20
 TOKENIZER_BYTES = 32 << 20
 MEMO_WORDS = 400_000
 
@@ -51,6 +51,10 @@ class ChunkStore:
             self.ids.move_to_end(chunk)
         return found
 
+    def rest(self) -> None:
+        self.ids.clear()
+        self.held = 0
+
     def put(self, chunk: bytes, ids: bytes) -> None:
         self.ids[chunk] = ids
         self.held += len(chunk) + len(ids) + 250
@@ -71,6 +75,10 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def rest(self) -> None:
+        """Idle workers hold no words: a worker may wait long for its next task, beside others."""
+        self.young, self.old = {}, {}
+
     def encode(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk as native 32-bit words."""
         split = [c.split() for c in chunks]
@@ -202,6 +210,8 @@ def _coder(broadcast, digests: bool):
                 else:
                     columns = [doc_ids, counts, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+        encoder.rest()
+        store.rest()
 
     return run
 
