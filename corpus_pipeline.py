@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from snapframe.llm import bpe, grace_dedup, language_id, ngram_join, source_mix
-from snapframe.llm.common import materialise
+from snapframe.llm.common import materialise, release
 from snapframe.session import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,8 +54,14 @@ ORACLE_SQL = None  # the language model and the tokenizer are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written to the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; each stage's rows are written to the shared folder and reread.
+
+    A stage's rows are deleted once the next stage's are written.
+    """
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if written is not None:
+            release(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
