@@ -34,7 +34,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return unit_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

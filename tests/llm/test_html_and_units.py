@@ -1,7 +1,7 @@
 import html
 import re
 
-from snapframe.llm import html_extract, unit_dedup
+from snapframe.llm import html_extract, queries, unit_dedup
 from snapframe.llm.html_extract import extract
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><div class="cookie-banner">We use cookies, really, yes</div>
@@ -86,3 +86,48 @@ def test_paragraph_units(make_docs):
     text = f"{LINE}\n{LINE}\n\nother"
     found = {r.doc_id: r for r in unit_dedup.repeated_spans(make_docs((1, text), (2, text)), unit="paragraph").collect()}
     assert [tuple(s) for s in found[2].removed] == [(0, 2 * len(LINE) + 1, 1)] and found[1].n_removed == 0
+
+
+def wrapped(words, width):
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_query_finds_passages_whatever_the_lines(spark, make_docs, tmp_path):
+    own = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage = own("é", 54)
+    rows = [
+        (1, wrapped(own("a", 15) + passage + own("b", 80), 70)),
+        (2, wrapped(own("c", 30) + passage + own("d", 9), 15)),
+        (3, "\n\n".join([" ".join(own("e", 5)), wrapped(own("f", 24), 8)])),
+        (4, "\n\n".join([wrapped(own("f", 24), 8), " ".join(own("g", 5))])),
+        (5, " ".join(own("h", 200))),
+        (6, " ".join(["x"] * 300)),
+        (7, None),
+    ]
+    make_docs(*rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op6_unit_dedup(spark, str(tmp_path)).collect()}
+    assert [found[i].n_removed for i in range(1, 8)] == [0, 1, 0, 1, 0, 1, 0]
+    cut = {i: rows[i - 1][1][found[i].removed[0].start : found[i].removed[0].end].split() for i in (2, 4, 6)}
+    assert " ".join(cut[2]) in " ".join(passage) and len(cut[2]) >= 54 - 2 * (unit_dedup.WINDOW - 1) and found[2].removed[0].keep_id == 1
+    assert cut[4] == own("f", 24) and found[4].removed[0].keep_id == 3
+    assert len(cut[6]) == 300 - unit_dedup.PASSAGE_WORDS
+
+
+def test_passages_match_brute_force(make_docs, documents):
+    lower = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    rows = sorted({r.doc_id: r.text for r in documents.collect()}.items())
+    found = {r.doc_id: r.removed for r in unit_dedup.repeated_passages(make_docs(*rows)).collect()}
+    k, sure, ends = unit_dedup.PASSAGE_WORDS, unit_dedup.MIN_WORDS + 2 * (unit_dedup.WINDOW - 1), unit_dedup.WINDOW - 1
+    seen = {}
+    for doc_id, text in rows:
+        words, at = lower(text), [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        gone = {i for s in found[doc_id] for i, (a, b) in enumerate(at) if s.start <= a and b <= s.end}
+        may, must = set(), set()
+        for n in (k, sure):
+            for i in range(len(words) - n + 1):
+                doc, first = seen.setdefault(tuple(words[i : i + n]), (doc_id, i))
+                if n == k and (doc, first) != (doc_id, i):
+                    may |= set(range(i, i + n))
+                if n == sure and (doc != doc_id or first + n <= i):  # else the text overlaps with what it repeats
+                    must |= set(range(i + ends, i + n - ends))
+        assert must <= gone <= may, doc_id
