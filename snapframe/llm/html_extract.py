@@ -1,7 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
-A lenient parser builds the element tree. Boilerplate elements are dropped by tag, role or a
-word of their class or id. Every remaining paragraph passes points for its length and commas to
+A lenient parser builds the element tree. Boilerplate elements are dropped by tag or role, and by
+class or id if that is wholly a boilerplate name. A boilerplate word in a longer name lowers the
+element's score, and drops it only if it is small or mostly links. Names never drop headings,
+paragraphs or what holds most of the page's text. Every remaining paragraph passes points for its length and commas to
 its ancestors, fewer the further up, discounted by its share of link text. The container with
 most points after the same discount is kept, with those siblings that read like content; inside
 an article or main element, that element is the container.
@@ -35,8 +37,13 @@ DROPPED_WORDS = frozenset(
     "menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing sharebar social related recommended recommendations recirc trending popular "
     "comment comments commentlist disqus respond reply replies discussion footer footnav copyright disclaimer masthead topbar toolbar tagcloud skip outbrain taboola".split()
 )
+# Words that also name content: alone they never make a boilerplate name.
+WEAK_WORDS = frozenset("notice notices notification alert promotion rail share sharing social related recommended recommendations trending popular respond reply replies discussion copyright register subscription skip banner overlay consent".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+AFFIXES = frozenset("area list section container wrapper wrap box block bar left right top bottom primary secondary links buttons item items inner outer thread posts articles stories body content text form holder unit slot".split())
+CONTENT_WORDS = frozenset("content main article post story entry page layout site text body".split())
 NEUTRAL_BEFORE = frozenset("has with no without hide".split())
-KEPT_TAGS = frozenset("html body article main".split())
+KEPT_TAGS = frozenset("html body main".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"html", "body"}
@@ -54,15 +61,22 @@ IMPLIED = {
 ANCESTOR_SHARES = (1.0, 0.5, 1 / 3)
 ARTICLE_BONUS = 25.0
 SIBLING_SHARE = 0.2
+PROSE = HEADINGS | {"p", "pre", "blockquote"}
+PARTLY, WHOLLY, COMMENTS = 1, 2, 3
+NAMED_SHARES = (1.0, 0.5, 0.25, 0.25)
+MOST = 0.5
+MOST_COMMENTS = 0.9
+SMALL = 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "commas", "named", "prose")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.dropped = False
+        self.dropped = self.prose = False
+        self.named = 0
         self.points = 0.0
         self.length = self.linked = self.commas = 0
 
@@ -82,14 +96,27 @@ def _is_dropped(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
-            for one in value.split():
-                words = [w.lower() for w in _WORDS.findall(one)]
-                if any(w in DROPPED_WORDS and not (i and words[i - 1] in NEUTRAL_BEFORE) for i, w in enumerate(words)):
-                    return True
     return False
 
 
+def _name(tag: str, attrs: str) -> int:
+    """How far class and id name boilerplate: not at all, in part of a name, by a whole name, or as comments."""
+    if tag in KEPT_TAGS or tag in PROSE or not attrs:
+        return 0
+    found, content = 0, False
+    for m in _ATTR.finditer(attrs):
+        if m[3] or m[1].lower() not in ("class", "id"):
+            continue
+        for one in m[2].strip("\"'").split():
+            words = [w.lower() for w in _WORDS.findall(one)]
+            content |= bool(words) and CONTENT_WORDS.issuperset(words)
+            hits = {w for i, w in enumerate(words) if w in DROPPED_WORDS and not (i and words[i - 1] in NEUTRAL_BEFORE)}
+            if hits:
+                whole = not hits <= WEAK_WORDS and all(w in hits or w in AFFIXES for w in words)
+                found = max(found, (COMMENTS if hits & COMMENT_WORDS else WHOLLY) if whole else PARTLY)
+    return min(found, PARTLY) if content else found
+
+
 def parse(page: str) -> Node:
     """Element tree of a page; dropped elements are marked. Never fails on bad markup."""
     root = Node("html", None)
@@ -138,6 +165,7 @@ def parse(page: str) -> Node:
             del stack[found:]
         node = Node(tag, stack[-1])
         node.dropped = stack[-1].dropped or _is_dropped(tag, attrs, articles > 0)
+        node.named = _name(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -160,8 +188,10 @@ def _nodes(root: Node) -> list[Node]:
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Characters, link characters and commas below each element."""
+    """Characters, link characters and commas below each element, and whether it holds prose."""
     for node in reversed(nodes):
+        node.length = node.linked = node.commas = 0
+        node.prose = node.tag in PROSE
         for child in node.children:
             if isinstance(child, str):
                 text = " ".join(child.split())
@@ -171,6 +201,7 @@ def _measure(nodes: list[Node]) -> None:
                 node.length += child.length
                 node.linked += child.linked
                 node.commas += child.commas
+                node.prose |= child.prose
         if node.tag == "a":
             node.linked = node.length
 
@@ -179,6 +210,17 @@ def _link_share(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
+def _drop_named(nodes: list[Node]) -> bool:
+    """Mark measured elements that their names give away as boilerplate; false if there are none."""
+    total, any_dropped = nodes[0].length, False
+    for node in nodes:
+        if not node.named or node.length > (MOST_COMMENTS if node.named == COMMENTS else MOST) * total:
+            continue
+        if node.named > PARTLY or _link_share(node) > 0.5 or (node.length < SMALL and not node.prose):
+            node.dropped = any_dropped = True
+    return any_dropped
+
+
 def _is_paragraph(node: Node) -> bool:
     if node.tag in PARAGRAPHS:
         return True
@@ -205,7 +247,9 @@ def _score(nodes: list[Node]) -> None:
 def _is_content(sibling: Node, best: float) -> bool:
     if sibling.dropped or not sibling.length:
         return False
-    if sibling.points * (1 - _link_share(sibling)) >= SIBLING_SHARE * best:
+    if sibling.named > PARTLY:
+        return False
+    if sibling.points * NAMED_SHARES[sibling.named] * (1 - _link_share(sibling)) >= SIBLING_SHARE * best:
         return True
     if sibling.tag in HEADINGS:
         return _link_share(sibling) < 0.5
@@ -264,8 +308,11 @@ def extract(page: str | None) -> str:
     _measure(nodes)
     if not root.length:
         return ""
+    if _drop_named(nodes):
+        nodes = _nodes(root)
+        _measure(nodes)
     _score(nodes)
-    value = lambda n: (n.points + (ARTICLE_BONUS if n.tag in ("article", "main") else 0.0)) * (1 - _link_share(n))
+    value = lambda n: (n.points + (ARTICLE_BONUS if n.tag in ("article", "main") else 0.0)) * NAMED_SHARES[n.named] * (1 - _link_share(n))
     best = max((n for n in nodes if n.length and n.tag in BLOCK and n.tag not in PARAGRAPHS), key=value, default=root)
     if best.points <= 0 and best.tag not in ("article", "main"):
         best = root

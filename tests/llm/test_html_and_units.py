@@ -21,6 +21,18 @@ def test_siblings_of_the_best_container_are_kept():
     assert text.startswith("Lead, short.") and text.endswith("Tail text.") and "a b c" not in text
 
 
+def test_names_drop_boilerplate_only():
+    body = "<h1>Title</h1><p>" + "Long text, with commas. " * 20 + "</p><p>Second text, long enough.</p>"
+    whole = "Title\n\n" + ("Long text, with commas. " * 20).strip() + "\n\nSecond text, long enough."
+    for wrapper in ("class='content sidebar-right'", "id='wrapper' class='nav-fixed'", "class='layout menu-open'", "class=modal"):
+        assert extract(f"<body><div {wrapper}>{body}</div></body>") == whole
+    page = f"<body><article>{body}<section id='social-impact'><h2 id='discussion'>Impact</h2><p>More.</p></section><div class='post-share-row'><a href=1>Send it</a></div></article>"
+    assert extract(page) == whole + "\n\nImpact\n\nMore."
+    comment = "<article class='comment'><p>Nice post, really, with, many, commas.</p></article>"
+    assert extract(f"<body><article>{body}{comment}</article>{comment * 9}</body>") == whole
+    assert extract(f"<body><div class=content>{body}<div class='sidebar right'><p>Other, words, here.</p></div></div><div class=comments-area>{comment * 40}</div>") == whole
+
+
 def test_broken_markup_never_fails():
     for page in ("", " ", "<", "<p>", "</p></p>x", "<a href='x", "<script>x", "a<b", "<b>bold", "<div " * 500, '<a "' * 2000, "<div>" * 5000 + "x", "<!-- open", "<td>a<td>b"):
         assert isinstance(extract(page), str)
