@@ -102,6 +102,16 @@ def queue_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.existence(a, b, "k", "in_videos", "in_queue")
 
 
+@query("""
+    SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_videos, b.k IS NOT NULL AS in_queue
+    FROM (SELECT DISTINCT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS k FROM orders) b ON a.k = b.k""")
+def whole_queue_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers against all orders; customers of pending orders count as unknown videos."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    b = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("k"))
+    return joins.existence(a, b, "k", "in_videos", "in_queue")
+
+
 @query("""
     SELECT c_custkey, s_suppkey, round(sqrt(pow(c_acctbal - s_acctbal, 2) + pow(c_custkey % 500 - s_suppkey % 500, 2)), 6) AS distance
     FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE sqrt(pow(c_acctbal - s_acctbal, 2) + pow(c_custkey % 500 - s_suppkey % 500, 2)) <= 400""")
@@ -247,6 +257,19 @@ def upserted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert(base, changes, ["o_orderkey"], ["o_custkey"])
 
 
+@query("""
+    WITH b AS (SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS o_custkey, o_totalprice, o_orderstatus FROM orders)
+    SELECT coalesce(b.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_custkey ELSE b.o_custkey END AS o_custkey, coalesce(n.o_totalprice, b.o_totalprice) AS o_totalprice, b.o_orderstatus
+    FROM b FULL JOIN (SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE -o_orderkey END AS o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice FROM b) n
+    ON b.o_orderkey = n.o_orderkey AND b.o_custkey IS NOT DISTINCT FROM n.o_custkey""")
+def whole_upserted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, with a change from each: finished ones are updated, the rest come in under new keys."""
+    k, cust = F.col("o_orderkey"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey")).alias("o_custkey")
+    base = table(spark, sf_dir, "orders").select(k, cust, "o_totalprice", "o_orderstatus")
+    changes = base.select(F.when(F.col("o_orderstatus") == "F", k).otherwise(-k).alias("o_orderkey"), "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    return upsert.upsert(base, changes, ["o_orderkey"], ["o_custkey"])
+
+
 @query("""
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT (o_custkey % 3 = 0 AND o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 2000)
     UNION ALL SELECT o_orderkey, o_custkey, -1 FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 10""")
@@ -257,6 +280,18 @@ def replaced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.replace_range(o, fresh, "o_custkey", "o_orderkey", spans)
 
 
+@query("""
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 2000
+    UNION ALL SELECT o_orderkey, o_custkey, -1 FROM orders WHERE o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 2000""")
+def whole_replaced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all customers; every order in its customer's span is replaced."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    low = F.col("c_custkey") * 5
+    spans = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), low.alias("low"), (low + 2000).alias("high"))
+    fresh = o.filter(F.col("o_orderkey").between(F.col("o_custkey") * 5, F.col("o_custkey") * 5 + 2000)).withColumn("o_totalprice", F.lit(-1.0))
+    return upsert.replace_range(o, fresh, "o_custkey", "o_orderkey", spans)
+
+
 @query("""
     WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
     SELECT 'orders' AS name, count(*) AS rows FROM orders WHERE o_custkey NOT IN (FROM gone) UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey NOT IN (FROM gone)""")
@@ -279,6 +314,19 @@ def inserted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.insert_new(base, rows, ["o_custkey"], ["play"], F.col("o_orderstatus") != "F")
 
 
+@query("""
+    WITH b AS (SELECT o_custkey, CASE WHEN o_custkey % 2 > 0 THEN o_custkey % 5 END AS play, o_orderstatus FROM orders)
+    SELECT o_custkey, play, o_orderstatus FROM b
+    UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 > 0 THEN c_custkey % 5 END, 'new' FROM customer c
+    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.o_custkey = c.c_custkey AND b.o_orderstatus <> 'F' AND b.play IS NOT DISTINCT FROM CASE WHEN c.c_custkey % 2 > 0 THEN c.c_custkey % 5 END)""")
+def whole_inserted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as jobs, and a new job for each customer without an unfinished one."""
+    play = lambda c: F.when(F.col(c) % 2 > 0, F.col(c) % 5).alias("play")
+    base = table(spark, sf_dir, "orders").select("o_custkey", play("o_custkey"), "o_orderstatus")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), play("c_custkey"), F.lit("new").alias("o_orderstatus"))
+    return upsert.insert_new(base, rows, ["o_custkey"], ["play"], F.col("o_orderstatus") != "F")
+
+
 @query("""
     SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS k, CASE WHEN event_id % 2 = 0 THEN event_type END AS t FROM events""")
 def merged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:

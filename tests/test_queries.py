@@ -35,3 +35,13 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= 0
+
+
+def test_table_changes_take_every_row(spark, sf_dir):
+    keys = lambda t, c: {r[0] for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(c).collect()}
+    got = lambda name, c: {r[0] for r in QUERIES[name](spark, sf_dir).select(c).collect()}
+    orders, customers = keys("orders", "o_orderkey"), keys("customer", "c_custkey")
+    assert orders <= got("whole_upserted_orders", "o_orderkey") and orders == got("whole_replaced_ranges", "o_orderkey")
+    assert customers <= got("whole_queue_integrity", "k")
+    jobs = QUERIES["whole_inserted_jobs"](spark, sf_dir)
+    assert jobs.filter("o_orderstatus <> 'new'").count() == len(orders)
