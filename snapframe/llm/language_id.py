@@ -48,6 +48,10 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     for j in range(GRAM_BYTES):
         found |= padded[j : n + j].astype(np.uint32) << np.uint32(8 * j)
     bounds = offsets + 2 * np.arange(len(offsets))
+    for d in range(1, GRAM_BYTES):  # what follows a text is blank to it, and not the next text
+        at = bounds[1:][np.diff(bounds) >= d] - d
+        own = (1 << 8 * d) - 1
+        found[at] = (found[at] & np.uint32(own)) | np.uint32(0x20202020 & ~own & 0xFFFFFFFF)
     return found, bounds
 
 
@@ -124,8 +128,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in sorted(set(langs)):
             rows = batch.filter(pa.array(langs == lang)).column("text")
             parts = [grams(data, offsets)[0] for _, data, offsets in blocks(rows)]
+            parts = [p[p != 0x20202020] for p in parts]  # blanks alone tell no language
             found, n = np.unique(np.concatenate(parts), return_counts=True)
-            n, found = n[n > 1], found[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
@@ -189,11 +193,15 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-LEAST_SCORE = 0.3
+LEAST_SCORE = 1.2
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The input's rows and columns whose language can be told: not `und`, score LEAST_SCORE or more."""
+    """The input's rows and columns whose language can be told: not `und`, score LEAST_SCORE / languages or more.
+
+    A text that hits no filter scores 1 / languages, and with two languages or more it goes however
+    many there are; with one language nothing can be told apart and every text with a letter stays.
+    """
     model = learn(docs.filter((fold(4) != 2) & F.col("lang").isNotNull()))
     known = identify(docs.select(F.struct("*").alias("row"), "text"), model)
-    return known.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return known.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min(1.0, LEAST_SCORE / max(1, len(model.languages))))).select("row.*")

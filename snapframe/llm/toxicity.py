@@ -188,12 +188,15 @@ def train_chain(features: list[np.ndarray], labels: np.ndarray, lengths: np.ndar
     return Chain(params[:n_features].copy(), float(params[n_features]), params[n_features + 1 :].reshape(2, 2).copy())
 
 
-def _windows(docs: list[tuple[int, np.ndarray, np.ndarray, int]]):
-    """Training windows: each around one lexicon token, holding its neighbours' features and labels."""
+def _windows(docs: list[tuple[int, np.ndarray, np.ndarray, int]], max_windows: int = MAX_WINDOWS):
+    """Training windows: each around one lexicon token, holding its neighbours' features and labels.
+
+    Of more than `max_windows` tokens that many are drawn by a hash of their place.
+    """
     steps = 2 * WINDOW + 1
     spans = [(d, p) for d, (_, tokens, _, _) in enumerate(docs) for p in np.unique(tokens).tolist()]
-    if len(spans) > MAX_WINDOWS:
-        keep = np.argsort(mix64(np.arange(len(spans), dtype=np.uint64)))[:MAX_WINDOWS]
+    if len(spans) > max_windows:
+        keep = np.argsort(mix64(np.arange(len(spans), dtype=np.uint64)))[:max_windows]
         spans = [spans[i] for i in keep]
     labels, lengths = np.zeros((len(spans), steps), np.int64), np.zeros(len(spans), np.int64)
     cells: list[list[tuple[int, int]]] = [[] for _ in range(steps)]
@@ -277,11 +280,12 @@ def _training_hits(shared):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, max_windows: int = MAX_WINDOWS) -> ToxicityModel:
     """Fit on the documents that `labels` (doc_id, toxic) covers.
 
     About SAMPLE_TOXIC toxic and SAMPLE_CLEAN other documents are used, chosen by a hash of
     doc_id; that bounds the broadcast of labels and everything that reaches the driver.
+    The chain is trained on at most `max_windows` windows around their lexicon tokens.
     """
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -307,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = texts.mapInArrow(_training_hits(shared), "toxic int, n long, tokens array<long>, features array<long>").collect()
     rows.sort(key=lambda r: (r["toxic"], r["n"], r["tokens"], r["features"]))
     hits = [(r["n"], np.array(r["tokens"], np.int64), np.array(r["features"], np.int64), r["toxic"]) for r in rows]
-    chain = train_chain(*_windows(hits), len(lexicon.hashes))
+    chain = train_chain(*_windows(hits, max_windows), len(lexicon.hashes))
     x = []
     for n, tokens, features, _ in hits:
         at, first = np.unique(tokens, return_index=True)

@@ -83,6 +83,29 @@ def test_language_edges(make_docs, documents):
     assert {r.lang_pred for r in language_id.identify_documents(make_docs((1, "abc", None))).collect()} == {"und"}
 
 
+def test_language_model_does_not_follow_partitions(documents):
+    docs = documents.select("doc_id", "text", "lang").filter("lang IS NOT NULL")
+    scores = []
+    for parts in (1, 60):
+        model = language_id.learn(docs.repartition(parts, "doc_id"))
+        scores.append(sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()))
+    assert scores[0] == scores[1]
+
+
+def test_texts_without_hits_go_whatever_the_languages(make_docs, documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    for n in (2, 3, 4):
+        langs = sorted({r[2] for r in rows})[:n]
+        few = [r for r in rows if r[2] in langs]
+        kept = {r.doc_id for r in language_id.keep_identified(make_docs(*few, (10_003, "漢字", None))).collect()}
+        assert 10_003 not in kept and len(kept) > 0.9 * len(few)
+
+
+def test_training_windows_are_a_parameter():
+    docs = [(50, np.arange(40), np.zeros(40, np.int64), 1)]
+    assert [len(toxicity._windows(docs, n)[2]) for n in (10, 100)] == [10, 40]
+
+
 def test_filters_return_all_languages_and_correct_false_hits():
     grams = {f"l{i:03d}": np.arange(i * 50, i * 50 + 100, dtype=np.uint32) for i in range(70)}
     model = language_id.LanguageFilter.build(grams, dict.fromkeys(grams, 1), bits=14)
