@@ -1,106 +1,112 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes of a text picks cut points that depend on nearby content only, so
-texts that share passages share chunks. Every chunk's inner part is encoded once per task, as
-long as a bounded store holds it; further documents reuse its ids. New chunks are
-encoded word by word, and the ids of words are kept in a bounded table in the same way. A cut may fall
-inside a word, so the ids around it are repaired: the span about the cut is re-encoded, growing
-until both ends stand at ASCII white space. There a tokenisation of either side agrees exactly
-with that of the whole text, because pre-tokens, added tokens and NFC composition never cross
-such white space. Cuts without white space between them share one repaired span.
-
-Whole texts are encoded, and each document's ids are exactly those of the tokenizers library.
+texts that share passages share chunks. A chunk is encoded by itself once per task, as long as a
+bounded store holds it; later documents reuse its ids. A cut may fall anywhere, so the ids around
+it are repaired: the last pre-tokens of the left chunk and the first of the right one are encoded
+again as one span, which grows until its first pre-token is exactly that of the left chunk and its
+last one exactly that of the right chunk, in ids and place. Pre-tokens are found by scanning
+forward and are encoded one by one, so where two scans stand at one place they go on alike; the
+ids before and after the span are therefore those of the whole text. Added tokens are matched in
+the raw text before that, so no cut is made inside one. Chunks whose spans do not agree within
+REACH pre-tokens, or overlap, are joined and encoded as one.
+
+This holds for any tokenizer whose pre-tokenizer scans forward, with white space in its tokens or
+without. Whole texts are encoded, and each document's ids are exactly those of the library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from snapframe.llm.common import _IS_BREAK, _power_tables, _byte_values, blocks, mix64
+from snapframe.llm.common import _byte_values, _power_tables, blocks, mix64
 
 WINDOW_BYTES = 16
 CHUNK_BITS = 9
 LEAST_CHUNK = 128
 STORE_BYTES = 24 << 20
 TOKENIZER_BYTES = 32 << 20
-MEMO_WORDS = 400_000
+FIRST_REACH = 2
+REACH = 8
+
+
+class Chunk(NamedTuple):
+    """A chunk's text and ids; ends of its first pre-tokens and starts of its last ones, nearest to the cut first.
+
+    Both hold (token, character) places: tokens before an end, tokens before a start.
+    """
+
+    text: str
+    ids: array
+    ends: list[tuple[int, int]]
+    starts: list[tuple[int, int]]
 
 
 class ChunkStore:
-    """Chunk bytes to token ids, least recently used first out, within a byte budget."""
+    """Chunk bytes to encoded chunks, least recently used first out, within a byte budget."""
 
     def __init__(self, budget: int = STORE_BYTES):
-        self.ids: OrderedDict[bytes, bytes] = OrderedDict()
+        self.chunks: OrderedDict[bytes, Chunk] = OrderedDict()
         self.budget, self.held, self.hits, self.misses = budget, 0, 0, 0
 
-    def get(self, chunk: bytes) -> bytes | None:
-        found = self.ids.get(chunk)
+    def get(self, raw: bytes) -> Chunk | None:
+        found = self.chunks.get(raw)
         if found is None:
             self.misses += 1
         else:
             self.hits += 1
-            self.ids.move_to_end(chunk)
+            self.chunks.move_to_end(raw)
         return found
 
     def rest(self) -> None:
-        self.ids.clear()
+        """Idle workers hold no chunks: a worker may wait long for its next task, beside others."""
+        self.chunks.clear()
         self.held = 0
 
-    def put(self, chunk: bytes, ids: bytes) -> None:
-        self.ids[chunk] = ids
-        self.held += len(chunk) + len(ids) + 250
-        while self.held > self.budget:
-            old, gone = self.ids.popitem(last=False)
-            self.held -= len(old) + len(gone) + 250
-
+    @staticmethod
+    def _size(raw: bytes, chunk: Chunk) -> int:
+        return 6 * len(raw) + 4 * len(chunk.ids) + 130 * (len(chunk.ends) + len(chunk.starts)) + 600
 
-class WordEncoder:
-    """Encodes byte strings that start and end at white space, remembering the ids of words.
-
-    Words are held in two generations of at most `limit` each: when the younger is full it becomes
-    the older, and words still in use move back to the younger.
-    """
-
-    def __init__(self, tokenizer, limit: int = MEMO_WORDS):
-        self.tokenizer, self.limit = tokenizer, limit
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def rest(self) -> None:
-        """Idle workers hold no words: a worker may wait long for its next task, beside others."""
-        self.young, self.old = {}, {}
-
-    def encode(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each chunk as native 32-bit words."""
-        split = [c.split() for c in chunks]
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        used = set(chain.from_iterable(split)).difference(young)
-        fresh = []
-        for w in used:
-            if (ids := old.get(w)) is None:
-                fresh.append(w)
-            else:
-                young[w] = ids
-        for i in range(0, len(fresh), 8192):
-            part = fresh[i : i + 8192]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            young.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
-        return [b"".join(map(young.__getitem__, words)) for words in split]
+    def put(self, raw: bytes, chunk: Chunk) -> None:
+        if raw in self.chunks:
+            return
+        self.chunks[raw] = chunk
+        self.held += self._size(raw, chunk)
+        while self.held > self.budget:
+            self.held -= self._size(*self.chunks.popitem(last=False))
+
+
+def encode_chunk(text: str, encoding) -> Chunk:
+    """A chunk from what the library made of its text."""
+    words, ids = encoding.word_ids, array("I", encoding.ids)
+    n, ends, starts = len(ids), [], []
+    at = 0
+    while at < n and len(ends) < REACH:
+        at += 1
+        if at == n or words[at] != words[at - 1]:
+            ends.append((at, encoding.token_to_chars(at - 1)[1]))
+    at = n
+    while at > 0 and len(starts) < REACH:
+        at -= 1
+        if at == 0 or words[at] != words[at - 1]:
+            starts.append((at, encoding.token_to_chars(at)[0]))
+    return Chunk(text, ids, ends, starts)
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
-    """Positions of a block after which a chunk ends: windows of bytes whose hash ends in zeros."""
+    """Positions of a block after which a chunk ends: after windows of bytes whose hash ends in zeros, between characters."""
     n = len(data)
     if n < WINDOW_BYTES:
         return np.zeros(0, np.int64)
@@ -111,78 +117,174 @@ def cut_points(data: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) ->
     hashes = mix64((sums[WINDOW_BYTES:] - sums[:-WINDOW_BYTES]) * inverse[: n - WINDOW_BYTES + 1])
     cuts = np.flatnonzero(hashes & np.uint64((1 << bits) - 1) == 0) + WINDOW_BYTES
     row = np.searchsorted(offsets, cuts, "left") - 1
-    return cuts[cuts - WINDOW_BYTES >= offsets[row]]
+    cuts = cuts[cuts - WINDOW_BYTES >= offsets[row]]
+    return cuts[(cuts == n) | ((data[np.minimum(cuts, n - 1)] & 0xC0) != 0x80)]
 
 
-def pieces(start: int, end: int, cuts: np.ndarray, spaces: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """Split a text at [start, end) into (from, to, shared): chunk interiors and repaired joins."""
-    at, last = start, start
-    left = right = None  # the open join
+def _spread(start: int, end: int, cuts: np.ndarray) -> list[int]:
+    """Chunk bounds of the text at [start, end): chunks hold LEAST_CHUNK bytes or more, but for the last."""
+    bounds = [start]
     for cut in cuts.tolist():
-        if cut - last < LEAST_CHUNK or cut >= end:
-            continue
-        last = cut
-        i = int(np.searchsorted(spaces, cut))
-        low = max(int(spaces[i - 1]), start) if i else start
-        high = min(int(spaces[i]), end) if i < len(spaces) else end
-        if left is not None and low <= right:
-            right = max(right, high)
-            continue
-        if left is not None:
-            yield left, right, False
-            at = right
-        if low > at:
-            yield at, low, True
-            left, right = low, high
-        else:
-            left, right = at, high
-    if left is not None:
-        yield left, right, False
-        at = right
-    if end > at:
-        yield at, end, True
+        if cut - bounds[-1] >= LEAST_CHUNK and cut < end:
+            bounds.append(cut)
+    return [*bounds, end]
+
+
+def _outside(cuts: np.ndarray, raw: bytes, tokens: list[bytes]) -> np.ndarray:
+    """The cuts that fall into no added token's text: such a text is one token wherever it stands."""
+    for token in tokens:
+        at, places = raw.find(token), []
+        while at >= 0:
+            places.append(at)
+            at = raw.find(token, at + 1)
+        if places:
+            before = np.array([-len(raw), *places])
+            inside = cuts - before[np.searchsorted(before, cuts, "left") - 1]
+            cuts = cuts[inside >= len(token)]
+    return cuts
+
+
+class Join:
+    """The span about the cut between two neighbouring chunks, being repaired."""
+
+    def __init__(self, left: Chunk, right: Chunk):
+        self.left, self.right, self.reach, self.ids = left, right, 0, None  # without ids in the end: the chunks must be joined
+
+    def widen(self) -> str | None:
+        """Text of the next span to try, or None if there is none."""
+        longest = max(len(self.left.starts), len(self.right.ends))
+        if self.reach >= min(REACH, longest) or not self.left.starts or not self.right.ends:
+            return None
+        self.reach = min(REACH, 2 * self.reach or FIRST_REACH)
+        (self.first, a), (self.last, b) = self.left.starts[: self.reach][-1], self.right.ends[: self.reach][-1]
+        return self.left.text[a:] + self.right.text[:b]
+
+    def agrees(self, encoding) -> bool:
+        """Whether the span's first pre-token is the left chunk's and its last one the right chunk's."""
+        words, ids = encoding.word_ids, encoding.ids
+        n = len(ids)
+        if not n or words[0] == words[-1]:
+            return False
+        one = next(i for i in range(n) if words[i] != words[0])
+        two = next(i for i in range(n - 1, -1, -1) if words[i] != words[-1]) + 1
+        (_, a), (_, b) = self.left.starts[: self.reach][-1], self.right.ends[: self.reach][-1]
+        shift = len(self.left.text) - a  # where the right chunk begins in the span
+        ends, starts = self.left.starts[: self.reach], self.right.ends[: self.reach]
+        if len(ends) < 2 or len(starts) < 2:
+            return False
+        own, other = ends[-2], starts[-2]  # the next pre-token of the left chunk, the one before of the right chunk
+        left_ids, right_ids = self.left.ids[self.first : own[0]].tolist(), self.right.ids[other[0] : self.last].tolist()
+        same_left = ids[:one] == left_ids and encoding.token_to_chars(one - 1)[1] + a <= own[1]
+        same_right = ids[two:] == right_ids and encoding.token_to_chars(two)[0] - shift >= other[1] and encoding.token_to_chars(n - 1)[1] - shift == b
+        return same_left and same_right
+
+
+def _encode(tokenizer, texts: list[str]) -> list:
+    return tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
+
+
+def _repair(tokenizer, joins: list[Join]) -> None:
+    waiting = joins
+    while waiting:
+        spans = [(j, text) for j in waiting if (text := j.widen()) is not None]
+        waiting = []
+        for (join, _), encoding in zip(spans, _encode(tokenizer, [t for _, t in spans]), strict=True):
+            if join.agrees(encoding):
+                join.ids = array("I", encoding.ids)
+            else:
+                waiting.append(join)
 
 
-def encode_block(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder, store: ChunkStore) -> list[list[int]]:
+def encode_block(data: np.ndarray, offsets: np.ndarray, tokenizer, store: ChunkStore) -> list[list[int]]:
     """Token ids of each text of a block."""
-    cuts, spaces, raw = cut_points(data, offsets), np.flatnonzero(_IS_BREAK[data]), data.tobytes()
-    plan: list[list] = []
-    waiting: dict[bytes, int] = {}
+    raw = data.tobytes()
+    cuts = _outside(cut_points(data, offsets), raw, [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()])
+    texts: list[list[bytes]] = []
+    known: dict[bytes, Chunk] = {}
+    fresh: dict[bytes, str] = {}
     for r in range(len(offsets) - 1):
         start, end = int(offsets[r]), int(offsets[r + 1])
-        own = cuts[np.searchsorted(cuts, start, "right") : np.searchsorted(cuts, end, "right")]
-        parts: list = []
-        for a, b, shared in pieces(start, end, own, spaces):
-            chunk = raw[a:b]
-            known = store.get(chunk) if shared else None
-            if known is None:
-                known = waiting.setdefault(chunk, len(waiting))
-            parts.append(known)
-        plan.append(parts)
-    fresh = encoder.encode(list(waiting))
-    for chunk, i in waiting.items():
-        if len(chunk) >= LEAST_CHUNK:
-            store.put(chunk, fresh[i])
-    return [np.frombuffer(b"".join([fresh[p] if isinstance(p, int) else p for p in parts]), np.uint32).tolist() for parts in plan]
+        bounds = _spread(start, end, cuts[np.searchsorted(cuts, start, "right") : np.searchsorted(cuts, end, "left")])
+        parts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+        for part in parts:
+            if part not in known and part not in fresh:
+                if (held := store.get(part)) is not None:
+                    known[part] = held
+                else:
+                    fresh[part] = part.decode()
+            else:
+                store.hits += 1
+        texts.append(parts)
+    for (part, text), encoding in zip(fresh.items(), _encode(tokenizer, list(fresh.values())), strict=True):
+        known[part] = encode_chunk(text, encoding)
+        if len(part) >= LEAST_CHUNK:
+            store.put(part, known[part])
+    pairs = {(a, b) for parts in texts for a, b in zip(parts[:-1], parts[1:], strict=True)}
+    joins = {(a, b): Join(known[a], known[b]) for a, b in pairs}
+    _repair(tokenizer, list(joins.values()))
+    return [_assemble(parts, known, joins, tokenizer) for parts in texts]
+
+
+def _assemble(parts: list[bytes], known: dict[bytes, Chunk], joins: dict[tuple[bytes, bytes], Join], tokenizer) -> list[int]:
+    """One text's ids: runs of chunks that could not be told apart are encoded whole, joins between others are put in."""
+    groups: list[list[bytes]] = []
+    for i, part in enumerate(parts):
+        if i and (joins[parts[i - 1], part].ids is None or _overlap(parts, i, joins)):
+            groups[-1].append(part)
+        else:
+            groups.append([part])
+    if len(groups) == len(parts):
+        return _linked(parts, known, joins)
+    # Chunks joined to larger ones meet their neighbours anew.
+    whole = [b"".join(g) for g in groups]
+    larger = {w: known[w] if w in known else encode_chunk(w.decode(), _encode(tokenizer, [w.decode()])[0]) for w in whole}
+    again = {(a, b): Join(larger[a], larger[b]) for a, b in zip(whole[:-1], whole[1:], strict=True)}
+    _repair(tokenizer, list(again.values()))
+    if len(whole) == 1:
+        return larger[whole[0]].ids.tolist()
+    return _assemble(whole, larger, again, tokenizer)
+
+
+def _overlap(parts: list[bytes], i: int, joins: dict[tuple[bytes, bytes], Join]) -> bool:
+    """Whether the spans at both ends of chunk i - 1 meet."""
+    if i < 2 or (before := joins[parts[i - 2], parts[i - 1]]).ids is None:
+        return False
+    return before.last > joins[parts[i - 1], parts[i]].first
+
+
+def _linked(parts: list[bytes], known: dict[bytes, Chunk], joins: dict[tuple[bytes, bytes], Join]) -> list[int]:
+    ids, begin = array("I"), 0
+    for i, part in enumerate(parts):
+        join = joins[part, parts[i + 1]] if i + 1 < len(parts) else None
+        ids.extend(known[part].ids[begin : join.first if join else None])
+        if join:
+            ids.extend(join.ids)
+            begin = join.last
+    return ids.tolist()
 
 
 _loaded: dict[str, tuple] = {}
 
 
 def _worker(spec: str):
-    """This worker's tokenizer, decimal names of the ids, word encoder and chunk store."""
+    """This worker's tokenizer, decimal names of the ids and chunk store."""
     name = hashlib.sha256(spec.encode()).hexdigest()
     if name not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec)
+        tokenizer = Tokenizer.from_str(without_trimming(spec))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _loaded[name] = tokenizer, [str(i) for i in range(tokenizer.get_vocab_size())], WordEncoder(tokenizer), ChunkStore()
+        _loaded[name] = tokenizer, [str(i) for i in range(tokenizer.get_vocab_size())], ChunkStore()
     return _loaded[name]
 
 
+def without_trimming(spec: str) -> str:
+    """The tokenizer without post-processor, which adds no ids here but may move the places of tokens."""
+    return json.dumps(json.loads(spec) | {"post_processor": None})
+
+
 def read_tokenizer(path: str) -> str:
     """A tokenizer file's text, which is broadcast; its size is checked."""
     with open(path, encoding="utf-8") as f:
@@ -194,39 +296,43 @@ def read_tokenizer(path: str) -> str:
 
 def _coder(broadcast, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, names, encoder, store = _worker(broadcast.value)
+        tokenizer, names, store = _worker(broadcast.value)
         for batch in batches:
-            column = batch.column("text")
-            for first, data, offsets in blocks(column):
-                ids = encode_block(data, offsets, encoder, store)
-                doc_ids = batch.column("doc_id").slice(first, len(ids))
+            at = batch.schema.get_field_index("text")
+            for first, data, offsets in blocks(batch.column(at)):
+                ids = encode_block(data, offsets, tokenizer, store)
+                kept = [c.slice(first, len(ids)) for i, c in enumerate(batch.columns) if i != at]
                 counts = pa.array([len(x) for x in ids], pa.int64())
                 texts = [tokenizer.decode(x, skip_special_tokens=False) for x in ids]
+                lists, more = pa.array(ids, pa.list_(pa.int32())), ["ids", "decoded"]
                 if digests:
                     spelled = [hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in ids]
                     decoded = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                    columns = [doc_ids, counts, pa.array(spelled, pa.string()), pa.array(decoded, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    columns, more = [pa.array(spelled, pa.string()), pa.array(decoded, pa.string()), lists], ["ids_sha256", "decoded_sha256", "ids"]
                 else:
-                    columns = [doc_ids, counts, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
-        encoder.rest()
+                    columns = [lists, pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([*kept, counts, *columns], [*(f.name for i, f in enumerate(batch.schema) if i != at), "n_tokens", *more])
         store.rest()
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids, decoded.
+def _coded(docs: DataFrame, tokenizer_path: str, digests: bool, carry: tuple[str, ...], added: str) -> DataFrame:
+    spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    schema = T.StructType([*(f for f in read.schema.fields if f.name != "text"), *T._parse_datatype_string(added).fields])
+    return read.mapInArrow(_coder(spec, digests), schema)
+
+
+def encode(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, the columns of `carry`, n_tokens, ids, decoded.
 
     Null and empty texts have no tokens and decode to ''. Rows are coded one by one, so repeated
-    rows give equal results and empty input gives an empty result; extra columns are ignored.
+    rows give equal results and empty input gives an empty result; other columns are ignored.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(_coder(spec, False), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return _coded(docs, tokenizer_path, False, carry, "n_tokens long, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """As encode(), with SHA-256 digests in place of ids and decoded text."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(_coder(spec, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digests(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As encode(), with SHA-256 digests of ids and decoded text, and the ids last: doc_id, ..., n_tokens, ids_sha256, decoded_sha256, ids."""
+    return _coded(docs, tokenizer_path, True, carry, "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ BLOCK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder every executor sees: spark.checkpoint.dir, or, in local mode only, one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="snapframe-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -72,6 +75,13 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores added until no column of that name is there."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once per row and use it several times inside `body`."""
     return F.transform(F.array(value), body)[0]

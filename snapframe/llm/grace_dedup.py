@@ -179,7 +179,11 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 def keep_distinct(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The input's columns with exactly one row, that of the largest doc_id, of each group of
-    equal texts. Whole rows travel through the tables, so nothing is joined back."""
+    equal texts. Whole rows travel through the tables, so nothing is joined back.
+
+    Null text counts as empty and a null doc_id is the smallest; of rows that tie any one stays.
+    Empty input gives an empty result; extra columns of any name are carried along.
+    """
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select("text", F.col("doc_id").cast("long").alias("keep_id"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("payload"))
     kept = resolve_copies(packed, True, table_bytes)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapframe.llm.common import blocks, mix64
+from snapframe.llm.common import blocks, free_name, mix64
 
 GRAM_BYTES = 4
 K_HASHES = 2
@@ -158,13 +158,14 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, per_language: int
 
 
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """The input's columns with lang_pred and score added; no shuffle.
+    """The input's columns with lang_pred and score added (lang_pred_, score_ where such columns exist); no shuffle.
 
     Null or empty texts and texts without a letter are `und` with score 0. A text whose letters
     hit no filter gets the commonest language and score 1 / languages. Ties go to the commoner
     language, then by code point. Rows are judged one by one; empty input gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = [free_name(c, docs.columns) for c in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +175,11 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                 names += n
                 scores += s.tolist()
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -201,6 +202,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     A text that hits no filter scores 1 / languages, and with two languages or more it goes however
     many there are; with one language nothing can be told apart and every text with a letter stays.
+    Null and empty texts go, and without any labelled row all go. Repeated rows stay or go alike,
+    null ids are judged as others, and extra columns of any name are carried along.
     """
     model = learn(docs.filter((fold(4) != 2) & F.col("lang").isNotNull()))
     known = identify(docs.select(F.struct("*").alias("row"), "text"), model)

@@ -5,7 +5,11 @@ counts by bucket ceil(log(value) / log(GAMMA)), zeros apart. Quantiles read from
 1 % of exact ones, and sketches merge by adding counts, which a grouped sum does with map-side
 combining, so a hot source costs no more than any other. Groups of fewer than `min_group`
 documents take the merged sketches of their language. The thresholds are outlier fences around
-the quartiles; documents are filtered by a null-safe join with their group's fences.
+the quartiles, but never below the TAIL quantile, all read from the sketches; no metric has a
+cutoff of its own. Documents are filtered by a null-safe join with their group's fences. A
+document is over a fence only if it is so beyond the chance variation of its own count: of a count
+x, SIGMAS times its square root is forgiven, so one symbol in a long text is no offence where most
+texts have none.
 
 Only DataFrame functions are used.
 """
@@ -24,9 +28,12 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 GAMMA = 1.02
 MIN_GROUP = 200
-FENCE = 4.0
-# Least distance of a fence from its quartile, by metric: a floor for groups that vary little.
-SLACK = {"symbol_ratio": 0.1, "repeat_ratio": 0.2, "dup_line_ratio": 0.4, "word_length": 1.5}
+FENCE = 5.0
+TAIL = 0.9
+SIGMAS = 3.0
+# Metric: its count, what it is a share of, and how many of the count one event makes.
+SHARES = {"symbol_ratio": ("n_symbols", "n_words", 1), "repeat_ratio": ("n_repeat_words", "n_words", WINDOW), "dup_line_ratio": ("n_dup_lines", "n_lines", 1)}
+METRICS = (*SHARES, "word_length")
 LOW_SIDE = {"word_length"}
 
 
@@ -93,24 +100,27 @@ def with_metrics(stats: DataFrame) -> DataFrame:
 def sketches(metrics: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n over the rows that pass the base rules; bucket null is zero."""
     stacked = metrics.filter(~F.col("base_failed")).select(
-        "lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in SLACK))).alias("m")
+        "lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))).alias("m")
     )
     bucket = F.when(F.col("m.value") > 0, F.ceil(F.log(F.col("m.value")) / F.log(F.lit(GAMMA))).cast("int"))
     return stacked.groupBy("lang", "source", F.col("m.metric").alias("metric"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fences(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """Per group and metric: the number of documents and the low and high fence."""
+    """Per group and metric: the number of documents and the low and high fence.
+
+    The high fence is FENCE interquartile ranges above the third quartile, or the TAIL quantile if
+    that is higher; the low one as many below the first quartile.
+    """
     merged = sketch.groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*group, "metric").orderBy(F.col("bucket").asc_nulls_first())
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*group, "metric")))
     value = F.coalesce(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1), F.lit(0.0))
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-    read = ranked.groupBy(*group, "metric").agg(F.max("total").alias("total"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    slack = F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv))[F.col("metric")]
-    reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), slack)
+    read = ranked.groupBy(*group, "metric").agg(F.max("total").alias("total"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), quartile(TAIL).alias("tail"))
+    reach = FENCE * (F.col("q3") - F.col("q1"))
     low = F.when(F.col("metric").isin(*LOW_SIDE), F.col("q1") - reach)
-    return read.select(*group, "metric", "total", low.alias("low"), (F.col("q3") + reach).alias("high"))
+    return read.select(*group, "metric", "total", low.alias("low"), F.greatest(F.col("q3") + reach, F.col("tail")).alias("high"))
 
 
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -121,7 +131,7 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     enough = F.col("total") >= min_group
     chosen = both.select("lang", "source", "metric", F.when(enough, F.col("low")).otherwise(F.col("llow")).alias("low"), F.when(enough, F.col("high")).otherwise(F.col("lhigh")).alias("high"))
     take = lambda side, m: F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}")
-    return chosen.groupBy("lang", "source").agg(*(take(side, m) for m in SLACK for side in ("low", "high")))
+    return chosen.groupBy("lang", "source").agg(*(take(side, m) for m in METRICS for side in ("low", "high")))
 
 
 def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -136,9 +146,14 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     limits = thresholds(sketches(metrics), min_group).withColumnRenamed("lang", "t_lang").withColumnRenamed("source", "t_source")
     joined = metrics.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     inside = F.lit(True)
-    for m in SLACK:
-        inside = inside & (F.col(m) <= F.col(f"high_{m}"))
+    for m in METRICS:
+        if m in SHARES:
+            count, of, unit = SHARES[m]
+            events = F.col(count) / unit
+            inside = inside & ((events - SIGMAS * F.sqrt(events)) * unit <= F.col(f"high_{m}") * F.col(of))
+        else:
+            inside = inside & (F.col(m) <= F.col(f"high_{m}"))
         if m in LOW_SIDE:
             inside = inside & (F.col(m) >= F.col(f"low_{m}"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "source", *SLACK)
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "source", *METRICS)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapframe.llm.common import WORD, materialise
+from snapframe.llm.common import WORD, free_name, materialise
 
 WEIGHTS = (5, 2, 1)
 RAMPS = (0.5, 0.0, -0.5)
@@ -30,6 +30,11 @@ MAX_REPEAT = 2
 BUCKET_DIGITS = 3
 
 
+def _row_key() -> Column:
+    """Tells rows apart by id, source and text, nulls included."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "text")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = BUDGET_SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """One row per source: source, source_size, weight, ramp, target.
 
@@ -59,7 +64,7 @@ def demand_time(words: Column, target: Column, ramp: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = BUDGET_SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, source, first_time, second_time.
+    """One row per input row: doc_id, size, source_size, target, taken, source, first_time, second_time, row_key.
 
     Null text has size 0; a null source is a source of its own, ranked last; null doc_ids order
     first and rows equal in doc_id are told apart by their size and a row counter. The times are
@@ -70,7 +75,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = BUDGET_SHA
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digest = F.md5(key)
     rows = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), digest.alias("shuffle"), F.substring(digest, 1, BUCKET_DIGITS).alias("bucket")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), digest.alias("shuffle"), F.substring(digest, 1, BUCKET_DIGITS).alias("bucket"), _row_key().alias("row_key")),
         "mix-sizes",
     )
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -93,23 +98,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, share: float = BUDGET_SHA
         return F.when(copy(epoch) > 0, at)
 
     taken = sum((copy(e) for e in range(1, max_repeat)), copy(0))
-    mixed = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", time(0).alias("first_time"), time(1).alias("second_time"))
+    mixed = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", time(0).alias("first_time"), time(1).alias("second_time"), "row_key")
     return mixed.orderBy(F.col("first_time").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, position: str | None = None) -> DataFrame:
     """The documents in training order, each repeated as often as the mix takes it.
 
-    A copy of which the mix takes at least half is kept whole, others go, so that texts are
-    never cut. Rows without words are not drawn by any demand and go.
+    A column named by `position` (with underscores added where the input has it) tells the training
+    time in [0, 1] at which a copy is read: files keep no order, so readers sort by it. A copy of which the mix takes at
+    least half is kept whole, others go, so that texts are never cut. Rows without words are not
+    drawn by any demand and go. Null ids and sources are as in mix(). Rows equal in id, source and
+    text are drawn one by one, though it is not told which of them takes which copy. Empty input
+    gives an empty result; extra columns of any name are carried along.
     """
-    taken = mix(docs).filter("taken > 0")
+    taken = mix(docs)
     half = lambda e: F.col("taken") * 2 >= F.col("size") * (2 * e + 1)
     times = F.array_compact(F.array(F.when(half(0), F.col("first_time")), F.when(half(1), F.col("second_time"))))
-    copies = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max(times).alias("mix_times"))
-    packed = docs.select(F.struct("*").alias("row"))
-    size = F.regexp_count(F.coalesce(F.col("row.text"), F.lit("")), F.lit(WORD)).cast("long")
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("mix_id")) & F.col("row.source").eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size"))
-    timed = packed.join(copies, same).select("row", F.explode("mix_times").alias("mix_time"))
+    drawn = taken.select(F.col("row_key").alias("mix_key"), times.alias("mix_times"), F.row_number().over(Window.partitionBy("row_key").orderBy("first_time")).alias("mix_twin"))
+    packed = docs.select(F.struct("*").alias("row"), _row_key().alias("own_key"))
+    packed = packed.withColumn("twin", F.row_number().over(Window.partitionBy("own_key").orderBy(F.lit(0))))
+    # As a range the twin's number is no join key, so the texts are shuffled once, for window and join.
+    same = (F.col("own_key") == F.col("mix_key")) & (F.col("twin") <= F.col("mix_twin")) & (F.col("twin") >= F.col("mix_twin"))
+    timed = packed.join(drawn.filter(F.size("mix_times") > 0), same).select("row", F.explode("mix_times").alias("mix_time"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return timed.repartitionByRange(parts, "mix_time").sortWithinPartitions("mix_time").select("row.*")
+    return timed.repartitionByRange(parts, "mix_time").sortWithinPartitions("mix_time").select("row.*", *([F.col("mix_time").alias(free_name(position, docs.columns))] if position else []))

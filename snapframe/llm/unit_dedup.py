@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapframe.llm.common import blocks, materialise, mix64, release, span_hashes, tidy, word_spans
+from snapframe.llm.common import blocks, free_name, materialise, mix64, release, span_hashes, tidy, word_spans
 from snapframe.llm.common import _BASE, _power_tables
 
 MIN_WORDS = 20
@@ -77,7 +77,17 @@ def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     repeated entirely are ranked as one, so all of them keep their first occurrences. Empty input
     gives an empty result; extra columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("row_id"))
+    rows = _keyed(docs)
+    counts, removed = _removed(rows, unit, min_words)
+    return _per_row(rows.select("doc_id", F.xxhash64("row_id").alias("row_key")), counts, removed)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("row_id"))
+
+
+def _removed(rows: DataFrame, unit: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Units (cd, cr, n_units) and removed spans (d, r, removed) by doc_id and text."""
     found = rows.mapInArrow(_digests(unit, min_words), "row_id string, doc_id long, start long, end long, digest binary")
     found = materialise(found.select(F.xxhash64("row_id").alias("row_key"), "doc_id", "start", "end", "digest"), "units")
     rank = F.struct(F.col("doc_id"), F.col("row_key"), F.col("start"))
@@ -85,8 +95,7 @@ def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     again = found.join(first.select("digest", "first"), "digest").filter(~rank.eqNullSafe(F.col("first")))
     span = F.struct(F.col("start"), F.col("end"), F.col("first.doc_id").alias("keep_id"))
     removed = again.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.sort_array(F.collect_set(span)).alias("removed"))
-    counts = found.groupBy(F.col("doc_id").alias("cd"), F.col("row_key").alias("cr")).agg(F.count_distinct("start").alias("n_units"))
-    return _per_row(rows.select("doc_id", F.xxhash64("row_id").alias("row_key")), counts, removed)
+    return found.groupBy(F.col("doc_id").alias("cd"), F.col("row_key").alias("cr")).agg(F.count_distinct("start").alias("n_units")), removed
 
 
 def _least_of_windows(grams: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -218,17 +227,21 @@ def cut(text: str | None, spans: list[dict]) -> str:
 
 
 def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """The input's columns with repeated units cut from text, and a column removed_spans."""
-    if "removed_spans" in docs.columns:
-        docs = docs.drop("removed_spans")
-    spans = repeated_spans(docs, unit, min_words).filter("n_removed > 0").groupBy(F.col("doc_id").alias("cut_id")).agg(F.max("removed").alias("removed_spans"))
-    packed = docs.select(F.struct("*").alias("row"))
-    joined = packed.join(spans, F.col("row.doc_id").cast("long") == F.col("cut_id"), "left").select("row.*", "removed_spans")
+    """The input's columns with repeated units cut from text, and a column removed_spans (removed_spans_ where it exists).
+
+    Spans belong to a text of a doc_id, null ids included: of rows that share an id each loses its
+    own repeats, and rows equal in both are cut alike. Null and empty texts stay as they are; empty
+    input gives an empty result.
+    """
+    added = free_name("removed_spans", docs.columns)
+    found = _removed(_keyed(docs), unit, min_words)[1].select(F.col("d").alias("cut_id"), F.col("r").alias("cut_key"), F.col("removed").alias("cut_spans"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.md5(F.coalesce("text", F.lit("")))).alias("own_key"))
+    joined = packed.join(found, F.col("own_id").eqNullSafe(F.col("cut_id")) & (F.col("own_key") == F.col("cut_key")), "left").select("row.*", F.col("cut_spans").alias(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [t if not s else cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("removed_spans").to_pylist(), strict=True)]
+            texts = [t if not s else cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column(added).to_pylist(), strict=True)]
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
     return joined.mapInArrow(run, joined.schema)

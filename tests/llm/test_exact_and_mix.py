@@ -2,6 +2,8 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from snapframe.llm import grace_dedup, source_mix
 from snapframe.llm.grace_dedup import ContentTable
 
@@ -108,3 +110,15 @@ def test_mixed_documents_repeat_rows(make_docs):
     mixed = source_mix.mixed_documents(docs)
     assert mixed.columns == docs.columns
     assert abs(mixed.count() - 150) <= 3
+
+
+def test_twins_and_null_ids_are_drawn_one_by_one(make_docs):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "e f g h"), (None, "i j k l"), (None, "m n o p"), (2, None)]
+    docs = make_docs(*rows).drop("size").withColumn("position", F.lit("own"))
+    taken = source_mix.mix(docs).collect()
+    want = sum((r.taken * 2 >= r.size) + (r.taken * 2 >= 3 * r.size) for r in taken if r.size)
+    found = source_mix.mixed_documents(docs, position="position")
+    assert found.columns == [*docs.columns, "position_"]
+    rows = found.collect()
+    assert len(rows) == want and all(r.text and 0 <= r.position_ <= 1 for r in rows)
+    assert source_mix.mixed_documents(docs.limit(0)).count() == 0

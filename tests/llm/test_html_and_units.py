@@ -1,6 +1,8 @@
 import html
 import re
 
+from pyspark.sql import functions as F
+
 from snapframe.llm import html_extract, queries, unit_dedup
 from snapframe.llm.html_extract import extract
 
@@ -143,3 +145,12 @@ def test_passages_match_brute_force(make_docs, documents):
                 if n == sure and (doc != doc_id or first + n <= i):  # else the text overlaps with what it repeats
                     must |= set(range(i + ends, i + n - ends))
         assert must <= gone <= may, doc_id
+
+
+def test_rows_of_one_id_are_cut_apart(make_docs):
+    shared = " ".join(f"w{i}" for i in range(25))
+    docs = make_docs((1, f"{shared}\nfirst"), (2, f"{shared}\nsecond"), (2, "OTHER text that must stay whole " + "x" * 200), (None, shared + "\nnull id"), (2, None)).withColumn("removed_spans", F.lit(5))
+    cut = unit_dedup.remove_repeats(docs)
+    assert cut.columns == [*docs.columns, "removed_spans_"]
+    texts = sorted((r.doc_id or 0, r.text or "") for r in cut.collect())
+    assert texts == [(0, shared + "\nnull id"), (1, "first"), (2, ""), (2, "OTHER text that must stay whole " + "x" * 200), (2, "second")]

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -41,12 +43,66 @@ def test_thresholds_adapt_and_keep_clean_text(spark, sf_dir):
     assert sum(bad) / len(bad) < 0.2
 
 
+def bucket_value(x):
+    return 2 * 1.02 ** math.ceil(math.log(x) / math.log(1.02)) / 2.02 if x > 0 else 0.0
+
+
+def plain_verdicts(rows, min_group):
+    """kept by doc_id: the fences of each group from sorted bucket values, then the rule for each document."""
+    stats = {}
+    for doc_id, text, lang, source in rows:
+        n, chars, symbols, dups, repeats, base = counts(text)
+        lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        ratios = (symbols / max(n, 1), repeats / max(n, 1), dups / max(lines, 1), chars / max(n, 1))
+        stats[doc_id] = ((lang, source), base, ratios, ((symbols, n, 1), (repeats, n, 8), (dups, lines, 1)))
+
+    def limits(keep, i):
+        values = sorted(bucket_value(s[2][i]) for s in stats.values() if keep(s) and not s[1])
+        at = lambda q: values[math.ceil(q * len(values)) - 1]
+        reach = 5 * (at(0.75) - at(0.25))
+        return at(0.25) - reach, max(at(0.75) + reach, at(0.9)), len(values)
+
+    kept, known = {}, {}
+    for doc_id, (group, base, ratios, shares) in stats.items():
+        kept[doc_id] = not base
+        for i in range(4 if not base else 0):
+            if (group, i) not in known:
+                own = limits(lambda s: s[0] == group, i)
+                known[group, i] = own if own[2] >= min_group else limits(lambda s: s[0][0] == group[0], i)
+            low, high, _ = known[group, i]
+            if i == 3:
+                kept[doc_id] &= low <= ratios[3] <= high
+            else:
+                x, of, unit = shares[i]
+                kept[doc_id] &= (x / unit - 3 * math.sqrt(x / unit)) * unit <= high * of
+    return kept
+
+
+def test_verdicts_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    found = {r.doc_id: r.kept for r in quality_rules.judge(docs, min_group=15).collect()}
+    assert found == plain_verdicts(rows, 15)
+    assert len(set(found.values())) == 2
+
+
+def test_groups_of_other_spread_get_other_fences(spark):
+    rng = random.Random(3)
+    rows = [(lang, "s", False, *(rng.uniform(0, width) for _ in range(3)), 4 + rng.uniform(0, width)) for lang, width in (("a", 0.01), ("b", 0.2)) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, symbol_ratio double, repeat_ratio double, dup_line_ratio double, word_length double")
+    narrow, wide = sorted(quality_rules.thresholds(quality_rules.sketches(frame)).collect(), key=lambda r: r.lang)
+    for metric in quality_rules.METRICS:
+        assert wide[f"high_{metric}"] > narrow[f"high_{metric}"] * (1.1 if metric == "word_length" else 5)
+    assert wide.low_word_length < narrow.low_word_length
+
+
 def test_sketches_merge_and_bound_quantiles(spark):
     rows = [("en", "s" if i % 3 else "t", False, *[float(i % 101 + 1)] * 4) for i in range(3000)]
     frame = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, symbol_ratio double, repeat_ratio double, dup_line_ratio double, word_length double")
     whole = quality_rules.fences(quality_rules.sketches(frame), ["lang"]).filter("metric = 'word_length'").first()
     q1, q3 = 26, 76
     reach = quality_rules.FENCE * (q3 - q1)
+    assert q3 + reach > 91
     assert abs(whole.high - (q3 + reach)) < 0.02 * (q3 + reach + reach)
     assert whole.total == 3000
 

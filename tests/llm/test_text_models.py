@@ -27,9 +27,12 @@ EDGE = [
 ]
 
 
-def test_bpe_equals_the_library(make_docs, documents):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_equals_the_library(make_docs, documents, name):
+    path = public_tokenizers.path(name)
     rows = [(i, t) for i, t in enumerate(EDGE)] + [(None, "x y"), (3, "a")]
-    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
     texts = [t for _, t in rows] + [r.text for r in documents.collect()]
     docs = make_docs(*rows).select("doc_id", "text").union(documents.select("doc_id", "text"))
     want = []
@@ -37,11 +40,34 @@ def test_bpe_equals_the_library(make_docs, documents):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         decoded = tokenizer.decode(ids, skip_special_tokens=False)
         want.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-    found = bpe.encode_digests(docs, PATH).collect()
+    found = bpe.encode_digests(docs, path).collect()
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == sorted(want)
-    assert bpe.encode_digests(docs.limit(0), PATH).count() == 0
-    whole = bpe.encode(make_docs((1, "A b")), PATH).first()
-    assert whole.ids == tokenizer.encode("A b", add_special_tokens=False).ids
+    assert all(r.n_tokens == len(r.ids) for r in found)
+    assert bpe.encode_digests(docs.limit(0), path).count() == 0
+    whole = bpe.encode(make_docs((1, "A b")), path, carry=("lang",)).first()
+    assert whole.ids == tokenizer.encode("A b", add_special_tokens=False).ids and whole.lang == "en"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_joins_are_exact_wherever_cuts_fall(monkeypatch, name):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "LEAST_CHUNK", 1)
+    monkeypatch.setattr(bpe, "CHUNK_BITS", 4)
+    monkeypatch.setattr(bpe.cut_points, "__defaults__", (3,))
+    spec = bpe.read_tokenizer(public_tokenizers.path(name))
+    plain, tokenizer = Tokenizer.from_str(spec), Tokenizer.from_str(bpe.without_trimming(spec))
+    plain.no_truncation()
+    tokenizer.no_truncation()
+    rng = np.random.default_rng(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "it's", "'", "  ", "\n\n ", "\t", "123", "abc", "É", "e\u0301", "\u0301", "漢字", "🙂", "!!<|", "|>", ".", "don't", " the", "ing", " x", "ΑΣ", "_-_", "\u00a0", "\r\n"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 60)))) for _ in range(600)]
+    store = bpe.ChunkStore()
+    for _, data, offsets in blocks(pa.array(texts), 4000):
+        raw = data.tobytes()
+        own = [raw[a:b].decode() for a, b in itertools.pairwise(offsets.tolist())]
+        for text, ids in zip(own, bpe.encode_block(data, offsets, tokenizer, store), strict=True):
+            assert ids == plain.encode(text, add_special_tokens=False).ids, text
 
 
 def test_chunks_are_reused_and_bounded():
@@ -52,14 +78,14 @@ def test_chunks_are_reused_and_bounded():
     words = [bytes(rng.integers(97, 123, 6, dtype=np.uint8)).decode() for _ in range(3000)]
     base = " ".join(words)
     column = pa.array(["intro " + base, base + " outro", "some other start " + base])
-    store, encoder = bpe.ChunkStore(), bpe.WordEncoder(tokenizer, limit=100)
+    store = bpe.ChunkStore()
     for _, data, offsets in blocks(column, 1):
-        for ids, text in zip(bpe.encode_block(data, offsets, encoder, store), [data.tobytes().decode()], strict=True):
+        for ids, text in zip(bpe.encode_block(data, offsets, tokenizer, store), [data.tobytes().decode()], strict=True):
             assert ids == tokenizer.encode(text, add_special_tokens=False).ids
     assert store.hits > store.misses
     small = bpe.ChunkStore(budget=2000)
     for i in range(50):
-        small.put(b"%d" % i, b"abcd" * 10)
+        small.put(b"%d" % i, bpe.encode_chunk("abcd", tokenizer.encode("abcd")))
     assert small.held <= 2000
 
 
