@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from snapframe.llm import bpe, grace_dedup, language_id, ngram_join, source_mix
@@ -13,33 +12,38 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay."""
+    """Documents whose language can be told stay; null, empty and letterless texts go (language_id.keep_identified)."""
     ship(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+    """Of equal texts, the row with the largest doc_id stays; null text counts as empty (grace_dedup.keep_distinct)."""
     ship(spark)
     return grace_dedup.keep_distinct(docs)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays."""
+    """Of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays; texts without words all do (ngram_join.keep_first)."""
     ship(spark)
     return ngram_join.keep_first(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, repeated or left out as the sources' targets ask."""
+    """Documents in training order, repeated or left out as the sources' targets ask.
+
+    Besides the columns of documents there is position, the training time, as files keep no order.
+    """
     ship(spark)
-    return source_mix.mixed_documents(docs)
+    return source_mix.mixed_documents(docs, position="position")
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every remaining document."""
+    """doc_id, position, n_tokens, ids_sha256, decoded_sha256 and ids of every copy that is left; to be read by position."""
+    import public_tokenizers
+
     ship(spark)
-    return bpe.encode_digests(docs, public_tokenizers.path(TOKENIZER))
+    return bpe.encode_digests(docs, public_tokenizers.path(TOKENIZER), carry=tuple(c for c in ("position",) if c in docs.columns))
 
 
 STAGES = [
