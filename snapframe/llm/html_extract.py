@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*'){0,10000}+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"""[<>"']""")
 _ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -29,7 +31,7 @@ BLOCK = frozenset(
     "html body p div section article main header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption "
     "figure figcaption hr address details summary center fieldset form menu dialog hgroup search".split()
 )
-DROPPED = frozenset("head nav footer aside form script style noscript template svg math iframe object embed applet button select option textarea input menu dialog title canvas audio video search label datalist".split())
+DROPPED = frozenset("head nav footer aside script style noscript template svg math iframe object embed applet button select option textarea input menu dialog title canvas audio video search label datalist".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist feed status".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot sponsor sponsored sponsors promo promos promoted promotion banner cookie cookies consent gdpr "
@@ -70,7 +72,7 @@ SMALL = 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "commas", "named", "prose")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "links", "commas", "named", "prose")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -78,7 +80,7 @@ class Node:
         self.dropped = self.prose = False
         self.named = 0
         self.points = 0.0
-        self.length = self.linked = self.commas = 0
+        self.length = self.linked = self.links = self.commas = 0
 
 
 def _is_dropped(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -101,6 +103,8 @@ def _is_dropped(tag: str, attrs: str, inside_article: bool) -> bool:
 
 def _name(tag: str, attrs: str) -> int:
     """How far class and id name boilerplate: not at all, in part of a name, by a whole name, or as comments."""
+    if tag == "form":  # a form is boilerplate unless it holds most of the page
+        return WHOLLY
     if tag in KEPT_TAGS or tag in PROSE or not attrs:
         return 0
     found, content = 0, False
@@ -117,61 +121,105 @@ def _name(tag: str, attrs: str) -> int:
     return min(found, PARTLY) if content else found
 
 
+class Tags:
+    """The tags of a page in order. A tag ends at its first `>` outside quotes; one that meets a `<`
+    before that, outside quotes, is text. Every character is looked at a bounded number of times.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def _end(self, at: int) -> int:
+        """Place of the `>` that ends a tag whose attributes begin at `at`, or -1."""
+        while (m := _STOP.search(self.page, at)) is not None:
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            if m[0] == "<" or at > self.last[">"]:
+                return -1
+            if at <= self.last[m[0]]:  # a quote that is never closed is a character like others
+                at = self.page.index(m[0], at) + 1
+        return -1
+
+    def following(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start and end of the next tag or comment from `at` on, its name ("" for a comment), whether it closes, and attributes."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                return start, end + 3 if end >= 0 else len(page), "", False, ""
+            if page[at : at + 1] in ("!", "?") and at < self.last[">"]:
+                return start, page.index(">", at) + 1, "", False, ""
+            if (m := _NAME.match(page, at)) and (end := self._end(m.end())) >= 0:
+                return start, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+        return None
+
+
 def parse(page: str) -> Node:
     """Element tree of a page; dropped elements are marked. Never fails on bad markup."""
-    root = Node("html", None)
-    stack, at, articles = [root], 0, 0
-    length = len(page)
+    root, tags = Node("html", None), Tags(page)
+    stack, at, articles, length = [root], 0, 0, len(page)
+    open_tags: Counter[str] = Counter()
+    paragraphs = [-1]  # for each open element, where the paragraph stands that a block inside it ends
+
+    def cut(to: int) -> None:
+        nonlocal articles
+        for n in stack[to:]:
+            open_tags[n.tag] -= 1
+            articles -= n.tag in ("article", "main")
+        del stack[to:], paragraphs[to:]
+
     while at < length:
-        m = _TAG.search(page, at)
-        if m is None:
+        found = tags.following(at)
+        if found is None:
             stack[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end, tag, closing, attrs = found
+        if start > at:
+            stack[-1].children.append(page[at:start])
+        at = end
         if not tag:
             continue
-        tag, closing, attrs = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    articles -= sum(n.tag in ("article", "main") for n in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "div", "section", "article", "main", "body", "html"):
-                    break
+            if open_tags[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        cut(i)
+                        break
+                    if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "div", "section", "article", "main", "body", "html"):
+                        break
             continue
         if tag == "html" and len(stack) == 1:
             continue
-        ends, fences = IMPLIED.get(tag, ({"p"} if tag in CLOSES_P else set(), {"td", "th", "table", "button"}))
-        if tag in IMPLIED and tag != "body":
-            ends = ends | {"p"}
         if stack[-1].tag == "head" and tag in BLOCK:
-            ends = ends | {"head"}
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in fences:
-                break
-            if stack[i].tag in ends:
-                found = i
-                if tag not in IMPLIED:
-                    break
-        if found is not None:
-            articles -= sum(n.tag in ("article", "main") for n in stack[found:])
-            del stack[found:]
+            cut(len(stack) - 1)
+        if tag in IMPLIED:
+            ends, fences = IMPLIED[tag]
+            ends = ends | {"p"} if tag != "body" else ends
+            first = None
+            if any(open_tags[t] for t in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in fences:
+                        break
+                    if stack[i].tag in ends:
+                        first = i
+            if first is not None:
+                cut(first)
+        elif tag in CLOSES_P and paragraphs[-1] >= 0:
+            cut(paragraphs[-1])
         node = Node(tag, stack[-1])
         node.dropped = stack[-1].dropped or _is_dropped(tag, attrs, articles > 0)
         node.named = _name(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else length
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = close.end() if close else length
         elif tag not in VOID:
+            paragraphs.append(len(stack) if tag == "p" else -1 if tag in ("td", "th", "table", "button") else paragraphs[-1])
             stack.append(node)
+            open_tags[tag] += 1
             articles += tag in ("article", "main")
     return root
 
@@ -190,7 +238,7 @@ def _nodes(root: Node) -> list[Node]:
 def _measure(nodes: list[Node]) -> None:
     """Characters, link characters and commas below each element, and whether it holds prose."""
     for node in reversed(nodes):
-        node.length = node.linked = node.commas = 0
+        node.length = node.linked = node.links = node.commas = 0
         node.prose = node.tag in PROSE
         for child in node.children:
             if isinstance(child, str):
@@ -200,10 +248,12 @@ def _measure(nodes: list[Node]) -> None:
             elif not child.dropped:
                 node.length += child.length
                 node.linked += child.linked
+                node.links += child.links
                 node.commas += child.commas
                 node.prose |= child.prose
         if node.tag == "a":
             node.linked = node.length
+            node.links += 1
 
 
 def _link_share(node: Node) -> float:
@@ -266,7 +316,7 @@ def _enclosing(node: Node, tag: str) -> Node | None:
 
 
 def _is_link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "table", "section", "p", "dl") and _link_share(node) > 0.8 and sum(1 for n in _nodes(node) if n.tag == "a") >= 3
+    return node.tag in ("ul", "ol", "div", "table", "section", "p", "dl") and _link_share(node) > 0.8 and node.links >= 3
 
 
 def _blocks(tops: list[Node]) -> list[str]:

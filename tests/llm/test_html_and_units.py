@@ -154,3 +154,22 @@ def test_rows_of_one_id_are_cut_apart(make_docs):
     assert cut.columns == [*docs.columns, "removed_spans_"]
     texts = sorted((r.doc_id or 0, r.text or "") for r in cut.collect())
     assert texts == [(0, shared + "\nnull id"), (1, "first"), (2, ""), (2, "OTHER text that must stay whole " + "x" * 200), (2, "second")]
+
+
+def test_unclosed_markup_is_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    for unit in ("x <a ", "<a ", "<a x='", '<a "', "<div>", "<p <b>", "<!", "</i>", "<ul><div><li>", "<div><a href=x>y</a>"):
+        for size in (1, 200_000 // len(unit)):
+            html_extract.extract("<table><td><p>" + unit * size)
+    assert time.process_time() - began < 60
+    assert html_extract.extract("a <b c" * 3) == "a <b c" * 3
+    assert "b>" not in html_extract.extract(f'<p {"x" * 20_000} title="a>b">' + "Some words, and more of them. " * 9)
+
+
+def test_a_form_around_the_page_is_no_form():
+    body = "".join(f"<p>Paragraph {i} has words, commas, and a good length to read.</p>" for i in range(9))
+    inner = "<form><p>Your name, please, and address, too.</p><input name=q></form>"
+    found = html_extract.extract(f"<form id='aspnetForm'><div id='page'><nav>Home</nav><div>{body}</div>{inner}</div></form>")
+    assert found.count("Paragraph") == 9 and "Your name" not in found and "Home" not in found
