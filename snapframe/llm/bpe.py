@@ -34,12 +34,12 @@ from pyspark.sql import types as T
 from snapframe.llm.common import _byte_values, _power_tables, blocks, mix64
 
 WINDOW_BYTES = 16
-CHUNK_BITS = 9
+CHUNK_BITS = 10
 LEAST_CHUNK = 128
 STORE_BYTES = 24 << 20
 TOKENIZER_BYTES = 32 << 20
 FIRST_REACH = 2
-REACH = 8
+REACH = 4
 
 
 class Chunk(NamedTuple):
@@ -294,7 +294,7 @@ def read_tokenizer(path: str) -> str:
     return spec
 
 
-def _coder(broadcast, digests: bool):
+def _coder(broadcast, digests: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, names, store = _worker(broadcast.value)
         for batch in batches:
@@ -304,35 +304,36 @@ def _coder(broadcast, digests: bool):
                 kept = [c.slice(first, len(ids)) for i, c in enumerate(batch.columns) if i != at]
                 counts = pa.array([len(x) for x in ids], pa.int64())
                 texts = [tokenizer.decode(x, skip_special_tokens=False) for x in ids]
-                lists, more = pa.array(ids, pa.list_(pa.int32())), ["ids", "decoded"]
+                more = {}
                 if digests:
-                    spelled = [hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in ids]
-                    decoded = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                    columns, more = [pa.array(spelled, pa.string()), pa.array(decoded, pa.string()), lists], ["ids_sha256", "decoded_sha256", "ids"]
+                    more["ids_sha256"] = pa.array([hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in ids], pa.string())
+                    more["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
                 else:
-                    columns = [lists, pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays([*kept, counts, *columns], [*(f.name for i, f in enumerate(batch.schema) if i != at), "n_tokens", *more])
+                    more["decoded"] = pa.array(texts, pa.string())
+                if with_ids:
+                    more["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*kept, counts, *more.values()], [*(f.name for i, f in enumerate(batch.schema) if i != at), "n_tokens", *more])
         store.rest()
 
     return run
 
 
-def _coded(docs: DataFrame, tokenizer_path: str, digests: bool, carry: tuple[str, ...], added: str) -> DataFrame:
+def _coded(docs: DataFrame, tokenizer_path: str, digests: bool, carry: tuple[str, ...], with_ids: bool, added: str) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
     schema = T.StructType([*(f for f in read.schema.fields if f.name != "text"), *T._parse_datatype_string(added).fields])
-    return read.mapInArrow(_coder(spec, digests), schema)
+    return read.mapInArrow(_coder(spec, digests, with_ids), schema)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, the columns of `carry`, n_tokens, ids, decoded.
+    """One row per input row: doc_id, the columns of `carry`, n_tokens, decoded, ids.
 
     Null and empty texts have no tokens and decode to ''. Rows are coded one by one, so repeated
     rows give equal results and empty input gives an empty result; other columns are ignored.
     """
-    return _coded(docs, tokenizer_path, False, carry, "n_tokens long, ids array<int>, decoded string")
+    return _coded(docs, tokenizer_path, False, carry, True, "n_tokens long, decoded string, ids array<int>")
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """As encode(), with SHA-256 digests of ids and decoded text, and the ids last: doc_id, ..., n_tokens, ids_sha256, decoded_sha256, ids."""
-    return _coded(docs, tokenizer_path, True, carry, "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+def encode_digests(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """As encode(), with SHA-256 digests of ids and decoded text: doc_id, ..., n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
+    return _coded(docs, tokenizer_path, True, carry, with_ids, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

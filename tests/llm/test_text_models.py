@@ -40,7 +40,7 @@ def test_bpe_equals_the_library(make_docs, documents, name):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         decoded = tokenizer.decode(ids, skip_special_tokens=False)
         want.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-    found = bpe.encode_digests(docs, path).collect()
+    found = bpe.encode_digests(docs, path, with_ids=True).collect()
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == sorted(want)
     assert all(r.n_tokens == len(r.ids) for r in found)
     assert bpe.encode_digests(docs.limit(0), path).count() == 0
