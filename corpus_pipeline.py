@@ -43,7 +43,7 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return bpe.encode_digests(docs, public_tokenizers.path(TOKENIZER), carry=tuple(c for c in ("position",) if c in docs.columns))
+    return bpe.encode_digests(docs, public_tokenizers.path(TOKENIZER), carry=tuple(c for c in ("position",) if c in docs.columns), with_ids=True)
 
 
 STAGES = [
