@@ -90,17 +90,17 @@ class ChunkStore:
 
 def encode_chunk(text: str, encoding) -> Chunk:
     """A chunk from what the library made of its text."""
-    words, ids = encoding.word_ids, array("I", encoding.ids)
+    ids, word = array("I", encoding.ids), encoding.token_to_word
     n, ends, starts = len(ids), [], []
     at = 0
     while at < n and len(ends) < REACH:
         at += 1
-        if at == n or words[at] != words[at - 1]:
+        if at == n or word(at) != word(at - 1):
             ends.append((at, encoding.token_to_chars(at - 1)[1]))
     at = n
     while at > 0 and len(starts) < REACH:
         at -= 1
-        if at == 0 or words[at] != words[at - 1]:
+        if at == 0 or word(at) != word(at - 1):
             starts.append((at, encoding.token_to_chars(at)[0]))
     return Chunk(text, ids, ends, starts)
 
