@@ -7,9 +7,9 @@ half (neutral_score).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Score edges, bands as closed ranges in order of precedence, letters and their scores.
@@ -39,8 +39,17 @@ def _weighted(features: Column, weights: Mapping[str, float], missing: float) ->
     return sum((F.coalesce(features[k], F.lit(missing)) * w for k, w in weights.items()), F.lit(0.0))
 
 
-def weighted_score(features: Column, weights: Mapping[str, float]) -> Column:
-    """Weights normalised to one, missing feature 0, clipped to 0..100."""
+def batch_features(df: DataFrame, features: str) -> set[str]:
+    """Names of the features that any row of a batch has; as many as there are features."""
+    return {r["k"] for r in df.select(F.explode(F.map_keys(features)).alias("k")).distinct().collect()}
+
+
+def weighted_score(features: Column, weights: Mapping[str, float], batch: Collection[str] | None = None) -> Column:
+    """Weights normalised to one, missing feature 0, clipped to 0..100.
+
+    With `batch`, the features any row of the batch has, weights of others do not count.
+    """
+    weights = {k: w for k, w in weights.items() if batch is None or k in batch}
     total = sum(weights.values())
     return clip(_weighted(features, weights, 0.0) / total) if total else F.lit(0.0)
 

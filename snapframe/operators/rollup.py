@@ -20,17 +20,20 @@ def traits_long(df: DataFrame, keys: Sequence[str], traits: str = "traits") -> D
 def roll_up(df: DataFrame, keys: Sequence[str], method: str = "mean", traits: str = "traits") -> DataFrame:
     """One trait map per group; a trait that a row lacks counts as 0 in it. Unknown methods mean the mean.
 
-    The traits of a group are those of any of its rows. Zeros are added by count, not by rows: the
-    grid of rows and traits is only built for the median.
+    The traits of a group are those of any of its rows. Zeros are added by count, not by rows.
     """
     chosen = method if method in METHODS else "mean"
-    numbered = df.withColumn("_row", F.monotonically_increasing_id()) if chosen == "median" else df
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     if chosen == "median":
-        have = traits_long(numbered, [*keys, "_row"], traits)
-        grid = numbered.select(*keys, "_row").join(have.select(*keys, "trait").distinct(), list(keys))
-        full = grid.join(have, [*keys, "_row", "trait"], "left")
-        per = full.groupBy(*keys, "trait").agg(F.median(F.coalesce("score", F.lit(0.0))).alias("score"))
+        have = traits_long(df, keys, traits).groupBy(*keys, "trait").agg(F.sort_array(F.collect_list("score")).alias("s")).join(sizes, list(keys))
+        below, zeros = F.size(F.filter("s", lambda x: x < 0)), F.col("_rows") - F.size("s")
+
+        def at(place: Column) -> Column:  # of the scores with the zeros put in their place
+            own = F.when(place < below, place).otherwise(place - zeros)
+            return F.when((place >= below) & (place < below + zeros), 0.0).otherwise(F.get("s", own.cast("int")))
+
+        middle = (at(F.floor((F.col("_rows") - 1) / 2)) + at(F.floor(F.col("_rows") / 2))) / 2
+        per = have.select(*keys, "trait", middle.alias("score"))
     else:
         agg = traits_long(df, keys, traits).groupBy(*keys, "trait").agg(F.sum("score").alias("s"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("score").alias("n"))
         agg = agg.join(sizes, list(keys))

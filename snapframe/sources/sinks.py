@@ -21,17 +21,18 @@ def checked(rows: DataFrame, name: str) -> DataFrame:
     return good
 
 
-def write_rows(spark: SparkSession, base: str, name: str, rows: DataFrame, version: str, previous: str | None = None) -> DataFrame:
+def write_rows(spark: SparkSession, base: str, name: str, rows: DataFrame, version: str, previous: str | None = None, order: str | None = None) -> DataFrame:
     """Upsert rows into a version of a table and write the next: <base>/<name>/version=<version>.
 
     Without `previous` the table starts empty. Each version is written whole and never changed, so
     that readers and repeated tasks see a consistent table; callers move on by reading `version`.
+    Of several rows of a key the last by the column `order` counts; without it any one does.
     """
     required, nullable = KEYS[name]
     path = lambda v: f"{base}/{name}/version={v}"
     read = lambda v: spark.read.schema(TABLES[name]).parquet(path(v))
     old = read(previous) if previous is not None else spark.createDataFrame([], TABLES[name])
-    upsert(old, checked(rows, name), list(required), list(nullable)).write.mode("overwrite").parquet(path(version))
+    upsert(old, checked(rows, name), list(required), list(nullable), order).write.mode("overwrite").parquet(path(version))
     return read(version)
 
 

@@ -406,3 +406,21 @@ def test_configuration_layers(spark, tmp_path):
     assert [tuple(r) for r in configs.trait_weights(spark).collect()] == [("qb", "t", "f", 1.0)]
     assert merge_all([{"l": [1]}, {"l": [2]}], accumulate=True) == {"l": [1, 2]}
     assert deep_merge({"k": 1}, {"k": 2}, custom=lambda _, a, b: a + b) == {"k": 3}
+
+
+def test_weights_of_features_no_row_of_the_batch_has_do_not_count(spark):
+    from snapframe.functions import scores
+
+    df = spark.sql("SELECT map('a', 80.0D) AS f UNION ALL SELECT map('a', 40.0D)")
+    weights = {"a": 0.5, "b": 0.5}
+    seen = scores.batch_features(df, "f")
+    got = sorted(r[0] for r in df.select(scores.weighted_score(df["f"], weights, seen)).collect())
+    assert seen == {"a"} and got == [40.0, 80.0]
+    assert sorted(r[0] for r in df.select(scores.weighted_score(df["f"], weights)).collect()) == [20.0, 40.0]
+
+
+def test_median_puts_zeros_in_their_place(spark):
+    df = spark.sql("SELECT 1 AS g, map('a', -5.0D) AS traits UNION ALL SELECT 1, map('a', -1.0D, 'b', 4.0D) UNION ALL SELECT 1, map('b', 2.0D) UNION ALL SELECT 1, map('a', 3.0D, 'b', 6.0D)")
+    from snapframe.operators import rollup
+
+    assert rollup.roll_up(df, ["g"], "median").first().traits == {"a": -0.5, "b": 3.0}
