@@ -7,6 +7,7 @@ from a name to a struct (x, y, z, confidence).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -151,3 +152,32 @@ def keypoint_box(keypoints: Column, least: float = 0.3, at_least: int = 3) -> Co
     points = F.map_values(confident(keypoints, least))
     side = lambda f, c: f(F.transform(points, lambda p: p[c]))
     return F.when(F.size(points) >= at_least, F.array(side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y")))
+
+
+def accepted_pose(landmarks: Column, confidence: Column, least: float = 0.7) -> Column:
+    """Whether a pose has landmarks and enough confidence."""
+    return F.coalesce((confidence >= least) & (F.size(landmarks) > 0), F.lit(False))
+
+
+def resolution_scale(width: Column, height: Column, stored_width: Column, stored_height: Column) -> Column:
+    """(x, y) from stored boxes to the present picture; null if any size is missing or 0."""
+    sizes = (width, height, stored_width, stored_height)
+    known = reduce(lambda a, b: a & b, (F.coalesce(c != 0, F.lit(False)) for c in sizes))
+    ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    return F.when(known, F.struct(ratio(width, stored_width).alias("x"), ratio(height, stored_height).alias("y")))
+
+
+def uniform_role(width: Column, height: Column, low_saturation: Column, striped_rows: Column, smallest: int = 20, colourless: float = 0.35, striped: float = 0.25) -> Column:
+    """(role, confidence) of a torso crop from its share of unsaturated pixels and of striped rows.
+
+    Colour makes a player, stripes without colour a referee; crops under `smallest` pixels are
+    uncertain.
+    """
+    sure = lambda x: F.least(F.lit(0.95), 0.5 + x)
+    role = lambda name, x: F.struct(F.lit(name).alias("role"), x.cast("double").alias("confidence"))
+    return (
+        F.when((width < smallest) | (height < smallest), role("uncertain", F.lit(0.0)))
+        .when(low_saturation < colourless, role("player", sure(colourless - low_saturation)))
+        .when(striped_rows >= striped, role("referee", sure(striped_rows - striped)))
+        .otherwise(role("player", sure(striped - striped_rows)))
+    )

@@ -100,6 +100,56 @@ def within_radius(points: DataFrame, others: DataFrame, keys: Sequence[str], x:
     return joined.drop("_cx", "_cy", "_bx", "_by", "_dx", "_dy")
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], box: str, other: str, cell: float = 64.0) -> DataFrame:
+    """Pairs of a key whose boxes overlap in an area, with the columns of both sides.
+
+    Boxes meet over the grid cells that they cover. A pair counts in the cell of its overlap's
+    lower corner only, so each is met once, and the columns besides `keys` must differ.
+    """
+    span = lambda c, lo, hi: F.explode(F.sequence(F.floor(F.col(c)[lo] / cell), F.floor(F.col(c)[hi] / cell)))
+    filled = lambda c: (F.col(c)[2] > F.col(c)[0]) & (F.col(c)[3] > F.col(c)[1])
+    on_grid = lambda df, c: df.filter(filled(c)).withColumn("_cx", span(c, 0, 2)).withColumn("_cy", span(c, 1, 3))
+    low = [F.greatest(F.col(box)[i], F.col(other)[i]) for i in (0, 1)]
+    high = [F.least(F.col(box)[i], F.col(other)[i]) for i in (2, 3)]
+    here = (F.floor(low[0] / cell) == F.col("_cx")) & (F.floor(low[1] / cell) == F.col("_cy"))
+    met = on_grid(left, box).join(on_grid(right, other), [*keys, "_cx", "_cy"])
+    return met.filter(here & (low[0] < high[0]) & (low[1] < high[1])).drop("_cx", "_cy")
+
+
+def with_roles(boxes: DataFrame, tracks: DataFrame, keys: Sequence[str] = ("video_id", "track_id")) -> DataFrame:
+    """Boxes with the role of their track in their play; null where the track is unknown."""
+    roles = tracks.groupBy(*keys, "play_index").agg(F.max("role").alias("role"))
+    return boxes.join(roles, same(boxes, roles, keys, ["play_index"]), "left").select(boxes["*"], roles["role"])
+
+
+def with_jerseys(tracks: DataFrame, jerseys: DataFrame, keys: Sequence[str] = ("video_id", "track_id")) -> DataFrame:
+    """Tracks with the jersey read in their play, else with the one read for the whole video."""
+    read = jerseys.groupBy(*keys, "play_index").agg(F.max("jersey_number").alias("jersey_number"))
+    whole = read.filter("play_index IS NULL").select(*keys, F.col("jersey_number").alias("_whole"))
+    own = tracks.join(read, same(tracks, read, keys, ["play_index"]), "left").select(tracks["*"], read["jersey_number"].alias("_own"))
+    return own.join(whole, list(keys), "left").withColumn("jersey_number", F.coalesce("_own", "_whole")).drop("_own", "_whole")
+
+
+def players_of_tracks(reps: DataFrame, roster: DataFrame, order: str = "rep_index") -> DataFrame:
+    """video_id, track_id, player_id: the roster's name of the jersey, else the jersey itself.
+
+    Of a track's reps with a jersey the last by `order` counts. The roster has one row a jersey;
+    it is small, and the engine broadcasts it if its measured size allows.
+    """
+    worn = reps.filter("track_id IS NOT NULL AND jersey_number <> ''").groupBy("video_id", "track_id").agg(F.max_by("jersey_number", F.struct(order, "jersey_number")).alias("jersey_number"))
+    return worn.join(roster.select("jersey_number", "name"), "jersey_number", "left").select("video_id", "track_id", F.coalesce("name", "jersey_number").alias("player_id"))
+
+
+def frames_with_pose(frames: DataFrame, pose: DataFrame, keys: Sequence[str] = ("video_id", "frame_index")) -> DataFrame:
+    """Poses with their frame's columns; poses of frames that are missing are left out."""
+    return pose.join(frames.select(*keys, *(c for c in frames.columns if c not in pose.columns)), list(keys))
+
+
+def tracks_by_frame(tracks: DataFrame, keys: Sequence[str] = ("video_id", "frame_index")) -> DataFrame:
+    """Tracks of each frame as one array of (track_id, bbox), by track."""
+    return tracks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("track_id", "bbox"))).alias("tracks"))
+
+
 # --------------------------------------------------------------------------- one-to-one matching
 
 
@@ -133,7 +183,7 @@ def match_greedily(pairs: DataFrame, keys: Sequence[str], left: str, right: str,
 
 def match_boxes(poses: DataFrame, tracks: DataFrame, keys: Sequence[str], least: float = 0.3) -> DataFrame:
     """Pose boxes and track boxes of a frame matched one to one by falling overlap of more than `least`."""
-    joined = poses.select(*keys, "pose_id", F.col("bbox").alias("_pose")).join(tracks.select(*keys, "track_id", F.col("bbox").alias("_track")), list(keys))
+    joined = overlapping(poses.select(*keys, "pose_id", F.col("bbox").alias("_pose")), tracks.select(*keys, "track_id", F.col("bbox").alias("_track")), keys, "_pose", "_track")
     pairs = joined.select(*keys, "pose_id", "track_id", iou(F.col("_pose"), F.col("_track")).alias("iou")).filter(F.col("iou") > least)
     return match_greedily(pairs, keys, "pose_id", "track_id", ["iou", "pose_id", "track_id"], [False, True, True])
 

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapframe.functions.geometry import iou
+from snapframe.operators.joins import overlapping
+from snapframe.operators.sequences import bursts
+
 Keys = Sequence[str]
 
 
@@ -52,6 +56,26 @@ def centroid_motion(pile: DataFrame, keys: Keys, frame: str) -> DataFrame:
     return c.select(*keys, frame, F.when(F.lag(frame).over(by) == F.col(frame) - 1, step).alias("motion"))
 
 
+def snaps_of_tracks(boxes: DataFrame, keys: Keys, frame: str, **limits: float) -> DataFrame:
+    """Snaps, as keys and frame: a burst of the pile members' own motion after calm frames.
+
+    `limits` are those of `bursts`. Frames without a pile count as frames without motion.
+    """
+    motion = pile_motion(piles(boxes, [*keys, frame]), keys, frame)
+    return _snaps(boxes, motion, keys, frame, limits)
+
+
+def snaps_of_detections(boxes: DataFrame, keys: Keys, frame: str, who: str = "detection_index", **limits: float) -> DataFrame:
+    """As `snaps_of_tracks`, from boxes without identity: the motion is that of the pile's centre."""
+    motion = centroid_motion(piles(boxes, [*keys, frame], who), keys, frame)
+    return _snaps(boxes, motion, keys, frame, limits)
+
+
+def _snaps(boxes: DataFrame, motion: DataFrame, keys: Keys, frame: str, limits: dict[str, float]) -> DataFrame:
+    every = boxes.select(*keys, frame).distinct().join(motion, [*keys, frame], "left")
+    return bursts(every, keys, frame, "motion", **limits)
+
+
 def formations(boxes: DataFrame, keys: Keys, who: str = "track_id", group: int = 4, gap: float = 1.0, span: float = 6.0) -> DataFrame:
     """Frames split in two lines: keys, axis, gap and span in widths, sizes of both sides.
 
@@ -77,9 +101,8 @@ def formations(boxes: DataFrame, keys: Keys, who: str = "track_id", group: int =
 
 def crowded(boxes: DataFrame, keys: Keys, who: str = "track_id", overlap: float = 0.35, others: int = 2) -> DataFrame:
     """Whether a box overlaps at least `others` boxes of its frame by more than `overlap`."""
-    from snapframe.functions.geometry import iou
-
+    a = boxes.select(*keys, who, "bbox")
     b = boxes.select(*keys, F.col(who).alias("_w"), F.col("bbox").alias("_b"))
-    met = boxes.join(b, list(keys)).filter((F.col(who) != F.col("_w")) & (iou(F.col("bbox"), F.col("_b")) > overlap))
+    met = overlapping(a, b, keys, "bbox", "_b").filter((F.col(who) != F.col("_w")) & (iou(F.col("bbox"), F.col("_b")) > overlap))
     counts = met.groupBy(*keys, who).agg(F.count(F.lit(1)).alias("_n"))
     return boxes.join(counts, [*keys, who], "left").select(*boxes.columns, (F.coalesce("_n", F.lit(0)) >= others).alias("crowded"))

@@ -10,12 +10,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapframe.operators.upsert import upsert
+
 # The stages in their order.
 STAGES = (
     "metadata", "download", "authenticity_check", "whistle_detection", "frame_extraction", "motion_compensation", "play_detection", "detection",
     "tracking", "pose", "torso_crop", "role_classification", "jersey_ocr", "rep_extraction", "biomechanics", "complete",
 )
 MAX_RETRIES = 3
+RETRYABLE_ERRORS = ("FirestoreError", "DependencyError", "QueueError")
 
 
 def stage_rank(stage: Column, stages: Sequence[str] = STAGES) -> Column:
@@ -56,6 +59,49 @@ def after_failure(retries: Column, most: Column) -> Column:
     return F.struct(F.when(used >= most, "failed").otherwise("queued").alias("status"), used.alias("retry_count"))
 
 
+def is_retryable(error: Column) -> Column:
+    """Whether an error's exact kind is a passing one; null kinds are not."""
+    return F.coalesce(error.isin(*RETRYABLE_ERRORS), F.lit(False))
+
+
+def count_attempts(attempts: DataFrame, tries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, attempt: every row of `tries` adds one to its key, null keys being equal."""
+    every = attempts.select(*keys, "attempt").unionByName(tries.select(*keys, F.lit(1).alias("attempt")))
+    return every.groupBy(*keys).agg(F.sum("attempt").alias("attempt"))
+
+
+def mark_completed(queue: DataFrame, done: DataFrame, key: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """The finished jobs, with status and time set, and the queue without them.
+
+    Both come from the same keys, so no completed row stays in the queue. Ids that the queue
+    lacks change nothing.
+    """
+    ids = done.select(key).distinct()
+    finished = queue.join(ids, key, "left_semi").withColumn("status", F.lit("completed")).withColumn("completed_at", at)
+    return finished.select(*queue.columns, *{"status", "completed_at"}.difference(queue.columns)), queue.join(ids, key, "left_anti")
+
+
+def propagate_failures(failed: DataFrame, stages: DataFrame, plays: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stages, plays and videos after jobs (video_id, stage_name, play_index, error) failed for good.
+
+    The job's stage fails, or is added as failed; then its play, or, for a job without play, its
+    video. Columns of stages: video_id, stage_name, play_index, status, error; of plays: video_id,
+    play_index, status; of videos: video_id, status. Further columns are kept.
+    """
+    keys = ["video_id", "stage_name", "play_index"]
+    status = F.lit("failed").alias("status")
+    changes = failed.groupBy(*keys).agg(F.max("error").alias("error")).withColumn("status", F.lit("failed"))
+    of_plays = failed.filter("play_index IS NOT NULL").select("video_id", "play_index").distinct()
+    of_videos = failed.filter("play_index IS NULL").select("video_id").distinct()
+    mark = lambda df, keys, gone: df.join(gone.withColumn("_gone", F.lit(True)), keys, "left").withColumn("status", F.when(F.col("_gone"), status).otherwise(F.col("status"))).select(*df.columns)
+    return upsert(stages, changes, keys[:2], keys[2:]), mark(plays, ["video_id", "play_index"], of_plays), mark(videos, ["video_id"], of_videos)
+
+
+def unclaimed(videos: DataFrame, claimed: str, created: str, now: Column, hours: float) -> DataFrame:
+    """Videos that nobody has claimed within `hours`."""
+    return stale(videos, F.col(claimed).isNull(), created, now, hours * 60)
+
+
 def backoff_seconds(attempt: Column) -> Column:
     return 0.1 * F.pow(F.lit(2.0), attempt - 1)
 

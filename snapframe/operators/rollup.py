@@ -188,3 +188,27 @@ def signal_flags(df: DataFrame, keys: Sequence[str], order: str, value: str, mos
     agg = df.withColumn("_d", step).groupBy(*keys).agg(F.var_pop(value).alias("variance"), F.max("_d").alias("drift"), F.avg("_d").alias("mean_step"))
     reasons = F.array_compact(F.array(F.when(F.col("drift") > most_drift, "drift"), F.when(F.col("variance") > most_variance, "variance")))
     return agg.withColumn("reasons", F.concat_ws(",", reasons)).withColumn("flagged", F.size(reasons) > 0)
+
+
+def inlier_summary(motion: DataFrame, keys: Sequence[str], ratio: str = "inlier_ratio") -> DataFrame:
+    """Mean share of inliers of each video's camera motion; 0 without a known one."""
+    return motion.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.avg(ratio), F.lit(0.0)).alias("mean_inlier_ratio"))
+
+
+def file_integrity(frames: DataFrame, tags: DataFrame, key: str, window: float = 30.0, most: float = 12.0) -> DataFrame:
+    """Signs of re-encoding, of each file of `tags` (key, encoder, creation_time).
+
+    `frames` (key, pict_type) are those of the file's first `window` seconds; a file with frames
+    should have a keyframe at least every `most` seconds. Empty tags count as missing.
+    """
+    typed = F.col("pict_type").isNotNull() & (F.col("pict_type") != "")
+    counts = frames.groupBy(key).agg(F.count_if(typed).alias("sampled"), F.count_if(F.col("pict_type") == "I").alias("keyframes"))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    interval = F.when(F.col("keyframes") > 0, F.lit(window) / F.col("keyframes"))
+    reasons = F.array_compact(F.array(
+        F.when(~named("encoder") & ~named("creation_time"), "missing_encoder_and_creation_time_metadata"),
+        F.when(interval > most, F.format_string("sparse_keyframe_interval_%.1fs", interval)).when((F.col("sampled") > 0) & (F.col("keyframes") == 0), "no_keyframe_in_sample_window"),
+    ))
+    joined = tags.join(counts, key, "left").na.fill(0, ["sampled", "keyframes"]).withColumn("reasons", reasons)
+    flagged = F.size("reasons") > 0
+    return joined.select(key, "sampled", "keyframes", F.round(interval, 2).alias("keyframe_interval"), "reasons", flagged.alias("flagged"), F.when(flagged, "medium").otherwise("low").alias("confidence"))

@@ -95,9 +95,9 @@ def videos_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_videos, b.k IS NOT NULL AS in_queue
-    FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 > 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k""")
+    FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal >= 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k""")
 def queue_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"))
+    a = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("k"))
     b = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("k"))
     return joins.existence(a, b, "k", "in_videos", "in_queue")
 
@@ -123,14 +123,14 @@ def nearby_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as boxes of a frame (their nation), on a grid so that they overlap."""
+    """Customers as boxes of frames (their nation, 1,500 customers at a time), on a grid so that they overlap."""
     x, y = (F.col("c_custkey") * 7 % 200).cast("double"), (F.col("c_custkey") * 13 % 90).cast("double")
     w, h = (F.col("c_custkey") % 5 + 8).cast("double"), (F.col("c_custkey") % 7 + 10).cast("double")
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("frame"), F.col("c_custkey").alias("track_id"), F.array(x, y, x + w, y + h).alias("bbox"))
+    return table(spark, sf_dir, "customer").select((F.floor(F.col("c_custkey") / 1500) * 25 + F.col("c_nationkey")).alias("frame"), F.col("c_custkey").alias("track_id"), F.array(x, y, x + w, y + h).alias("bbox"))
 
 
 _BOXES = """
-    b AS (SELECT c_nationkey AS frame, c_custkey AS track_id, (c_custkey * 7 % 200)::DOUBLE AS x0, (c_custkey * 13 % 90)::DOUBLE AS y0,
+    b AS (SELECT CAST(floor(c_custkey / 1500) AS BIGINT) * 25 + c_nationkey AS frame, c_custkey AS track_id, (c_custkey * 7 % 200)::DOUBLE AS x0, (c_custkey * 13 % 90)::DOUBLE AS y0,
                  (c_custkey * 7 % 200 + c_custkey % 5 + 8)::DOUBLE AS x1, (c_custkey * 13 % 90 + c_custkey % 7 + 10)::DOUBLE AS y1 FROM customer),
     p AS (SELECT a.frame, a.track_id AS t, c.track_id AS u, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS i,
                  (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS s FROM b a JOIN b c ON a.frame = c.frame)"""
@@ -140,7 +140,7 @@ _BOXES = """
 def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = boxes(spark, sf_dir)
     b = a.select("frame", F.col("track_id").alias("u"), F.col("bbox").alias("other"))
-    pairs = a.join(b, "frame").filter("track_id < u").select("frame", F.col("track_id").alias("t"), "u", geometry.iou(F.col("bbox"), F.col("other")).alias("iou"))
+    pairs = joins.overlapping(a, b, ["frame"], "bbox", "other").filter("track_id < u").select("frame", F.col("track_id").alias("t"), "u", geometry.iou(F.col("bbox"), F.col("other")).alias("iou"))
     return pairs.filter(F.col("iou") > 0.3).withColumn("iou", F.round("iou", 6))
 
 
@@ -175,9 +175,10 @@ def pile_centroid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).withColumn("frame", F.col("frame") % 3)
-    poses = b.filter("track_id % 2 = 0").select("frame", F.col("track_id").alias("pose_id"), "bbox")
-    return joins.match_boxes(poses, b.filter("track_id % 2 = 1"), ["frame"]).withColumn("iou", F.round("iou", 6))
+    tracks = boxes(spark, sf_dir)
+    shifted = F.array(*(F.col("bbox")[i] + d for i, d in enumerate((2.0, 1.0, 2.0, 1.0))))
+    poses = tracks.select("frame", F.col("track_id").alias("pose_id"), shifted.alias("bbox"))
+    return joins.match_boxes(poses, tracks, ["frame"]).withColumn("iou", F.round("iou", 6))
 
 
 @query()
@@ -245,15 +246,16 @@ def representative_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 10 < 5)
+    WITH b AS (SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS o_custkey, o_totalprice, o_orderstatus FROM orders)
     SELECT coalesce(b.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_custkey ELSE b.o_custkey END AS o_custkey, coalesce(n.o_totalprice, b.o_totalprice) AS o_totalprice, b.o_orderstatus
-    FROM b FULL JOIN (SELECT o_orderkey + 10 - 7 AS o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS o_custkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 10 IN (1, 8)) n
+    FROM b FULL JOIN (SELECT CASE WHEN o_orderdate < DATE '1996-01-01' THEN o_orderkey ELSE o_orderkey + 1000000000 END AS o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS o_custkey, o_totalprice * 2 AS o_totalprice FROM orders) n
     ON b.o_orderkey = n.o_orderkey AND b.o_custkey IS NOT DISTINCT FROM n.o_custkey""")
 def upserted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     cust = F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey")).alias("o_custkey")
-    base = o.filter(k % 10 < 5).select(k, cust, "o_totalprice", "o_orderstatus")
-    changes = o.filter((k % 10).isin(1, 8)).select((k + 3).alias("o_orderkey"), cust, (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    base = o.select(k, cust, "o_totalprice", "o_orderstatus")
+    old = F.col("o_orderdate") < F.lit("1996-01-01").cast("date")
+    changes = o.select(F.when(old, k).otherwise(k + 1000000000).alias("o_orderkey"), cust, (F.col("o_totalprice") * 2).alias("o_totalprice"))
     return upsert.upsert(base, changes, ["o_orderkey"], ["o_custkey"])
 
 
@@ -271,12 +273,14 @@ def whole_upserted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT (o_custkey % 3 = 0 AND o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 2000)
-    UNION ALL SELECT o_orderkey, o_custkey, -1 FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 10""")
+    WITH s AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal >= 0)
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT (o_custkey IN (FROM s) AND o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 2000)
+    UNION ALL SELECT o_orderkey, o_custkey, -1 FROM orders WHERE o_custkey IN (FROM s) AND o_orderkey BETWEEN o_custkey * 5 AND o_custkey * 5 + 10""")
 def replaced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    spans = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") * 5).alias("low"), (F.col("c_custkey") * 5 + 2000).alias("high"))
-    fresh = o.filter((F.col("o_custkey") % 3 == 0) & F.col("o_orderkey").between(F.col("o_custkey") * 5, F.col("o_custkey") * 5 + 10)).withColumn("o_totalprice", F.lit(-1.0))
+    spans = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") * 5).alias("low"), (F.col("c_custkey") * 5 + 2000).alias("high"))
+    fresh = o.filter(F.col("o_orderkey").between(F.col("o_custkey") * 5, F.col("o_custkey") * 5 + 10)).join(spans.select("o_custkey"), "o_custkey", "left_semi")
+    fresh = fresh.select("o_orderkey", "o_custkey", F.lit(-1.0).alias("o_totalprice"))
     return upsert.replace_range(o, fresh, "o_custkey", "o_orderkey", spans)
 
 
@@ -303,15 +307,15 @@ def purged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT o_custkey, CASE WHEN o_custkey % 2 > 0 THEN o_custkey % 5 END AS play, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)
+    WITH b AS (SELECT o_custkey, CASE WHEN o_custkey % 2 > 0 THEN o_custkey % 5 END AS play, o_orderstatus FROM orders)
     SELECT o_custkey, play, o_orderstatus FROM b
     UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 > 0 THEN c_custkey % 5 END, 'new' FROM customer c
-    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.o_custkey = c.c_custkey AND b.o_orderstatus <> 'F' AND b.play IS NOT DISTINCT FROM CASE WHEN c.c_custkey % 2 > 0 THEN c.c_custkey % 5 END)""")
+    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.o_custkey = c.c_custkey AND b.o_orderstatus = 'O' AND b.play IS NOT DISTINCT FROM CASE WHEN c.c_custkey % 2 > 0 THEN c.c_custkey % 5 END)""")
 def inserted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     play = lambda c: F.when(F.col(c) % 2 > 0, F.col(c) % 5).alias("play")
-    base = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select("o_custkey", play("o_custkey"), "o_orderstatus")
+    base = table(spark, sf_dir, "orders").select("o_custkey", play("o_custkey"), "o_orderstatus")
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), play("c_custkey"), F.lit("new").alias("o_orderstatus"))
-    return upsert.insert_new(base, rows, ["o_custkey"], ["play"], F.col("o_orderstatus") != "F")
+    return upsert.insert_new(base, rows, ["o_custkey"], ["play"], F.col("o_orderstatus") == "O")
 
 
 @query("""

@@ -303,6 +303,53 @@ def test_one_snap_from_a_calm_pile(spark):
     assert len(snaps) == 1 and 28 <= snaps[0] <= 32
 
 
+def test_snap_pipelines(spark):
+    rng = random.Random(1)
+    rows = []
+    for f in range(55):
+        for t in range(8):
+            x = 100 + 4 * t + rng.random() * 0.5 + 12 * max(0, min(f - 29, 5))
+            rows.append(("v", f, t, [x, 50.0, x + 10, 70.0]))
+    rows += [("w", f, t, [4.0 * t, 0.0, 4.0 * t + 10, 20.0]) for f in range(9) for t in range(8)]
+    boxes = frame(spark, rows, "video_id string, frame int, track_id int, bbox array<double>")
+    for found in (piles.snaps_of_tracks(boxes, ["video_id"], "frame"), piles.snaps_of_detections(boxes, ["video_id"], "frame", "track_id")):
+        assert [(r.video_id, 28 <= r.frame <= 32) for r in found.collect()] == [("v", True)]
+    assert piles.snaps_of_tracks(boxes.limit(0), ["video_id"], "frame").count() == 0
+
+
+def test_overlapping_boxes_meet_once(spark):
+    rng = random.Random(5)
+    sides = [(rng.randint(-90, 90), rng.randint(-90, 90), rng.randint(0, 70), rng.randint(0, 70)) for _ in range(80)]
+    box = lambda v: [float(v[0]), float(v[1]), float(v[0] + v[2]), float(v[1] + v[3])]
+    rows = [(i % 2, i, box(v)) for i, v in enumerate(sides)]
+    a = frame(spark, rows, "f int, i int, a array<double>")
+    b = frame(spark, rows, "f int, j int, b array<double>")
+    got = sorted((r.i, r.j) for r in joins.overlapping(a, b, ["f"], "a", "b", 16.0).collect())
+    meets = lambda p, q: min(p[2], q[2]) > max(p[0], q[0]) and min(p[3], q[3]) > max(p[1], q[1])
+    assert got == sorted((i, j) for f, i, p in rows for g, j, q in rows if f == g and meets(p, q))
+
+
+def test_jobs_after_the_end(spark):
+    queue = frame(spark, [(1, "processing"), (2, "queued"), (None, "queued")], "id int, status string")
+    finished, left = queueing.mark_completed(queue, frame(spark, [(1,), (1,), (9,)], "id int"), "id", F.lit("t"))
+    assert [(r.id, r.status, r.completed_at) for r in finished.collect()] == [(1, "completed", "t")]
+    assert sorted(str(r.id) for r in left.collect()) == ["2", "None"]
+    counted = queueing.count_attempts(frame(spark, [("v", None, 2)], "v string, p int, attempt int"), frame(spark, [("v", None), ("v", 1), ("v", 1)], "v string, p int"), ["v", "p"])
+    assert sorted((str(r.p), r.attempt) for r in counted.collect()) == [("1", 2), ("None", 3)]
+    kinds = frame(spark, [("QueueError",), ("PipelineError",), (None,)], "e string").select(queueing.is_retryable(F.col("e")).alias("x"))
+    assert [r.x for r in kinds.collect()] == [True, False, False]
+
+
+def test_failures_reach_play_or_video(spark):
+    failed = frame(spark, [("a", "pose", 1, "x"), ("b", "pose", None, "y")], "video_id string, stage_name string, play_index int, error string")
+    stages = frame(spark, [("a", "pose", 1, "processing", None), ("a", "pose", 2, "completed", None)], "video_id string, stage_name string, play_index int, status string, error string")
+    plays = frame(spark, [("a", 1, "processing"), ("a", 2, "completed")], "video_id string, play_index int, status string")
+    s, p, v = queueing.propagate_failures(failed, stages, plays, frame(spark, [("a", "processing"), ("b", "processing")], "video_id string, status string"))
+    assert sorted((r.video_id, r.play_index or 0, r.status, r.error) for r in s.collect()) == [("a", 1, "failed", "x"), ("a", 2, "completed", None), ("b", 0, "failed", "y")]
+    assert sorted((r.play_index, r.status) for r in p.collect()) == [(1, "failed"), (2, "completed")]
+    assert sorted((r.video_id, r.status) for r in v.collect()) == [("a", "processing"), ("b", "failed")]
+
+
 def test_two_lines_make_a_formation(spark):
     line = [("v", 0, t, [x, 20.0 * t, x + 10, 20.0 * t + 15]) for t in range(10) for x in [0.0 if t % 2 else 60.0]]
     heap = [("v", 1, t, [float(t), float(t), t + 10.0, t + 15.0]) for t in range(10)]
