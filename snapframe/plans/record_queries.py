@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapframe.functions import geometry
-from snapframe.operators import joins, queueing, rollup
+from snapframe.functions import geometry, text
+from snapframe.operators import joins, queueing, rollup, tracking, upsert
 from snapframe.plans.registry import query
 from snapframe.session import table
 
 
-def _play(c):
+def _play(c: Column) -> Column:
     return F.when(c % 4 > 0, c % 4)
 
 
@@ -26,12 +26,12 @@ def boxes_with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH j AS (SELECT c_nationkey AS v, c_custkey % 9 AS t, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 END AS p, max(c_phone) AS jersey FROM customer GROUP BY ALL),
+    WITH j AS (SELECT c_nationkey AS v, c_custkey % 9 AS t, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 END AS p, max(c_name) AS jersey FROM customer GROUP BY ALL),
     o AS (SELECT o_orderkey, o_custkey % 30 AS v, o_orderkey % 9 AS t, CASE WHEN o_orderkey % 7 < 5 THEN o_orderkey % 7 END AS p FROM orders)
     SELECT o_orderkey, coalesce(a.jersey, b.jersey) AS jersey_number FROM o LEFT JOIN j a ON o.v = a.v AND o.t = a.t AND o.p IS NOT DISTINCT FROM a.p LEFT JOIN j b ON o.v = b.v AND o.t = b.t AND b.p IS NULL""")
 def tracks_with_jerseys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = F.col("c_custkey"), F.col("o_orderkey")
-    read = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("video_id"), (c % 9).alias("track_id"), _play(c).alias("play_index"), F.col("c_phone").alias("jersey_number"))
+    read = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("video_id"), (c % 9).alias("track_id"), _play(c).alias("play_index"), F.col("c_name").alias("jersey_number"))
     tracks = table(spark, sf_dir, "orders").select(k, (F.col("o_custkey") % 30).alias("video_id"), (k % 9).alias("track_id"), F.when(k % 7 < 5, k % 7).alias("play_index"))
     return joins.with_jerseys(tracks, read).select("o_orderkey", "jersey_number")
 
@@ -153,3 +153,80 @@ def crop_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = geometry.resolution_scale(F.lit(1280), F.lit(720), k % 41, k % 5)
     found = table(spark, sf_dir, "customer").select(k, geometry.uniform_role(k % 41, F.lit(40), share, rows).alias("u"), scale.alias("s"), geometry.accepted_pose(landmarks, share).alias("pose_accepted"))
     return found.select(k, "u.role", F.round("u.confidence", 9).alias("confidence"), F.round("s.x", 9).alias("scale_x"), "pose_accepted")
+
+
+# --------------------------------------------------------------------------- poses and camera
+
+
+def _keypoints(k: Column) -> Column:
+    """Four torso keypoints of a number, some of them without confidence."""
+    point = lambda i: F.struct(
+        ((k * 7 + i * 13) % 100 / F.lit(100.0)).alias("x"), ((k * 11 + i * 29) % 100 / F.lit(100.0)).alias("y"), F.lit(0.0).alias("z"), ((k * 3 + i * 17) % 10 / F.lit(10.0)).alias("confidence")
+    )
+    return F.create_map(*(x for i, name in enumerate(geometry.TORSO) for x in (F.lit(name), point(i))))
+
+
+@query("""
+    WITH p AS (SELECT c_custkey, i, (c_custkey * 7 + i * 13) % 100 / 100.0::DOUBLE AS x, (c_custkey * 11 + i * 29) % 100 / 100.0::DOUBLE AS y, (c_custkey * 3 + i * 17) % 10 / 10.0::DOUBLE AS c,
+                      ((c_custkey + 1) * 7 + i * 13) % 100 / 100.0::DOUBLE AS x2, ((c_custkey + 1) * 11 + i * 29) % 100 / 100.0::DOUBLE AS y2, ((c_custkey + 1) * 3 + i * 17) % 10 / 10.0::DOUBLE AS c2 FROM customer, range(4) t(i))
+    SELECT c_custkey, round(coalesce(avg(x) FILTER (c > 0.3), 0.5), 9) AS cx, round(coalesce(avg(y) FILTER (c > 0.3), 0.5), 9) AS cy,
+           round(coalesce(avg(sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2))) FILTER (c >= 0.3 AND c2 >= 0.3), 0), 9) AS moved,
+           CASE WHEN count(*) FILTER (c >= 0.3) >= 3 THEN min(x) FILTER (c >= 0.3) END AS left_edge, CASE WHEN count(*) FILTER (c >= 0.3) >= 3 THEN max(y) FILTER (c >= 0.3) END AS lower_edge,
+           max(trunc(x * 1280)) FILTER (i = 0) AS px, round(max(x / 1280) FILTER (i = 0), 9) AS nx FROM p GROUP BY c_custkey""")
+def pose_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k, _keypoints(k).alias("now"), _keypoints(k + 1).alias("next"))
+    now, first = F.col("now"), geometry.TORSO[0]
+    centre, box, size = geometry.torso_centre(now), geometry.keypoint_box(now), (F.lit(1280), F.lit(720))
+    return rows.select(
+        k, F.round(centre["x"], 9).alias("cx"), F.round(centre["y"], 9).alias("cy"), F.round(geometry.displacement(now, F.col("next")), 9).alias("moved"), box[0].alias("left_edge"), box[3].alias("lower_edge"),
+        geometry.denormalised(now, *size)[first]["x"].alias("px"), F.round(geometry.normalised(now, *size)[first]["x"], 9).alias("nx"),
+    )
+
+
+@query("""
+    SELECT user_id, event_id, sum(CASE WHEN event_id % 7 > 0 THEN event_id % 5 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::DOUBLE AS tx,
+           sum(CASE WHEN event_id % 7 > 0 THEN event_id % 3 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::DOUBLE AS ty FROM events""")
+def camera_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, one, zero = F.col("event_id"), F.lit(1.0), F.lit(0.0)
+    move = F.array(one, zero, (k % 5).cast("double"), zero, one, (k % 3).cast("double"), zero, zero, one)
+    motions = table(spark, sf_dir, "events").select("user_id", k, move.alias("homography_to_prev"), (k % 7 == 0).alias("low_confidence"))
+    h = F.col("homography_to_ref")
+    return tracking.camera_to_reference(motions, ["user_id"], "event_id").select("user_id", "event_id", h[2].alias("tx"), h[5].alias("ty"))
+
+
+@query("""
+    WITH n AS (SELECT user_id, count(*) FILTER (event_type = 'signup') AS truths, count(*) FILTER (event_type = 'error') AS candidates, count(*) FILTER (event_type = 'click') AS matched FROM events GROUP BY ALL)
+    SELECT user_id, truths, candidates, matched, CASE WHEN truths > 0 THEN round(matched / truths, 9) ELSE 0 END AS recall, CASE WHEN candidates > 0 THEN round(matched / candidates, 9) ELSE 0 END AS precision,
+           truths - matched AS missed, candidates - matched AS false_positives FROM n WHERE truths + candidates > 0""")
+def found_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kind = lambda name: e.filter(F.col("event_type") == name).select("user_id")
+    found = rollup.detection_quality(kind("error"), kind("signup"), kind("click"), ["user_id"])
+    return found.withColumns({c: F.round(c, 9) for c in ("recall", "precision")})
+
+
+# --------------------------------------------------------------------------- stages and fields
+
+
+@query("""
+    SELECT o_orderkey, ['metadata', 'download', 'authenticity_check', 'whistle_detection', 'frame_extraction', 'motion_compensation', 'play_detection', 'detection', 'tracking', 'pose', 'torso_crop', 'role_classification',
+                        'jersey_ocr', 'rep_extraction', 'biomechanics', 'complete'][o_orderkey % 16 + 2] AS following, regexp_replace(o_orderpriority, '[^0-9]', '', 'g') AS priority,
+           length(CAST(o_custkey AS VARCHAR)) <= 3 AS jersey, o_orderstatus AS status, CASE WHEN o_orderkey % 3 > 0 THEN '1' END AS tries FROM orders""")
+def stage_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    stage = F.element_at(F.array(*(F.lit(s) for s in queueing.STAGES)), (k % 16 + 1).cast("int"))
+    held = F.when(k % 3 > 0, F.create_map(F.lit("pose"), F.create_map(F.lit("status"), F.lit("old"), F.lit("tries"), F.lit("1")))).otherwise(F.create_map(F.lit("tracking"), F.create_map(F.lit("status"), F.lit("old"))))
+    rows = table(spark, sf_dir, "orders").withColumn("stages", held)
+    pose = upsert.set_nested(F.col("stages"), "pose", "status", F.col("o_orderstatus"))["pose"]
+    return rows.select(
+        k, queueing.next_stage(stage).alias("following"), text.digits(F.col("o_orderpriority")).alias("priority"), text.is_jersey(F.col("o_custkey").cast("string")).alias("jersey"), pose["status"].alias("status"), pose["tries"].alias("tries")
+    )
+
+
+@query("SELECT event_id, date_diff('microsecond', ts, TIMESTAMP '2024-02-15') AS age FROM events")
+def event_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages in minutes, told in whole microseconds."""
+    utc = F.expr("to_timestamp(concat(cast(ts as string), '+00:00'))")
+    now = F.expr("to_timestamp('2024-02-15 00:00:00+00:00')")
+    return table(spark, sf_dir, "events").select("event_id", F.round(text.age_minutes(utc, now) * 60_000_000).cast("long").alias("age"))
