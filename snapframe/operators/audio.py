@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapframe.functions.scores import clip
-from snapframe.operators.sequences import islands
+from snapframe.operators.sequences import islands, sessions
 
 WEIGHTS = {"onset": 0.40, "energy": 0.35, "spectral": 0.25}
 
@@ -46,7 +46,8 @@ def merge_events(events: DataFrame, keys: Sequence[str], gap: float = 0.1) -> Da
     """Events at most `gap` seconds after the one before, folded into it in order of time.
 
     The merged event takes the time of the surer one, averages the other figures pairwise and
-    keeps the longer duration; the next event is compared with the merged one's time.
+    keeps the longer duration; the next event is compared with the merged one's time. That time is
+    never after the event before, so a key's events are cut at wider gaps and folded piece by piece.
     """
     fields = ["timestamp", "confidence", "onset_strength", "spectral_centroid", "duration"]
     kind = "array<struct<" + ",".join(f"{c}:double" for c in fields) + ">>"
@@ -63,6 +64,7 @@ def merge_events(events: DataFrame, keys: Sequence[str], gap: float = 0.1) -> Da
         near = (F.size(done) > 0) & (e["timestamp"] - last["timestamp"] <= gap)
         return F.when(near, F.array_append(F.slice(done, 1, F.size(done) - 1), merged(last, e))).otherwise(F.array_append(done, e))
 
-    grouped = events.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    cut = sessions(events, keys, "timestamp", lambda at, before: at - before > gap)
+    grouped = cut.groupBy(*keys, "_session").agg(F.sort_array(F.collect_list(row)).alias("_all"))
     folded = F.aggregate("_all", F.array().cast(kind), step)
     return grouped.select(*keys, F.explode(folded).alias("_e")).select(*keys, "_e.*")

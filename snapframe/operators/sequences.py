@@ -7,7 +7,7 @@ last row *kept* (thinning), a group's ordered values are folded by a built-in ag
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,17 +100,28 @@ def segments_between(found: DataFrame, sizes: DataFrame, keys: Keys, least: int
 # --------------------------------------------------------------------------- thinning, ranges
 
 
+def sessions(df: DataFrame, keys: Keys, at: str, far: Callable[[Column, Column], Column]) -> DataFrame:
+    """The rows with a number _session, which rises at each row that is `far` from the row before in order of `at`.
+
+    Rows without a comparison, null ones included, start a session.
+    """
+    by = _by(keys, at)
+    starts = F.coalesce(far(F.col(at), F.lag(at).over(by)), F.lit(True)).cast("long")
+    return df.withColumn("_starts", starts).withColumn("_session", F.sum("_starts").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_starts")
+
+
 def thin(df: DataFrame, keys: Keys, at: str, gap: float, inclusive: bool = False) -> DataFrame:
     """Keep a row only if it is more than `gap` (with `inclusive`, at least) after the last row kept.
 
-    Result: keys and the kept values of `at`. Groups are expected to be small: candidates of one
-    video. Equal values count once.
+    Result: keys and the kept values of `at`. Equal values count once, nulls not at all. A row that
+    far from the row before is always kept, so a key's rows are cut there and folded piece by piece.
     """
     far = (lambda x, last: x - last >= gap) if inclusive else (lambda x, last: x - last > gap)
     values = F.array_sort(F.collect_set(at))
+    cut = sessions(df.filter(F.col(at).isNotNull()), keys, at, far)
     first = F.array().cast(f"array<{df.schema[at].dataType.simpleString()}>")
     fold = F.aggregate(F.col("_all"), first, lambda kept, x: F.when((F.size(kept) == 0) | far(x, F.element_at(kept, -1)), F.array_append(kept, x)).otherwise(kept))
-    return df.groupBy(*keys).agg(values.alias("_all")).select(*keys, F.explode(fold).alias(at))
+    return cut.groupBy(*keys, "_session").agg(values.alias("_all")).select(*keys, F.explode(fold).alias(at))
 
 
 def merge_candidates(lists: Sequence[DataFrame], keys: Keys, at: str, window: float) -> DataFrame:

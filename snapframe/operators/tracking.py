@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,7 @@ LIKENESS_WEIGHT = 0.5
 LOST_FRAMES = 10
 LOST_FRAMES_CROWDED = 45
 CROWD_OVERLAP = 0.35
+SPAN = 1024  # frames multiplied up in one task
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,16 +123,31 @@ def track(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
 def camera_to_reference(motions: DataFrame, keys: Sequence[str], order: str = "frame_index") -> DataFrame:
     """Product of the homographies up to each frame: keys, order, homography_to_ref.
 
-    An unreliable or missing estimate counts as no motion. The fold runs once over each video's
-    ordered rows, carrying the products along.
+    An unreliable or missing estimate counts as no motion. Spans of SPAN frames are multiplied up
+    by themselves; only the spans' products are folded video by video, and each span then carries
+    the product of those before it along its frames.
     """
     identity = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
-    row = F.struct(F.col(order).alias("i"), F.when(F.coalesce("low_confidence", F.lit(True)), identity).otherwise(F.coalesce("homography_to_prev", identity)).alias("h"))
-    grouped = motions.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))
-    start = F.struct(identity.alias("h"), F.array().cast("array<struct<i:bigint,h:array<double>>>").alias("done"))
-
-    def step(a, r):
-        return F.transform(F.array(matrix_product(a["h"], r["h"])), lambda h: F.struct(h.alias("h"), F.array_append(a["done"], F.struct(r["i"].cast("long").alias("i"), h.alias("h"))).alias("done")))[0]
-
-    done = F.aggregate("_all", start, step, lambda a: a["done"])
-    return grouped.select(*keys, F.explode(done).alias("_r")).select(*keys, F.col("_r.i").alias(order), F.col("_r.h").alias("homography_to_ref"))
+    move = F.when(F.coalesce("low_confidence", F.lit(True)), identity).otherwise(F.coalesce("homography_to_prev", identity))
+    row = F.struct(F.col(order).cast("long").alias("i"), move.alias("h"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, move)) - 1
+    placed = motions.select(*keys, row.alias("_row"), F.floor(place / SPAN).alias("_span"))
+    spans = placed.groupBy(*keys, "_span").agg(F.sort_array(F.collect_list("_row")).alias("_all"))
+
+    def running(rows: str, start, carried):
+        """The rows' places with the product carried to them: `carried` picks it from the products before and after a row."""
+        empty = F.array().cast("array<struct<i:bigint,h:array<double>>>")
+
+        def step(a, r):
+            after = F.array(matrix_product(a["h"], r["h"]))
+            return F.transform(after, lambda h: F.struct(h.alias("h"), F.array_append(a["done"], F.struct(r["i"].alias("i"), carried(a["h"], h).alias("h"))).alias("done")))[0]
+
+        return F.aggregate(rows, F.struct(start.alias("h"), empty.alias("done")), step, lambda a: a["done"])
+
+    product = F.aggregate("_all", identity, lambda a, r: matrix_product(a, r["h"]))
+    videos = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_span").alias("i"), product.alias("h")))).alias("_spans"))
+    before = videos.select(*keys, F.explode(running("_spans", identity, lambda old, new: old)).alias("_b"))
+    before = before.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_b.i").alias("_at"), F.col("_b.h").alias("_carry"))
+    met = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)), F.col("_span") == F.col("_at"))
+    done = spans.join(before, met).select(*keys, F.explode(running("_all", F.col("_carry"), lambda old, new: new)).alias("_r"))
+    return done.select(*keys, F.col("_r.i").alias(order), F.col("_r.h").alias("homography_to_ref"))

@@ -471,3 +471,46 @@ def test_median_puts_zeros_in_their_place(spark):
     from snapframe.operators import rollup
 
     assert rollup.roll_up(df, ["g"], "median").first().traits == {"a": -0.5, "b": 3.0}
+
+
+def test_folds_over_cut_groups_equal_whole_ones(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from snapframe.operators import audio, sequences, tracking
+
+    draw = random.Random(3)
+    points = [(k, draw.randrange(300)) for k in ("a", None) for _ in range(80)] + [("a", None), ("b", None), ("c", 5), ("c", 5)]
+    for inclusive in (False, True):
+        want = []
+        for key in ("a", None, "c"):
+            last = None
+            for x in sorted({v for k, v in points if k == key and v is not None}):
+                if last is None or x - last > 4 or (inclusive and x - last == 4):
+                    want.append((key, x))
+                    last = x
+        got = sequences.thin(spark.createDataFrame(points, "k string, x long"), ["k"], "x", 4, inclusive).collect()
+        assert sorted(map(str, ((r.k, r.x) for r in got))) == sorted(map(str, want))
+
+    events = [("v", draw.randrange(400) / 16, draw.random(), draw.random(), 1.0, draw.random()) for _ in range(120)]
+    names = ["timestamp", "confidence", "onset_strength", "spectral_centroid", "duration"]
+    want = []
+    for e in sorted(e[1:] for e in events):
+        if want and e[0] - want[-1][0] <= 0.125:
+            a = want[-1]
+            want[-1] = (e[0] if e[1] > a[1] else a[0], min(1.0, max(0.0, (a[1] + e[1]) / 2)), (a[2] + e[2]) / 2, (a[3] + e[3]) / 2, max(a[4], e[4]))
+        else:
+            want.append(e)
+    got = audio.merge_events(spark.createDataFrame(events, ["k", *names]), ["k"], 0.125).collect()
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(want)
+
+    turn = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    moves = [(v, i, None if i == 4 else turn if i % 2 else [1.0, 0.0, float(i), 0.0, 1.0, 2.0, 0.0, 0.0, 1.0], i % 5 == 3) for v in ("a", None) for i in range(23)]
+    frame = spark.createDataFrame(moves, "v string, frame_index long, homography_to_prev array<double>, low_confidence boolean")
+    paths = []
+    for span in (1024, 4):
+        monkeypatch.setattr(tracking, "SPAN", span)
+        rows = tracking.camera_to_reference(frame, ["v"]).orderBy(F.col("v"), "frame_index").collect()
+        paths.append([(r.v, r.frame_index, r.homography_to_ref) for r in rows])
+    assert len(paths[0]) == 46 and paths[0] == paths[1]
