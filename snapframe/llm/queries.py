@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapframe.llm import bpe, grace_dedup, html_extract, language_id, ngram_join, ordinal_quality, quality_rules, source_mix, toxicity, unit_dedup
+from snapframe.llm import bpe, grace_dedup, html_extract, language_id, ngram_join, ordinal_quality, packing, quality_rules, source_mix, toxicity, unit_dedup, whitening
 from snapframe.session import table
 
 
@@ -54,6 +54,16 @@ def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_ordinal_quality,
         op10_grace_dedup,
+        op11_embedding_whitening,
+        op12_best_fit_packing,
     )
 }
 
