@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapframe.llm import bpe, grace_dedup, html_extract, language_id, ngram_join, ordinal_quality, packing, quality_rules, source_mix, toxicity, unit_dedup, whitening
+from snapframe.llm import bpe, grace_dedup, html_extract, language_id, ngram_join, ordinal_quality, packing, prefix_trie, quality_rules, source_mix, toxicity, unit_dedup, whitening
 from snapframe.session import table
 
 
@@ -64,6 +64,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_grace_dedup,
         op11_embedding_whitening,
         op12_best_fit_packing,
+        op13_prefix_trie,
     )
 }
 
@@ -91,6 +96,34 @@ ORACLES: dict[str, str] = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)""",
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code, turn
+            FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT conv_id, code, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) AS place FROM t),
+        c AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base,
+                   xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                       lambda crc, b: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, b)),
+                       CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM p)),
+        r AS (
+            SELECT c.conv_id, p.place, p.code, p.size FROM c JOIN p ON p.conv_id = c.base AND p.place <= c.h
+            UNION ALL SELECT c.conv_id, p.place, p.code, p.size FROM c JOIN p ON p.conv_id = c.conv_id AND p.place > c.h),
+        q AS (
+            SELECT conv_id, 0 AS depth, [] AS path, 0 AS size FROM c
+            UNION ALL SELECT conv_id, row_number() OVER w AS depth, list(code) OVER w AS path, size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+        m AS (SELECT conv_id, max(depth) AS turns FROM q GROUP BY conv_id),
+        n AS (
+            SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = turns), '')) AS ends_sha256
+            FROM q JOIN m USING (conv_id) GROUP BY path, depth),
+        k AS (SELECT path[:-2] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        a AS (
+            SELECT q.path, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved_tokens
+            FROM n JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth LEFT JOIN k ON k.path = n.path GROUP BY q.path)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, a.n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN a USING (path) LEFT JOIN k ON k.path = n.path LEFT JOIN n u ON n.depth > 0 AND u.path = n.path[:-2]""",
     "op3_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
