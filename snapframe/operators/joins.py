@@ -52,21 +52,55 @@ def join_players(analysis: DataFrame, players: DataFrame) -> DataFrame:
     return joined.select(analysis["*"], F.coalesce(players["player_id"], F.lit("track_0_x")).alias("player_id"))
 
 
+SLOT_BITS = 3
+SLOT_LEVELS = 11  # 8 ** 11 frames
+
+
+def slots_of_range(low: Column, high: Column) -> Column:
+    """The aligned slots, as structs (level, slot), that make up low..high exactly; none if a bound is null or low > high.
+
+    A slot of level l holds 8 ** l frames. A range of n frames has at most 14 slots in each of
+    its log8(n) levels: each level takes the ends that the level above leaves over.
+    """
+    low, high = low.cast("long"), high.cast("long")
+    upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def level(n: int) -> Column:
+        first = lambda bits: F.shiftright(low + ((1 << bits) - 1), bits)
+        after = lambda bits: F.shiftright(high + 1, bits)
+        bits, wider = SLOT_BITS * n, SLOT_BITS * (n + 1)
+        a, b, up, down = first(bits), after(bits), F.shiftleft(first(wider), SLOT_BITS), F.shiftleft(after(wider), SLOT_BITS)
+        own = F.when(first(wider) < after(wider), F.concat(upto(a, up), upto(down, b))).otherwise(upto(a, b)) if n + 1 < SLOT_LEVELS else upto(a, b)
+        return F.transform(own, lambda s: F.struct(F.lit(n).alias("level"), s.alias("slot")))
+
+    every = F.concat(*(level(n) for n in range(SLOT_LEVELS)))
+    return F.when(low.isNotNull() & high.isNotNull() & (low <= high), every)
+
+
 def frames_of_reps(reps: DataFrame, pose: DataFrame) -> DataFrame:
     """Every pose frame within a rep's range; a rep without play or track takes all of them.
 
-    Reps are split by which of the two they have, so that each part joins on equal keys.
+    Ranges are cut into aligned slots and frames look up their own slot of each level, so both
+    sides meet on equal keys only and no pair is made that is not in the result. Play and track are
+    part of the key where the rep has them. Pose is read once, and keyed only for the levels and the
+    kinds of keys that the reps use: these are collected first, at most 4 * SLOT_LEVELS rows.
     """
-    parts = []
-    for has_play in (True, False):
-        for has_track in (True, False):
-            own = reps.filter((F.col("play_index").isNotNull() if has_play else F.col("play_index").isNull()) & (F.col("track_id").isNotNull() if has_track else F.col("track_id").isNull()))
-            keys = ["video_id", *["play_index"] * has_play, *["track_id"] * has_track]
-            frames = pose.select(*(F.col(c).alias(f"p_{c}") for c in pose.columns))
-            on = [own[k] == frames[f"p_{k}"] for k in keys] + [frames["p_frame_index"].between(own["start_frame"], own["end_frame"])]
-            rest = [c for c in pose.columns if c not in reps.columns]
-            parts.append(own.join(frames, reduce(lambda a, b: a & b, on)).select(*(own[c] for c in reps.columns), *(frames[f"p_{c}"].alias(c) for c in rest)))
-    return reduce(DataFrame.unionByName, parts)
+    kind = F.when(F.col("play_index").isNotNull(), 1).otherwise(0) + F.when(F.col("track_id").isNotNull(), 2).otherwise(0)
+    none = F.lit(None).cast("long")
+    key = lambda used, c: F.when(used, F.col(c).cast("long")).otherwise(none)
+    cut = reps.withColumn("_kind", kind).withColumn("_slot", F.explode(slots_of_range(F.col("start_frame"), F.col("end_frame"))))
+    used = [(r["_kind"], r["level"]) for r in cut.select("_kind", "_slot.level").distinct().collect()]
+    cells = [F.struct(F.lit(k).alias("kind"), F.lit(n).alias("level"), F.shiftright(F.col("frame_index").cast("long"), SLOT_BITS * n).alias("slot")) for k, n in sorted(used)]
+    fits = lambda c: ((c["kind"].bitwiseAND(1) == 0) | F.col("play_index").isNotNull()) & ((c["kind"].bitwiseAND(2) == 0) | F.col("track_id").isNotNull())
+    rest = [c for c in pose.columns if c not in reps.columns]
+    cells = F.filter(F.array(*cells), fits) if cells else F.array().cast("array<struct<kind:int,level:int,slot:bigint>>")
+    frames = pose.withColumn("_cell", F.explode(cells)).select(
+        *rest, F.col("video_id").alias("_v"), F.col("_cell.kind").alias("_k"), F.col("_cell.level").alias("_l"), F.col("_cell.slot").alias("_s"),
+        key(F.col("_cell.kind").bitwiseAND(1) > 0, "play_index").alias("_p"), key(F.col("_cell.kind").bitwiseAND(2) > 0, "track_id").alias("_t"),
+    )
+    met = (F.col("video_id") == F.col("_v")) & (F.col("_kind") == F.col("_k")) & (F.col("_slot.level") == F.col("_l")) & (F.col("_slot.slot") == F.col("_s"))
+    met = met & F.col("play_index").cast("long").eqNullSafe(F.col("_p")) & F.col("track_id").cast("long").eqNullSafe(F.col("_t"))
+    return cut.join(frames, met).select(*reps.columns, *rest)
 
 
 def missing_from(left: DataFrame, right: DataFrame, keys: Sequence[str], nullable: Sequence[str] = ()) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapframe.functions import scores
 
-METHODS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min}
+METHODS = ("mean", "median", "max", "min")
+BUCKETS = 1024
 
 
 def traits_long(df: DataFrame, keys: Sequence[str], traits: str = "traits") -> DataFrame:
@@ -17,43 +19,130 @@ def traits_long(df: DataFrame, keys: Sequence[str], traits: str = "traits") -> D
     return df.select(*keys, F.explode(traits).alias("trait", "score"))
 
 
+# --------------------------------------------------------------------------- exact quantiles
+
+
+def quantiles(runs: DataFrame, keys: Sequence[str], value: str, count: str, wanted: Mapping[str, float], buckets: int = BUCKETS) -> DataFrame:
+    """Interpolated quantiles of counted values: keys (null equal to null) and a column for each of `wanted`.
+
+    A group's range is cut into equal buckets. Their counts, one row for each, tell which bucket
+    holds a wanted rank; only the values of those buckets are ranked. So no group's values are
+    gathered or sorted whole. Null values are left out; a group without others has no row.
+    """
+    keys = list(keys)
+    known = runs.filter(F.col(value).isNotNull() & (F.col(count) > 0)).select(*keys, F.col(value).cast("double").alias("_v"), F.col(count).alias("_c"))
+    spans = known.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    bucket = F.least(F.lit(buckets - 1), F.floor(F.coalesce(share, F.lit(0.0)) * buckets)).cast("int")
+    dealt = _null_safe(known, spans, keys, "inner").withColumn("_b", bucket)
+    sizes = dealt.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))
+    before = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_m")
+    ranks = []
+    for name, q in wanted.items():
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        part = at - F.floor(at)
+        ranks += [F.struct(F.lit(name).alias("q"), F.floor(at).alias("rank"), (1 - part).alias("w")), F.struct(F.lit(name).alias("q"), (F.floor(at) + 1).alias("rank"), part.alias("w"))]
+    held = sizes.withColumn("_before", before).withColumn("_ranks", F.filter(F.array(*ranks), lambda r: (r["w"] > 0) & (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_m"))))
+    held = held.filter(F.size("_ranks") > 0).select(*keys, "_b", "_before", "_ranks")
+    near = _null_safe(dealt.drop("_lo", "_hi", "_n"), held, [*keys, "_b"], "inner")
+    start = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
+    hits = near.withColumn("_start", start).withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_start") + F.col("_c")))))
+    return hits.groupBy(*keys).agg(*(F.sum(F.when(F.col("_r.q") == name, F.col("_v") * F.col("_r.w"))).alias(name) for name in wanted))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, null equal to null; the left side's keys stay."""
+    named = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(named, reduce(lambda a, b: a & b, on), how).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+# --------------------------------------------------------------------------- trait roll-ups
+
+
+def trait_summary(df: DataFrame, keys: Sequence[str], traits: str = "traits", median: bool = False) -> DataFrame:
+    """keys, trait, rows, mean, min, max and, if asked for, median of each trait of each group.
+
+    A trait that a row lacks counts as 0 in it; the traits of a group are those of any of its rows.
+    Everything comes from one pass over `df`: each row also counts under a null trait, which stays in
+    the result with the number of rows alone, so that a group without traits has that row. Values
+    are counted before they are shuffled, and zeros are added by count.
+    """
+    keys = list(keys)
+    kind = "array<struct<trait:string,score:double>>"
+    entries = F.concat(F.coalesce(F.transform(F.map_entries(traits), lambda e: F.struct(e["key"].cast("string").alias("trait"), e["value"].cast("double").alias("score"))), F.array().cast(kind)), F.array(F.struct(F.lit(None).cast("string").alias("trait"), F.lit(None).cast("double").alias("score"))))
+    long = df.select(*keys, F.inline(entries))
+    count = F.count(F.lit(1))
+    if median:
+        long = long.groupBy(*keys, "trait", "score").agg(count.alias("_c"))
+        total, count, known = F.sum(F.col("score") * F.col("_c")), F.sum("_c"), F.sum(F.when(F.col("score").isNotNull(), F.col("_c")))
+    else:
+        total, known = F.sum("score"), F.count("score")
+    per = long.groupBy(*keys, "trait").agg(total.alias("_s"), F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.coalesce(known, F.lit(0)).alias("_n"), count.alias("_all"))
+    per = per.withColumn("rows", F.max(F.when(F.col("trait").isNull(), F.col("_all"))).over(Window.partitionBy(*keys)))
+    zeros = F.col("rows") - F.col("_n")
+    zero = lambda f, c: F.when(F.col("trait").isNull(), F.lit(None)).when(zeros > 0, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c))
+    mean = F.when(F.col("trait").isNotNull(), F.coalesce("_s", F.lit(0.0)) / F.col("rows"))
+    columns = [*keys, "trait", "rows", mean.alias("mean"), zero(F.least, "_lo").alias("min"), zero(F.greatest, "_hi").alias("max")]
+    if not median:
+        return per.select(*columns)
+    missing = per.filter(F.col("trait").isNotNull()).select(*keys, "trait", F.lit(0.0).alias("score"), zeros.alias("_c"))
+    middle = quantiles(long.filter(F.col("trait").isNotNull()).unionByName(missing).groupBy(*keys, "trait", "score").agg(F.sum("_c").alias("_c")), [*keys, "trait"], "score", "_c", {"median": 0.5})
+    return _null_safe(per.select(*columns), middle, [*keys, "trait"], "left")
+
+
+def _maps(summary: DataFrame, keys: Sequence[str], named: Mapping[str, str]) -> list[Column]:
+    """One map from trait to figure for each (figure, column name)."""
+    return [F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("trait").isNotNull(), F.struct("trait", figure))))).alias(name) for figure, name in named.items()]
+
+
 def roll_up(df: DataFrame, keys: Sequence[str], method: str = "mean", traits: str = "traits") -> DataFrame:
     """One trait map per group; a trait that a row lacks counts as 0 in it. Unknown methods mean the mean.
 
-    The traits of a group are those of any of its rows. Zeros are added by count, not by rows.
+    The traits of a group are those of any of its rows; groups without any have no row.
     """
     chosen = method if method in METHODS else "mean"
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    if chosen == "median":
-        have = traits_long(df, keys, traits).groupBy(*keys, "trait").agg(F.sort_array(F.collect_list("score")).alias("s")).join(sizes, list(keys))
-        below, zeros = F.size(F.filter("s", lambda x: x < 0)), F.col("_rows") - F.size("s")
+    summary = trait_summary(df, keys, traits, chosen == "median").filter("trait IS NOT NULL")
+    return summary.groupBy(*keys).agg(*_maps(summary, keys, {chosen: traits}))
 
-        def at(place: Column) -> Column:  # of the scores with the zeros put in their place
-            own = F.when(place < below, place).otherwise(place - zeros)
-            return F.when((place >= below) & (place < below + zeros), 0.0).otherwise(F.get("s", own.cast("int")))
 
-        middle = (at(F.floor((F.col("_rows") - 1) / 2)) + at(F.floor(F.col("_rows") / 2))) / 2
-        per = have.select(*keys, "trait", middle.alias("score"))
-    else:
-        agg = traits_long(df, keys, traits).groupBy(*keys, "trait").agg(F.sum("score").alias("s"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("score").alias("n"))
-        agg = agg.join(sizes, list(keys))
-        short = F.col("n") < F.col("_rows")
-        value = {
-            "mean": F.col("s") / F.col("_rows"),
-            "min": F.when(short, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")),
-            "max": F.when(short, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")),
-        }[chosen]
-        per = agg.select(*keys, "trait", value.alias("score"))
-    return per.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("trait", "score")))).alias(traits))
+def roll_up_with_stats(df: DataFrame, keys: Sequence[str], method: str = "mean", traits: str = "traits") -> DataFrame:
+    """Maps of averages, minima and maxima, and the number of rows; any method but mean is the median.
 
+    All come from one summary. Groups without traits have empty maps.
+    """
+    chosen = "mean" if method == "mean" else "median"
+    summary = trait_summary(df, keys, traits, chosen == "median")
+    return summary.groupBy(*keys).agg(F.max("rows").alias("count"), *_maps(summary, keys, {chosen: "averages", "min": "min_values", "max": "max_values"}))
+
+
+def merge_up(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The summary one level up, from a lower level's: keys, trait, rows (groups of the lower level), mean, min, max.
+
+    Means are averaged group by group, a trait that a lower group lacks counting as 0 there;
+    extremes are those of the rows of all levels below.
+    """
+    keys = list(keys)
+    per = summary.groupBy(*keys, "trait").agg(F.sum("mean").alias("_s"), F.min("min").alias("_lo"), F.max("max").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("rows", F.max(F.when(F.col("trait").isNull(), F.col("_n"))).over(Window.partitionBy(*keys)))
+    short = F.col("_n") < F.col("rows")
+    return per.select(
+        *keys, "trait", "rows", (F.col("_s") / F.col("rows")).alias("mean"), F.when(short, F.least("_lo", F.lit(0.0))).otherwise(F.col("_lo")).alias("min"), F.when(short, F.greatest("_hi", F.lit(0.0))).otherwise(F.col("_hi")).alias("max")
+    )
 
-def roll_up_with_stats(df: DataFrame, keys: Sequence[str], method: str = "mean", traits: str = "traits") -> DataFrame:
-    """Maps of averages, minima and maxima, and the number of rows; any method but mean is the median."""
-    middle = roll_up(df, keys, "mean" if method == "mean" else "median", traits).withColumnRenamed(traits, "averages")
-    low = roll_up(df, keys, "min", traits).withColumnRenamed(traits, "min_values")
-    high = roll_up(df, keys, "max", traits).withColumnRenamed(traits, "max_values")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-    return counts.join(middle, list(keys), "left").join(low, list(keys), "left").join(high, list(keys), "left")
+
+def trait_levels(reps: DataFrame, play: Sequence[str], game: Sequence[str], whole: Sequence[str], traits: str = "traits") -> DataFrame:
+    """Trait averages of plays, games and seasons from one scan of the reps.
+
+    level, the keys (null above their level), trait, rows (reps, plays or games), mean, min, max. The reps are
+    summarised once by play; games merge their plays' summaries and seasons their games'.
+    """
+    plays = trait_summary(reps, [*whole, *game, *play], traits)
+    games = merge_up(plays, [*whole, *game])
+    seasons = merge_up(games, list(whole))
+    every = [*whole, *game, *play]
+    full = lambda df, name: df.filter("trait IS NOT NULL").select(F.lit(name).alias("level"), *(F.col(c) if c in df.columns else F.lit(None).cast(plays.schema[c].dataType).alias(c) for c in every), "trait", "rows", "mean", "min", "max")
+    return full(plays, "play").unionByName(full(games, "game")).unionByName(full(seasons, "season"))
 
 
 def compare_levels(play: DataFrame, game: DataFrame, season: DataFrame, keys: Sequence[str], traits: str = "traits") -> DataFrame:
@@ -63,11 +152,13 @@ def compare_levels(play: DataFrame, game: DataFrame, season: DataFrame, keys: Se
 
 
 def trait_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Mean, population deviation, extremes and interpolated quartiles."""
-    quartile = lambda q, n: F.percentile(value, F.lit(q)).alias(n)
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), quartile(0.25, "p25"), quartile(0.5, "p50"), quartile(0.75, "p75")
-    )
+    """Mean, population deviation, extremes and interpolated quartiles; null figures where a group has no value.
+
+    Values are counted before they are shuffled, and the quartiles found by bucket and rank.
+    """
+    runs = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    figures = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return _null_safe(figures, quantiles(runs, keys, value, "_c", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), list(keys), "left")
 
 
 def grade_of(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -101,11 +101,9 @@ _LONG = f"""
     UNION ALL SELECT 'min', l_suppkey, trait, round(min(score), 6) FROM full_grid GROUP BY ALL""")
 def roll_up_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = rep_features(spark, sf_dir).select("l_suppkey", F.col("features").alias("traits"))
-    parts = [rollup.roll_up(reps, ["l_suppkey"], m).select(F.lit(m).alias("method"), "l_suppkey", F.explode("traits").alias("trait", "score")) for m in rollup.METHODS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.withColumn("score", F.round("score", 6))
+    found = rollup.trait_summary(reps, ["l_suppkey"], median=True).filter("trait IS NOT NULL")
+    methods = F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in rollup.METHODS))
+    return found.select("l_suppkey", "trait", F.inline(methods)).select("method", "l_suppkey", "trait", F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -128,6 +126,31 @@ def season_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.season(reps, ["o_orderkey"], ["o_custkey"], ["c_nationkey"], "l_quantity").withColumn("grade", F.round("grade", 6))
 
 
+@query("""
+    WITH r AS (
+        SELECT c_nationkey, o_custkey, o_orderkey, unnest(['leg_power', 'core_stability', 'upper_body']) AS trait, unnest([l_quantity * 2, l_discount * 1000, CASE WHEN l_tax > 0 THEN l_tax * 1250 END]) AS score
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+    p AS (SELECT c_nationkey, o_custkey, o_orderkey, trait, count(*) AS rows, avg(coalesce(score, 0)) AS mean, min(coalesce(score, 0)) AS min, max(coalesce(score, 0)) AS max FROM r GROUP BY ALL HAVING count(score) > 0),
+    pn AS (SELECT c_nationkey, o_custkey, count(DISTINCT o_orderkey) AS n FROM r GROUP BY ALL),
+    g AS (
+        SELECT c_nationkey, o_custkey, trait, n AS rows, sum(mean) / n AS mean, CASE WHEN count(*) < n THEN least(min(min), 0) ELSE min(min) END AS min, CASE WHEN count(*) < n THEN greatest(max(max), 0) ELSE max(max) END AS max
+        FROM p JOIN pn USING (c_nationkey, o_custkey) GROUP BY c_nationkey, o_custkey, trait, n),
+    gn AS (SELECT c_nationkey, count(*) AS n FROM pn GROUP BY ALL),
+    s AS (
+        SELECT c_nationkey, trait, n AS rows, sum(mean) / n AS mean, CASE WHEN count(*) < n THEN least(min(min), 0) ELSE min(min) END AS min, CASE WHEN count(*) < n THEN greatest(max(max), 0) ELSE max(max) END AS max
+        FROM g JOIN gn USING (c_nationkey) GROUP BY c_nationkey, trait, n),
+    u AS (
+        SELECT 'play' AS level, c_nationkey, o_custkey, o_orderkey, trait, rows, mean, min, max FROM p
+        UNION ALL SELECT 'game', c_nationkey, o_custkey, NULL, trait, rows, mean, min, max FROM g UNION ALL SELECT 'season', c_nationkey, NULL, NULL, trait, rows, mean, min, max FROM s)
+    SELECT level, c_nationkey, o_custkey, o_orderkey, trait, rows, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max FROM u""")
+def trait_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(customers, "o_custkey")
+    reps = rep_features(spark, sf_dir).join(orders, "l_orderkey").select("c_nationkey", "o_custkey", F.col("l_orderkey").alias("o_orderkey"), F.col("features").alias("traits"))
+    found = rollup.trait_levels(reps, ["o_orderkey"], ["o_custkey"], ["c_nationkey"])
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "min", "max")})
+
+
 @query("""
     WITH p AS (SELECT l_suppkey, l_partkey % 10 AS g, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)
     SELECT a.l_suppkey, round(a.v, 6) AS play, round(b.v, 6) AS game, round(c.v, 6) AS season
