@@ -37,6 +37,7 @@ ROUNDS = 600
 STEP = 0.25
 SHARPNESS = 1.0
 EPOCHS = 8
+PATIENCE = 2
 BASE = 1.2  # first prices are tokens to this power: a long piece is harder to place than short ones of equal size
 WORDS_HELD = 250_000
 BUCKET_ROWS = 200_000
@@ -299,18 +300,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     """(copies by length, number of sequences) of every configuration used; together they hold each length exactly as often as the histogram.
 
     The program is solved with prices by tokens, and again with prices that learn from the waste of
-    the solution before, until the least number possible is met or EPOCHS are over; the best
-    rounded solution counts.
+    the solution before, until the least number possible is met, PATIENCE times nothing was gained or
+    EPOCHS are over; the best rounded solution counts.
     """
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], np.int64)
-    best, least, base = [], least_sequences(histogram, capacity), lengths.astype(float) ** BASE
+    best, idle, least, base = [], 0, least_sequences(histogram, capacity), lengths.astype(float) ** BASE
     for _ in range(EPOCHS if len(lengths) else 0):
         shares = fractional(lengths, demand, base, capacity)
         used = rounded(lengths, demand, shares, capacity)
-        if not best or sum(t for _, t in used) < sum(t for _, t in best):
-            best = used
-        if sum(t for _, t in best) == least:
+        better = not best or sum(t for _, t in used) < sum(t for _, t in best)
+        best, idle = (used, 0) if better else (best, idle + 1)
+        if sum(t for _, t in best) == least or idle == PATIENCE:
             break
         base = repriced(lengths, base, shares, capacity)
     return [({int(lengths[i]): copies for i, copies in config.items()}, times) for config, times in best]
