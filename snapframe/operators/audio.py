@@ -11,6 +11,7 @@ from snapframe.functions.scores import clip
 from snapframe.operators.sequences import islands, sessions
 
 WEIGHTS = {"onset": 0.40, "energy": 0.35, "spectral": 0.25}
+EVENT = ("timestamp", "confidence", "onset_strength", "spectral_centroid", "duration")
 
 
 def short_time_energy(samples: DataFrame, keys: Sequence[str], index: str, value: str, hop: int) -> DataFrame:
@@ -49,9 +50,8 @@ def merge_events(events: DataFrame, keys: Sequence[str], gap: float = 0.1) -> Da
     keeps the longer duration; the next event is compared with the merged one's time. That time is
     never after the event before, so a key's events are cut at wider gaps and folded piece by piece.
     """
-    fields = ["timestamp", "confidence", "onset_strength", "spectral_centroid", "duration"]
-    kind = "array<struct<" + ",".join(f"{c}:double" for c in fields) + ">>"
-    row = F.struct(*(F.col(c).cast("double").alias(c) for c in fields))
+    kind = "array<struct<" + ",".join(f"{c}:double" for c in EVENT) + ">>"
+    row = F.struct(*(F.col(c).cast("double").alias(c) for c in EVENT))
     half = lambda a, b, c: ((a[c] + b[c]) / 2).alias(c)
 
     def merged(a: Column, b: Column) -> Column:
@@ -68,3 +68,21 @@ def merge_events(events: DataFrame, keys: Sequence[str], gap: float = 0.1) -> Da
     grouped = cut.groupBy(*keys, "_session").agg(F.sort_array(F.collect_list(row)).alias("_all"))
     folded = F.aggregate("_all", F.array().cast(kind), step)
     return grouped.select(*keys, F.explode(folded).alias("_e")).select(*keys, "_e.*")
+
+
+def whistles(samples: DataFrame, keys: Sequence[str], index: str, value: str, hop: int, rate: float, limit: float, full: float = 1.0, gap: float = 0.1) -> DataFrame:
+    """Whistles of whole recordings: keys and the columns of EVENT.
+
+    A whistle is a run of adjacent blocks of `hop` samples whose energy is above `limit`; its strength is
+    the greatest energy, and counts in full from `full` on. Runs at most `gap` seconds apart are merged.
+    The limit is fixed and not the recording's own quantile, so that a part of it can be judged.
+    """
+    loud = short_time_energy(samples, keys, index, value, hop).filter(F.col("energy") > limit)
+    run = F.col("frame") - F.row_number().over(Window.partitionBy(*keys).orderBy("frame"))
+    runs = loud.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("frame").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("energy").alias("peak"))
+    seconds = hop / rate
+    found = runs.select(
+        *keys, (F.col("first") * seconds).alias("timestamp"), fuse(clip(F.col("peak") / full, 0.0, 1.0), F.lit(1.0), F.lit(None).cast("double")).alias("confidence"), F.col("peak").alias("onset_strength"),
+        F.lit(0.0).alias("spectral_centroid"), (F.col("rows") * seconds).alias("duration"),
+    )
+    return merge_events(found, keys, gap)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snapframe.functions.geometry import is_spike, torso_centre
 from snapframe.functions.scores import letter
 from snapframe.operators import features, joins, rollup, sequences
+from snapframe.sources.buckets import BucketTable
 
 TRACK = ["video_id", "play_index", "track_id"]
 REP = [*TRACK, "rep_index"]
@@ -33,14 +34,54 @@ def extract_reps(pose: DataFrame) -> DataFrame:
 
 def analyse(reps: DataFrame, pose: DataFrame) -> DataFrame:
     """Traits, buckets and grade of every rep; the frames of all reps come from one range join."""
-    slim = pose.select("video_id", "play_index", "track_id", "frame_index", "landmarks")
-    found = features.rep_features(joins.frames_of_reps(reps.select(*REP, "start_frame", "end_frame"), slim), REP)
+    return _scored(reps, features.rep_features(_frames(reps, pose), REP))
+
+
+def _frames(reps: DataFrame, pose: DataFrame) -> DataFrame:
+    return joins.frames_of_reps(reps.select(*REP, "start_frame", "end_frame"), pose.select("video_id", "play_index", "track_id", "frame_index", "landmarks"))
+
+
+def _scored(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """Every rep scored, those without features too."""
     keyed = found.select(*(F.col(k).alias(f"f_{k}") for k in REP), "features")
     on = [reps["video_id"] == keyed["f_video_id"], reps["rep_index"] == keyed["f_rep_index"], reps["play_index"].eqNullSafe(keyed["f_play_index"]), reps["track_id"].eqNullSafe(keyed["f_track_id"])]
     joined = reps.join(keyed, on[0] & on[1] & on[2] & on[3], "left").select(*(reps[k] for k in REP), "features")
     return features.score_reps(joined, REP)
 
 
+class RunningAnalysis:
+    """The analysis of given reps as their frames arrive, from a state of sums, extremes and the last frame of each rep.
+
+    A batch of frames is summed up by rep, with each rep's last frame before it to step from, and
+    merged into the states of those reps alone; frames seen before are not read again. After
+    every batch `current` equals `analyse` over all frames so far. A rep's frames must arrive in order
+    from batch to batch. The states are a bucketed table whose versions are the batch numbers, so a
+    batch that is repeated after a crash counts once.
+    """
+
+    def __init__(self, reps: DataFrame, path: str):
+        keys = ", ".join(f"{k} {reps.schema[k].dataType.simpleString()}" for k in REP)
+        self.reps = reps
+        self.states = BucketTable(reps.sparkSession, path, f"{keys}, {features.PARTIALS}, batch long", ["video_id", "rep_index"], ["play_index", "track_id"])
+
+    def update(self, frames: DataFrame, batch: int) -> None:
+        """Count a batch of pose frames; fits foreachBatch."""
+        names = [p for p in self.states.read().columns if p not in (*REP, "batch")]
+        states = self.states.read().select(*REP, F.struct(*names).alias("_old"))
+        fresh = _frames(self.reps, frames).select(*REP, "frame_index", "landmarks", F.lit(False).alias("_seen"))
+        touched = joins.existing_in(states, fresh.select(*REP).distinct(), ["video_id", "rep_index"], ["play_index", "track_id"])
+        carried = touched.select(*REP, F.col("_old.last.frame_index").alias("frame_index"), F.col("_old.last.landmarks").alias("landmarks"), F.lit(True).alias("_seen"))
+        partials = features.rep_partials(fresh.unionByName(carried), REP, "_seen")
+        named = partials.select(*(F.col(k).alias(f"n_{k}") for k in REP), F.struct(*names).alias("_new"))
+        on = (F.col("video_id") == F.col("n_video_id")) & (F.col("rep_index") == F.col("n_rep_index")) & F.col("play_index").eqNullSafe(F.col("n_play_index")) & F.col("track_id").eqNullSafe(F.col("n_track_id"))
+        merged = named.join(states, on, "left").select(*(F.col(f"n_{k}").alias(k) for k in REP), *features.merge_partials("_old", "_new"), F.lit(batch).cast("long").alias("batch"))
+        self.states.upsert(merged, batch, "batch")
+
+    def current(self) -> DataFrame:
+        """Traits, buckets and grade of every rep from the frames so far; reps without any score 0."""
+        return _scored(self.reps, features.finished_features(self.states.read(), REP))
+
+
 def grade_videos(analysis: DataFrame) -> DataFrame:
     return rollup.grade_of(analysis, ["video_id"], "overall_grade")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from snapframe.operators import audio, sequences
 from snapframe.plans.registry import query
-from snapframe.session import table
+from snapframe.session import cut, scratch, table
+from snapframe.streaming.audio import whistle_stream
 
 KEYS = ["user_id"]
 STATIC = 250.0
@@ -233,9 +234,69 @@ def plausible_whistles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.plausible(rows).select("event_id")
 
 
-@query()
+def _merge_sql(source: str, gap: float) -> str:
+    """Events folded in order of time, each into the last one if it is near."""
+    near, half = f"e.timestamp - w.timestamp <= {gap}::DOUBLE", lambda c: f"CASE WHEN e.timestamp - w.timestamp <= {gap}::DOUBLE THEN (w.{c} + e.{c}) / 2 ELSE e.{c} END AS {c}"
+    order = "timestamp, confidence, onset_strength, spectral_centroid, duration"
+    return f"""
+    WITH RECURSIVE s AS ({source}),
+    e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS i FROM s),
+    w AS (
+        SELECT user_id, i, {order}, 1 AS g FROM e WHERE i = 1
+        UNION ALL
+        SELECT e.user_id, e.i, CASE WHEN {near} AND e.confidence <= w.confidence THEN w.timestamp ELSE e.timestamp END AS timestamp,
+               CASE WHEN {near} THEN least(1, greatest(0, (w.confidence + e.confidence) / 2)) ELSE e.confidence END AS confidence, {half("onset_strength")}, {half("spectral_centroid")},
+               CASE WHEN {near} THEN greatest(w.duration, e.duration) ELSE e.duration END AS duration, CASE WHEN {near} THEN w.g ELSE w.g + 1 END AS g
+        FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+    SELECT user_id, round(timestamp, 6) AS timestamp, round(confidence, 6) AS confidence, round(onset_strength, 6) AS onset_strength, round(spectral_centroid, 6) AS spectral_centroid, round(duration, 6) AS duration
+    FROM w QUALIFY i = max(i) OVER (PARTITION BY user_id, g)"""
+
+
+def _rounded_events(found: DataFrame) -> DataFrame:
+    return found.select("user_id", *(F.round(c, 6).alias(c) for c in audio.EVENT))
+
+
+@query(_merge_sql("SELECT user_id, epoch_us(ts) / 1000000 AS timestamp, value / 500 AS confidence, value AS onset_strength, value * 10 AS spectral_centroid, (event_id % 10) / 10.0::DOUBLE AS duration FROM events", 3600))
 def merged_whistles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(
         "user_id", (F.col("micros") / 1_000_000).alias("timestamp"), (F.col("value") / 500).alias("confidence"), F.col("value").alias("onset_strength"), (F.col("value") * 10).alias("spectral_centroid"), (F.col("event_id") % 10 / F.lit(10.0)).alias("duration")
     )
-    return audio.merge_events(rows, KEYS, gap=3600.0)
+    return _rounded_events(audio.merge_events(rows, KEYS, gap=3600.0))
+
+
+HOP, RATE, LOUD, FULL, NEAR = 4, 8.0, 20000.0, 40000.0, 1.0  # samples a block and a second, energies, seconds
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a recording: user_id, i, v and the event time `at`."""
+    rows = sequences.position(events(spark, sf_dir), KEYS, "event_id", "i")
+    return rows.select("user_id", F.col("i").cast("long").alias("i"), (F.col("value") - 250).alias("v"), F.timestamp_seconds(1_000_000 + F.col("i") / RATE).alias("at"))  # an event time at the epoch itself counts as late
+
+
+_WHISTLES = _merge_sql(f"""
+    SELECT user_id, min(frame) * {HOP / RATE}::DOUBLE AS timestamp, least(1, greatest(0, 0.40::DOUBLE * least(1, greatest(0, max(energy) / {FULL}::DOUBLE)) + 0.35::DOUBLE)) AS confidence, max(energy) AS onset_strength, 0.0::DOUBLE AS spectral_centroid, count(*) * {HOP / RATE}::DOUBLE AS duration
+    FROM (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS run FROM (
+        SELECT user_id, i // {HOP} AS frame, avg(v * v) AS energy FROM (SELECT user_id, value - 250 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) GROUP BY ALL HAVING count(*) = {HOP}) WHERE energy > {LOUD})
+    GROUP BY user_id, run""", NEAR)
+
+
+@query(_WHISTLES)
+def whistles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_events(audio.whistles(samples(spark, sf_dir), KEYS, "i", "v", HOP, RATE, LOUD, FULL, NEAR))
+
+
+@query(_WHISTLES)
+def whistle_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same whistles from a stream that gets every recording in chunks cut at odd places."""
+    folder = scratch(spark, "chunks")
+    rows = cut(samples(spark, sf_dir), "samples")
+    most = rows.agg(F.max("i")).first()[0] or 0
+    ends = rows.groupBy("user_id").agg((F.max("i") + 1).alias("i"), F.lit(None).cast("double").alias("v"), F.max("at").alias("at"))
+    step = most // 4 + 3
+    for n, low in enumerate(range(0, most + 2, step)):
+        chunk = rows.unionByName(ends).filter(F.col("i").between(low, low + step - 1))
+        chunk.coalesce(1).write.parquet(f"{folder}/in/chunk={n}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    found = whistle_stream(stream, KEYS, "i", "v", HOP, RATE, LOUD, FULL, NEAR)
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _rounded_events(spark.read.schema(found.schema).parquet(f"{folder}/out"))

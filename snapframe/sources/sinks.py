@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapframe.operators.upsert import upsert
+from snapframe.sources.buckets import BucketTable
 from snapframe.sources.schemas import KEYS, TABLES
 
 
@@ -21,19 +21,16 @@ def checked(rows: DataFrame, name: str) -> DataFrame:
     return good
 
 
-def write_rows(spark: SparkSession, base: str, name: str, rows: DataFrame, version: str, previous: str | None = None, order: str | None = None) -> DataFrame:
-    """Upsert rows into a version of a table and write the next: <base>/<name>/version=<version>.
+def write_rows(spark: SparkSession, base: str, name: str, rows: DataFrame, version: int, order: str) -> DataFrame:
+    """Upsert rows into the bucketed table <base>/<name> as `version` and read it back.
 
-    Without `previous` the table starts empty. Each version is written whole and never changed, so
-    that readers and repeated tasks see a consistent table; callers move on by reading `version`.
-    Of several rows of a key the last by the column `order` counts; without it any one does.
+    Rows without a required key are left out. Of several rows of a key the last by the column `order` counts.
+    Only the buckets of the rows' keys are rewritten; a version that is there already stays as it is.
     """
     required, nullable = KEYS[name]
-    path = lambda v: f"{base}/{name}/version={v}"
-    read = lambda v: spark.read.schema(TABLES[name]).parquet(path(v))
-    old = read(previous) if previous is not None else spark.createDataFrame([], TABLES[name])
-    upsert(old, checked(rows, name), list(required), list(nullable), order).write.mode("overwrite").parquet(path(version))
-    return read(version)
+    store = BucketTable(spark, f"{base}/{name}", TABLES[name], required, nullable)
+    store.upsert(checked(rows, name), version, order)
+    return store.read()
 
 
 def report_lines(figures: DataFrame, title: str, order: str) -> DataFrame:

@@ -13,7 +13,6 @@ from snapframe.operators import audio, features, joins, piles, queueing, rollup,
 from snapframe.plans import grading
 from snapframe.plans.config import Configs, deep_merge, merge_all
 from snapframe.sources import readers, schemas, sinks
-from snapframe.streaming.tracking import run_available, track_stream
 
 POINT = schemas.POINT
 
@@ -400,17 +399,6 @@ def test_tracks_keep_their_identity_and_age(spark):
     assert len(ids[0]) == len(ids[1]) == 1 and len(ids[2]) == 2  # the third was lost for too long
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    df = frame(spark, detections(12), DETECTIONS)
-    want = sorted((r.frame_index, r.detection_index, r.track_id) for r in tracking.track(df, ["video_id", "play_index"]).collect())
-    for i, low in enumerate((0, 4, 8)):
-        df.filter(F.col("frame_index").between(low, low + 3)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    got = []
-    source = spark.readStream.schema(DETECTIONS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    run_available(track_stream(source), lambda batch, _: got.extend(tuple(r)[2:] for r in batch.collect()), f"{tmp_path}/cp")
-    assert sorted(got) == want
-
-
 def test_camera_products(spark):
     rng = np.random.default_rng(2)
     mats = [np.eye(3) + 0.1 * rng.normal(size=(3, 3)) for _ in range(6)]
@@ -437,8 +425,8 @@ def test_sources_and_sinks(spark, tmp_path):
     for i in (1, 2, 10):
         (tmp_path / f"frames/frame_{i:06d}.jpg").write_bytes(b"x")
     assert [r.frame_index for r in readers.frame_paths(spark, f"{tmp_path}/frames", 2).collect()] == [2, 10]
-    rows = frame(spark, [("v", 1), ("v", None), ("v", 1)], "video_id string, play_index int").withColumn("start_frame", F.lit(0))
-    assert sinks.write_rows(spark, f"{tmp_path}/tables", "plays", rows, "1").count() == 1
+    rows = frame(spark, [("v", 1, 5), ("v", None, 6), ("v", 1, 7)], "video_id string, play_index int, start_frame int")
+    assert [r.start_frame for r in sinks.write_rows(spark, f"{tmp_path}/tables", "plays", rows, 1, "start_frame").collect()] == [7]
     with pytest.raises(ValueError):
         readers.scan(spark, str(tmp_path), "plays", where=[("play_index", "!=", 1)])
 
