@@ -102,7 +102,7 @@ class ChunkListener(StatefulProcessor):
     def _rows(self, key: tuple, events: list[tuple]) -> pd.DataFrame:
         found = pd.DataFrame(events, columns=list(EVENT), dtype=float)
         for name, part in reversed(list(zip(self.keys, key, strict=True))):
-            found.insert(0, name, [part] * len(found))
+            found.insert(0, name, pd.Series([part] * len(found), dtype=object if isinstance(part, str) else None))
         return found
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
