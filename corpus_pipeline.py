@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snapframe.llm import bpe, grace_dedup, language_id, ngram_join, source_mix
 from snapframe.llm.common import materialise, release
 from snapframe.session import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
+TIME = "position"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +34,25 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, repeated or left out as the sources' targets ask.
 
-    Besides the columns of documents there is position, the training time, as files keep no order.
+    Besides the columns of documents there is position, the training time, as files keep no order;
+    where the input has a column of that name, underscores are added.
     """
     ship(spark)
-    return source_mix.mixed_documents(docs, position="position")
+    return source_mix.mixed_documents(docs, position=TIME)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, position, n_tokens, ids_sha256, decoded_sha256 and ids of every copy that is left; to be read by position."""
+    """doc_id, position, n_tokens, ids_sha256, decoded_sha256 and ids of every copy that is left; to be read by position.
+
+    The training time is the column with the most underscores after its name, as mix_sources names
+    it; documents without any have no position.
+    """
     import public_tokenizers
 
     ship(spark)
-    return bpe.encode_digests(docs, public_tokenizers.path(TOKENIZER), carry=tuple(c for c in ("position",) if c in docs.columns), with_ids=True)
+    times = [c for c in docs.columns if c.lower().rstrip("_") == TIME]
+    timed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(TIME) for c in sorted(times, key=len)[-1:]))
+    return bpe.encode_digests(timed, public_tokenizers.path(TOKENIZER), carry=tuple(timed.columns[2:]), with_ids=True)
 
 
 STAGES = [
