@@ -59,7 +59,23 @@ def test_stages_take_an_empty_table(spark, tmp_path, documents):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows_and_a_clashing_position(spark, tmp_path):
+    """Nulls, repeated rows and an input column named position: the training time is told apart from it."""
+    words = "the quick brown fox jumps over the lazy dog near the river bank while children play in the warm summer evening light".split()
+    text = lambda i: " ".join(words[(i * 7 + j * (i + 3)) % len(words)] for j in range(60))
+    rows = [(i, text(i), "en", "a" if i % 3 else None, -7.0, 1) for i in range(60)] + [(None, text(70), "en", "b", -7.0, 1), (None, None, None, None, None, None), (5, text(5), "en", "a", -7.0, 1), (61, None, "en", "b", -7.0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, position double, POSITION_ int")
+    with_case = spark.conf.get("spark.sql.caseSensitive")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert with_case == spark.conf.get("spark.sql.caseSensitive")
+    assert found and all(0 <= r.position <= 1 for r in found) and len({r.position for r in found}) > len(found) // 2
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    texts = {hashlib.sha256(" ".join(map(str, tokenizer.encode(r[1], add_special_tokens=False).ids)).encode()).hexdigest() for r in rows if r[1]}
+    assert {r.ids_sha256 for r in found} <= texts
+
+
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)

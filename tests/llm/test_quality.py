@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from snapframe.llm import ordinal_quality, quality_rules
 
 
@@ -47,32 +49,44 @@ def bucket_value(x):
     return 2 * 1.02 ** math.ceil(math.log(x) / math.log(1.02)) / 2.02 if x > 0 else 0.0
 
 
-def plain_verdicts(rows, min_group):
+def plain_verdicts(rows, prior):
     """kept by doc_id: the fences of each group from sorted bucket values, then the rule for each document."""
     stats = {}
     for doc_id, text, lang, source in rows:
         n, chars, symbols, dups, repeats, base = counts(text)
         lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
         ratios = (symbols / max(n, 1), repeats / max(n, 1), dups / max(lines, 1), chars / max(n, 1))
-        stats[doc_id] = ((lang, source), base, ratios, ((symbols, n, 1), (repeats, n, 8), (dups, lines, 1)))
+        stats[doc_id] = ((lang, source), base, ratios, ((symbols, n, 1), (repeats, n, 8), (dups, lines, 1), (chars, n, 1)))
 
     def limits(keep, i):
-        values = sorted(bucket_value(s[2][i]) for s in stats.values() if keep(s) and not s[1])
-        at = lambda q: values[math.ceil(q * len(values)) - 1]
-        reach = 5 * (at(0.75) - at(0.25))
-        return at(0.25) - reach, max(at(0.75) + reach, at(0.9)), len(values)
+        chosen = [s for s in stats.values() if keep(s) and not s[1]]
+        values = sorted(bucket_value(s[2][i]) for s in chosen)
+        at = lambda v, q: v[math.ceil(q * len(v)) - 1]
+        reach = 5 * (at(values, 0.75) - at(values, 0.25))
+        above = [v for v in values if v > 0]
+        if at(values, 0.9) > 0:
+            high = max(at(values, 0.75) + reach, at(values, 0.9))
+        elif above:
+            rate, allowed = at(above, 0.5), chosen[0][3][i][2] / max(1, sum(s[3][i][1] for s in chosen if s[2][i] == 0))
+            high = (rate - allowed) / math.log(rate / allowed) if rate > allowed else rate
+        else:
+            high = None
+        return at(values, 0.25) - reach, high, len(values)
 
     kept, known = {}, {}
     for doc_id, (group, base, ratios, shares) in stats.items():
         kept[doc_id] = not base
         for i in range(4 if not base else 0):
             if (group, i) not in known:
-                own = limits(lambda s: s[0] == group, i)
-                known[group, i] = own if own[2] >= min_group else limits(lambda s: s[0][0] == group[0], i)
-            low, high, _ = known[group, i]
+                own, wide = limits(lambda s: s[0] == group, i), limits(lambda s: s[0][0] == group[0], i)
+                share = own[2] / (own[2] + prior)
+                low = share * own[0] + (1 - share) * wide[0]
+                high = wide[1] if own[1] is None else own[1] if wide[1] is None else own[1] ** share * wide[1] ** (1 - share)
+                known[group, i] = low, high
+            low, high = known[group, i]
             if i == 3:
                 kept[doc_id] &= low <= ratios[3] <= high
-            else:
+            elif high is not None:
                 x, of, unit = shares[i]
                 kept[doc_id] &= (x / unit - 3 * math.sqrt(x / unit)) * unit <= high * of
     return kept
@@ -81,15 +95,40 @@ def plain_verdicts(rows, min_group):
 def test_verdicts_match_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
-    found = {r.doc_id: r.kept for r in quality_rules.judge(docs, min_group=15).collect()}
-    assert found == plain_verdicts(rows, 15)
+    found = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert found == plain_verdicts(rows, quality_rules.PRIOR)
     assert len(set(found.values())) == 2
+    rng = random.Random(5)
+    made = []
+    for i in range(400):
+        n, rate = rng.choice((30, 300, 2000)), rng.choice((0, 0, 0.02, 0.1)) if i % 3 else 0
+        words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) + ("#" if rng.random() < rate else "") for _ in range(n)]
+        made.append((i, "\n".join(" ".join(words[j : j + 7]) for j in range(0, n, 7)), "en", "s" if i % 4 else "t"))
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()} == plain_verdicts(made, quality_rules.PRIOR)
+
+
+def clean_words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+
+
+def test_length_and_group_decide(spark):
+    """Ten symbols stay in 20,000 words and go in 40; what is common in a source stays there and goes elsewhere."""
+    rng = random.Random(8)
+    text = lambda n, symbols: " ".join(w + "#" * (i < symbols) for i, w in enumerate(clean_words(rng, n)))
+    rows = [(i, text(100, 0), "en", "plain") for i in range(300)] + [(300 + i, text(100, 60), "en", "plain") for i in range(15)]
+    rows += [(1000 + i, text(100, 5 + i % 40), "en", "code") for i in range(300)]
+    rows += [(2000, text(20_000, 10), "en", "plain"), (2001, text(20_000, 40), "en", "plain"), (2002, text(40, 30), "en", "plain"), (2003, text(100, 45), "en", "plain"), (2004, text(100, 45), "en", "code")]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept[2000] and kept[2001] and not kept[2002]
+    assert not kept[2003] and kept[2004]
+    assert all(kept[i] for i in range(300)) and not any(kept[300 + i] for i in range(15)) and all(kept[1000 + i] for i in range(300))
 
 
 def test_groups_of_other_spread_get_other_fences(spark):
     rng = random.Random(3)
     rows = [(lang, "s", False, *(rng.uniform(0, width) for _ in range(3)), 4 + rng.uniform(0, width)) for lang, width in (("a", 0.01), ("b", 0.2)) for _ in range(300)]
-    frame = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, symbol_ratio double, repeat_ratio double, dup_line_ratio double, word_length double")
+    frame = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, symbol_ratio double, repeat_ratio double, dup_line_ratio double, word_length double").withColumns({"n_words": F.lit(100), "n_lines": F.lit(10)})
     narrow, wide = sorted(quality_rules.thresholds(quality_rules.sketches(frame)).collect(), key=lambda r: r.lang)
     for metric in quality_rules.METRICS:
         assert wide[f"high_{metric}"] > narrow[f"high_{metric}"] * (1.1 if metric == "word_length" else 5)
@@ -98,7 +137,7 @@ def test_groups_of_other_spread_get_other_fences(spark):
 
 def test_sketches_merge_and_bound_quantiles(spark):
     rows = [("en", "s" if i % 3 else "t", False, *[float(i % 101 + 1)] * 4) for i in range(3000)]
-    frame = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, symbol_ratio double, repeat_ratio double, dup_line_ratio double, word_length double")
+    frame = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, symbol_ratio double, repeat_ratio double, dup_line_ratio double, word_length double").withColumns({"n_words": F.lit(100), "n_lines": F.lit(10)})
     whole = quality_rules.fences(quality_rules.sketches(frame), ["lang"]).filter("metric = 'word_length'").first()
     q1, q3 = 26, 76
     reach = quality_rules.FENCE * (q3 - q1)
