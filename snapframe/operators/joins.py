@@ -6,14 +6,14 @@ of a range join null means "no filter".
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapframe.functions.geometry import iou
+from snapframe.session import cut
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str], nullable: Sequence[str] = ()) -> Column:
@@ -187,32 +187,31 @@ def tracks_by_frame(tracks: DataFrame, keys: Sequence[str] = ("video_id", "frame
 # --------------------------------------------------------------------------- one-to-one matching
 
 
-def _greedy(left: str, right: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
-            taken_left, taken_right, keep = set(), set(), []
-            for i, a, b in zip(pairs.index, pairs[left], pairs[right], strict=True):
-                if a not in taken_left and b not in taken_right:
-                    taken_left.add(a)
-                    taken_right.add(b)
-                    keep.append(i)
-            yield pairs.loc[keep]
-
-    return run
-
-
 def match_greedily(pairs: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[str], ascending: Sequence[bool]) -> DataFrame:
-    """Of candidate pairs, best first, those whose two sides are both still free.
+    """Of candidate pairs, best first by numeric columns, those whose two sides are both still free.
 
-    Groups are small (the boxes of one frame, the boundaries of one video).
+    A pair that is the best of both its sides is taken whatever happens elsewhere; pairs that share a side
+    with a taken one go. This is repeated until every pair is taken or gone, so the work is split by
+    side and not by key, and a key of any size is shared by all tasks. The pairs left are written
+    after every other round; as many rounds are needed as pairs wait for one another.
     """
-    run = _greedy(left, right)
-
-    def of_group(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(list(order), ascending=list(ascending), kind="stable")
-        return next(run(iter([ordered])))
-
-    return pairs.groupBy(*keys).applyInPandas(of_group, pairs.schema)
+    by = [*((F.col(c) if up else -F.col(c)) for c, up in zip(order, ascending, strict=True)), F.col(left), F.col(right)]
+    rank = F.struct(*(c.alias(f"r{i}") for i, c in enumerate(by)))
+    left_side, right_side = Window.partitionBy(*keys, left), Window.partitionBy(*keys, right)
+
+    def turn(df: DataFrame) -> DataFrame:
+        best = df.withColumn("_left", F.min("_rank").over(left_side)).withColumn("_right", F.min("_rank").over(right_side))
+        taken = best.withColumn("_taken", (F.col("_rank") == F.col("_left")) & (F.col("_rank") == F.col("_right")))
+        taken = taken.withColumn("_by_right", F.max("_taken").over(right_side)).withColumn("_by_left", F.max("_taken").over(left_side))
+        return taken.filter(F.col("_taken") | ~(F.col("_by_left") | F.col("_by_right"))).drop("_left", "_right", "_by_left", "_by_right")
+
+    free, done = pairs.withColumn("_rank", rank).withColumn("_taken", F.lit(False)), []
+    while True:
+        left_over = cut(turn(turn(free)), "matching")
+        done.append(left_over.filter("_taken").select(*pairs.columns))
+        free = left_over.filter("NOT _taken")
+        if free.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def match_boxes(poses: DataFrame, tracks: DataFrame, keys: Sequence[str], least: float = 0.3) -> DataFrame:

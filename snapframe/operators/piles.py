@@ -26,15 +26,22 @@ def piles(boxes: DataFrame, keys: Keys, who: str = "track_id", reach: float = 8.
     """Members of each frame's densest pile: keys, who, x, y, width.
 
     A pile is all within `reach` median box widths of one member, of the smallest id among equally
-    dense ones; frames of fewer than `least` boxes, or piles of fewer, have none.
+    dense ones; frames of fewer than `least` boxes, or piles of fewer, have none. Neighbours meet over
+    cells as wide as their own frame's reach, so a frame's distant boxes make no pairs; only the
+    counts of neighbours leave that join, and the members are looked up around the one centre.
     """
-    c = _centres(boxes, keys, who).filter((F.col("n") >= least) & (F.col("width") > 0))
-    other = c.select(*keys, F.col(who).alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    near = c.join(other, list(keys)).filter(F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)) <= reach * F.col("width"))
-    dense = near.groupBy(*keys, who).agg(F.count(F.lit(1)).alias("_m"))
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_m"), who))
-    centre = dense.withColumn("_b", best).filter((F.col("_b") == 1) & (F.col("_m") >= least)).select(*keys, who)
-    return near.join(centre, [*keys, who]).select(*keys, F.col("_o").alias(who), F.col("_x").alias("x"), F.col("_y").alias("y"), "width")
+    c = _centres(boxes, keys, who).filter((F.col("n") >= least) & (F.col("width") > 0)).withColumn("_r", reach * F.col("width"))
+    cell = lambda v: F.floor(F.col(v) / (F.col("_r") * (1 + 1e-9)))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    here = c.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
+    other = here.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_cy").alias("_oy"), F.explode(F.transform(around, lambda d: F.col("_cx") + d)).alias("_cx"))
+    other = other.select(*keys, "_x", "_y", "_cx", F.explode(F.transform(around, lambda d: F.col("_oy") + d)).alias("_cy"))
+    apart = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
+    near = here.join(other, [*keys, "_cx", "_cy"]).filter(apart <= F.col("_r"))
+    dense = near.groupBy(*keys, who, "x", "y").agg(F.count(F.lit(1)).alias("_m"))
+    centre = dense.groupBy(*keys).agg(F.min(F.struct((-F.col("_m")).alias("m"), who, "x", "y")).alias("_best")).filter(-F.col("_best.m") >= least)
+    centre = centre.select(*keys, F.col("_best.x").alias("_x"), F.col("_best.y").alias("_y"))
+    return c.join(centre, list(keys)).filter(apart <= F.col("_r")).select(*keys, who, "x", "y", "width")
 
 
 def pile_motion(pile: DataFrame, keys: Keys, frame: str, who: str = "track_id") -> DataFrame:

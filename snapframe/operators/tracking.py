@@ -1,7 +1,8 @@
 """Identity of boxes over time: optimal assignment per frame with ageing of lost tracks.
 
-The state of a (video, play) is carried from frame to frame; groups are one play each, so they
-are bounded, and the same step runs over batches (`track`) and streams (`streaming.tracking`).
+The state of a (video, play) is carried from frame to frame. A frame without detections ages every
+track, so after a longer pause none is left: a play is cut there and its pieces are followed by
+different tasks. The same step runs over batches (`track`) and streams (`streaming.tracking`).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapframe.functions.geometry import matrix_product
+from snapframe.operators.sequences import sessions
+from snapframe.session import cut
 
 LEAST_IOU = 0.3
 LEAST_LIKENESS = 0.7
@@ -77,6 +80,18 @@ class TrackerState:
     lost: dict[int, int] = field(default_factory=dict)
     crowded: dict[int, bool] = field(default_factory=dict)
     next_id: int = 0
+    frame: int | None = None  # the last one seen
+
+    def idle(self, frames: int) -> None:
+        """Frames without detections pass."""
+        for i in list(self.boxes) if frames > 0 else ():
+            self._age(i, frames)
+
+    def _age(self, i: int, frames: int = 1) -> None:
+        self.lost[i] += frames
+        if self.lost[i] > (LOST_FRAMES_CROWDED if self.crowded[i] else LOST_FRAMES):
+            for held in (self.boxes, self.looks, self.lost, self.crowded):
+                del held[i]
 
     def step(self, boxes: np.ndarray, looks: np.ndarray) -> list[int]:
         """Track ids of a frame's boxes; unmatched tracks age and end, unmatched boxes start tracks."""
@@ -92,10 +107,7 @@ class TrackerState:
                 if eligible[a, b]:
                     out[b] = ids[a]
         for i in set(ids) - set(out):
-            self.lost[i] += 1
-            if self.lost[i] > (LOST_FRAMES_CROWDED if self.crowded[i] else LOST_FRAMES):
-                for held in (self.boxes, self.looks, self.lost, self.crowded):
-                    del held[i]
+            self._age(i)
         crowd = (overlaps(boxes, boxes) > CROWD_OVERLAP).sum(1) - 1 >= 2 if len(boxes) else []
         for b in range(len(boxes)):
             if out[b] < 0:
@@ -105,19 +117,37 @@ class TrackerState:
 
 
 def follow(state: TrackerState, rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of whole frames, in any order, with their track ids."""
+    """Rows of whole frames, in any order, with their track ids; frames that are missing had no detections."""
     parts = []
-    for _, frame in rows.sort_values(["frame_index", "detection_index"]).groupby("frame_index", sort=True):
+    for at, frame in rows.sort_values(["frame_index", "detection_index"]).groupby("frame_index", sort=True):
         boxes = np.array(frame["bbox"].tolist(), float).reshape(-1, 4)
         looks = np.array(frame["look"].tolist(), float).reshape(len(frame), -1)
+        if state.frame is not None:
+            state.idle(int(at) - state.frame - 1)
+        state.frame = int(at)
         parts.append(frame.assign(track_id=state.step(boxes, looks)))
     return pd.concat(parts) if parts else rows.assign(track_id=pd.Series(dtype="int64"))
 
 
 def track(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Detections (frame_index, detection_index, bbox, look) of each play with a track_id."""
-    schema = T.StructType([*detections.schema.fields, T.StructField("track_id", T.LongType())])
-    return detections.groupBy(*keys).applyInPandas(lambda rows: follow(TrackerState(), rows)[schema.names], schema)
+    """Detections (frame_index, detection_index, bbox, look) of each play with a track_id.
+
+    A play is cut where more frames pass without detections than any track outlives; the ids of a
+    piece follow on those of the pieces before it.
+    """
+    keys = list(keys)
+    frames = sessions(detections.select(*keys, "frame_index").distinct(), keys, "frame_index", lambda at, before: at - before > LOST_FRAMES_CROWDED + 1)
+    named = frames.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("frame_index").alias("_frame"), "_session")
+    met = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)), F.col("frame_index") == F.col("_frame"))
+    pieces = detections.join(named, met).select(*detections.columns, "_session")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("track_id", T.LongType())])
+    found = pieces.groupBy(*keys, "_session").applyInPandas(lambda rows: follow(TrackerState(), rows)[schema.names], schema)
+    found = cut(found, "tracks")  # read twice
+    sizes = found.groupBy(*keys, "_session").agg((F.max("track_id") + 1).alias("_ids"))
+    before = F.sum("_ids").over(Window.partitionBy(*keys).orderBy("_session")) - F.col("_ids")
+    offsets = sizes.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_session").alias("_piece"), before.alias("_before"))
+    own = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)), F.col("_session") == F.col("_piece"))
+    return found.join(offsets, own).select(*detections.columns, (F.col("track_id") + F.col("_before")).alias("track_id"))
 
 
 def camera_to_reference(motions: DataFrame, keys: Sequence[str], order: str = "frame_index") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapframe.functions import geometry, text
-from snapframe.operators import joins, piles, queueing, tracking, upsert
+from snapframe.operators import field, joins, piles, queueing, tracking, upsert
 from snapframe.plans.registry import query
 from snapframe.session import table
 
@@ -160,20 +160,55 @@ def densest_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piles.piles(boxes(spark, sf_dir), ["frame"]).select("frame", "track_id")
 
 
-@query(f"""
+_PILES = f"""
     WITH {_BOXES}, m AS (SELECT frame, median(x1 - x0) AS w FROM b GROUP BY ALL),
-    c AS (SELECT frame, track_id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM b),
+    c AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY track_id) AS track_id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM b),
     n AS (SELECT a.frame, a.track_id AS t, d.track_id AS u, d.x, d.y FROM c a JOIN c d ON a.frame = d.frame JOIN m ON m.frame = a.frame WHERE sqrt(pow(a.x - d.x, 2) + pow(a.y - d.y, 2)) <= 8 * w),
     kk AS (SELECT frame, t, count(*) AS k FROM n GROUP BY ALL),
     k AS (SELECT * FROM kk QUALIFY row_number() OVER (PARTITION BY frame ORDER BY k DESC, t) = 1),
-    q AS (SELECT n.frame, avg(x) AS x, avg(y) AS y FROM n JOIN k ON n.frame = k.frame AND n.t = k.t WHERE k.k >= 6 GROUP BY ALL)
-    SELECT q.frame, round(sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) / w, 6) AS motion FROM q LEFT JOIN q p ON p.frame = q.frame - 1 JOIN m ON m.frame = q.frame""")
-def pile_centroid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pile = piles.piles(boxes(spark, sf_dir), ["frame"]).withColumn("video_id", F.lit(0))
-    return piles.centroid_motion(pile, ["video_id"], "frame").select("frame", F.round("motion", 6).alias("motion"))
+    pile AS (SELECT n.frame, n.frame // 25 AS video_id, n.u AS track_id, x, y, w FROM n JOIN k ON n.frame = k.frame AND n.t = k.t JOIN m ON m.frame = n.frame WHERE k.k >= 6)"""
 
 
-@query()
+def piles_of_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piles of the boxes, 25 frames a video, with boxes numbered within their frame."""
+    number = F.row_number().over(Window.partitionBy("frame").orderBy("track_id")).cast("long")
+    numbered = boxes(spark, sf_dir).withColumn("track_id", number).withColumn("video_id", F.floor(F.col("frame") / 25))
+    return piles.piles(numbered, ["video_id", "frame"])
+
+
+@query(_PILES + """, q AS (SELECT video_id, frame, avg(x) AS x, avg(y) AS y, any_value(w) AS w FROM pile GROUP BY ALL)
+    SELECT q.video_id, q.frame, round(sqrt(pow(q.x - z.x, 2) + pow(q.y - z.y, 2)) / q.w, 6) AS motion FROM q LEFT JOIN q z ON z.frame = q.frame - 1 AND z.video_id = q.video_id""")
+def pile_centroid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piles.centroid_motion(piles_of_videos(spark, sf_dir), ["video_id"], "frame").select("video_id", "frame", F.round("motion", 6).alias("motion"))
+
+
+@query(_PILES + """
+    SELECT p.video_id, p.frame, round(avg(sqrt(pow(p.x - z.x, 2) + pow(p.y - z.y, 2))) / any_value(p.w), 6) AS motion
+    FROM pile p LEFT JOIN pile z ON z.frame = p.frame - 1 AND z.video_id = p.video_id AND z.track_id = p.track_id GROUP BY p.video_id, p.frame""")
+def pile_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piles.pile_motion(piles_of_videos(spark, sf_dir), ["video_id"], "frame").select("video_id", "frame", F.round("motion", 6).alias("motion"))
+
+
+def _greedy_sql(pairs: str, key: str, left: str, right: str, order: str, columns: str) -> str:
+    """Pairs in order, each taken if neither side has been; sides taken so far are carried as lists."""
+    return f"""
+    WITH RECURSIVE {pairs},
+    o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM pairs),
+    w AS (
+        SELECT {key}, 0::BIGINT AS i, []::{{t}}[] AS lefts, []::{{t}}[] AS rights, false AS taken FROM (SELECT DISTINCT {key} FROM o)
+        UNION ALL
+        SELECT o.{key}, o.i, CASE WHEN list_contains(lefts, o.{left}) OR list_contains(rights, o.{right}) THEN lefts ELSE list_append(lefts, o.{left}) END,
+               CASE WHEN list_contains(lefts, o.{left}) OR list_contains(rights, o.{right}) THEN rights ELSE list_append(rights, o.{right}) END,
+               NOT (list_contains(lefts, o.{left}) OR list_contains(rights, o.{right}))
+        FROM w JOIN o ON o.{key} = w.{key} AND o.i = w.i + 1)
+    SELECT {columns} FROM o JOIN w USING ({key}, i) WHERE taken"""
+
+
+@query(_greedy_sql(f"""{_BOXES},
+    m AS (SELECT a.frame, a.track_id AS pose_id, c.track_id, greatest(0, least(a.x1 + 2, c.x1) - greatest(a.x0 + 2, c.x0)) * greatest(0, least(a.y1 + 1, c.y1) - greatest(a.y0 + 1, c.y0)) AS i,
+                 (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS s FROM b a JOIN b c ON a.frame = c.frame),
+    pairs AS (SELECT frame, pose_id, track_id, i / (s - i) AS iou FROM m WHERE i / (s - i) > 0.3)""",
+    "frame", "pose_id", "track_id", "iou DESC, pose_id, track_id", "frame, pose_id, track_id, round(iou, 6) AS iou").replace("{t}", "BIGINT"))
 def matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = boxes(spark, sf_dir)
     shifted = F.array(*(F.col("bbox")[i] + d for i, d in enumerate((2.0, 1.0, 2.0, 1.0))))
@@ -181,7 +216,10 @@ def matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.match_boxes(poses, tracks, ["frame"]).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(_greedy_sql("""
+    pairs AS (SELECT a.user_id, a.event_id::DOUBLE AS candidate, b.event_id::DOUBLE AS truth, abs(a.event_id - b.event_id)::DOUBLE AS apart FROM events a JOIN events b ON a.user_id = b.user_id
+              WHERE a.event_type = 'error' AND b.event_type = 'signup' AND abs(a.event_id - b.event_id) <= 50)""",
+    "user_id", "candidate", "truth", "candidate, apart, truth", "user_id, candidate, truth, apart").replace("{t}", "DOUBLE"))
 def matched_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     side = lambda kind: e.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").cast("double").alias("at"))
@@ -190,8 +228,41 @@ def matched_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tracked_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).select(F.lit("v").alias("video_id"), (F.col("track_id") % 6).alias("play_index"), F.col("frame").cast("long").alias("frame_index"), F.col("track_id").alias("detection_index"), "bbox", F.array(F.lit(1.0), (F.col("track_id") % 3).cast("double")).alias("look"))
-    return tracking.track(b, ["video_id", "play_index"]).select("play_index", "frame_index", "detection_index", "track_id")
+    """Boxes of 1,500 customers at a time are a video of six plays; their nations are spread over frames with pauses between."""
+    k, frame = F.col("track_id"), F.col("frame").cast("long") % 25
+    b = boxes(spark, sf_dir).select(
+        F.floor(F.col("frame") / 25).alias("video_id"), (k % 6).alias("play_index"), (frame + F.floor(frame / 8) * 60).alias("frame_index"), k.alias("detection_index"), "bbox", F.array(F.lit(1.0), (k % 3).cast("double")).alias("look")
+    )
+    return tracking.track(b, ["video_id", "play_index"]).select("video_id", "play_index", "frame_index", "detection_index", "track_id")
+
+
+_FIELD = """
+    c AS (SELECT s_suppkey AS picture, unnest([0, 1, 2, 3]) AS corner, unnest([20 + s_suppkey % 7, 180, 190 - s_suppkey % 5, 10]) AS x, unnest([20, 25 + s_suppkey % 4, 90, 95 - s_suppkey % 6]) AS y FROM supplier),
+    l AS (SELECT l_suppkey AS picture, l_partkey % 200 AS x1, l_orderkey % 110 AS y1, l_partkey % 200 + CASE WHEN l_linenumber % 2 = 0 THEN 40 ELSE 3 END AS x2, l_orderkey % 110 + CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber - 3 ELSE 30 END AS y2
+          FROM lineitem WHERE l_orderkey % (5 + l_suppkey % 3) = 0)"""
+
+
+@query(f"""
+    WITH {_FIELD},
+    e AS (SELECT a.picture, a.corner, (a.corner + 1) % 4 AS next, a.x, a.y, b.x AS ex, b.y AS ey, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS len FROM c a JOIN c b ON a.picture = b.picture AND b.corner = (a.corner + 1) % 4),
+    d AS (SELECT *, (ex - x) / len AS dx, (ey - y) / len AS dy FROM e),
+    f AS (
+        SELECT d.picture, corner, next, dx, dy, ((y1 + y2) / 2 - y) * dx - ((x1 + x2) / 2 - x) * dy AS off, ((x1 + x2) / 2 - x) * dx + ((y1 + y2) / 2 - y) * dy AS along, len,
+               abs(dx * (x2 - x1) + dy * (y2 - y1)) / sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS turn FROM d JOIN l ON d.picture = l.picture),
+    s AS (SELECT picture, corner, next, -dy * avg(off) AS sx, dx * avg(off) AS sy FROM f WHERE turn >= cos(radians(20)) AND along BETWEEN 0 AND len AND abs(off) <= 12 GROUP BY picture, corner, next, dx, dy HAVING stddev_pop(off) <= 6),
+    v AS (SELECT picture, corner, avg(sx) AS sx, avg(sy) AS sy FROM (SELECT picture, corner, sx, sy FROM s UNION ALL SELECT picture, next, sx, sy FROM s) GROUP BY ALL)
+    SELECT c.picture, c.corner, CAST(trunc(x + coalesce(sx, 0)) AS INT) AS x, CAST(trunc(y + coalesce(sy, 0)) AS INT) AS y FROM c LEFT JOIN v ON c.picture = v.picture AND c.corner = v.corner""")
+def snapped_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of fields, one for each supplier, against lines from its line items."""
+    k = F.col("s_suppkey")
+    at = lambda i, x, y: F.struct(F.lit(i).alias("corner"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    four = F.array(at(0, 20 + k % 7, F.lit(20)), at(1, F.lit(180), 25 + k % 4), at(2, 190 - k % 5, F.lit(90)), at(3, F.lit(10), 95 - k % 6))
+    corners = table(spark, sf_dir, "supplier").select(k.alias("picture"), F.inline(four))
+    x, y, n = F.col("l_partkey") % 200, F.col("l_orderkey") % 110, F.col("l_linenumber")
+    flat = n % 2 == 0
+    drawn = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % (5 + F.col("l_suppkey") % 3) == 0)
+    lines = drawn.select(F.col("l_suppkey").alias("picture"), x.alias("x1"), y.alias("y1"), (x + F.when(flat, 40).otherwise(3)).alias("x2"), (y + F.when(flat, n - 3).otherwise(30)).alias("y2"))
+    return field.snap_to_lines(corners, lines, ["picture"], band=12.0)
 
 
 # --------------------------------------------------------------------------- geometry

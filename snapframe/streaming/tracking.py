@@ -22,7 +22,7 @@ def use_state_store(spark) -> None:
 
 
 class Tracker(StatefulProcessor):
-    """Tracks of one play: a state for each track, the next id, and a timer that ends a silent play."""
+    """Tracks of one play: a state for each track, the next id and last frame, and a timer that ends a silent play."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -30,12 +30,12 @@ class Tracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.tracks = handle.getMapState("tracks", "track_id long", TRACK)
-        self.next_id = handle.getValueState("next_id", "id long")
+        self.place = handle.getValueState("place", "next_id long, frame long")
 
     def _load(self) -> TrackerState:
         state = TrackerState()
-        if self.next_id.exists():
-            state.next_id = self.next_id.get()[0]
+        if self.place.exists():
+            state.next_id, state.frame = self.place.get()
         for (i,), (box, look, lost, crowded) in self.tracks.iterator():
             state.boxes[i], state.looks[i], state.lost[i], state.crowded[i] = np.array(box), np.array(look), lost, crowded
         return state
@@ -45,13 +45,13 @@ class Tracker(StatefulProcessor):
             self.tracks.removeKey((i,))
         for i, box in state.boxes.items():
             self.tracks.updateValue((i,), (box.tolist(), state.looks[i].tolist(), int(state.lost[i]), bool(state.crowded[i])))
-        self.next_id.update((state.next_id,))
+        self.place.update((state.next_id, state.frame))
 
     def _forget(self) -> None:
         self.tracks.clear()
-        self.next_id.clear()
+        self.place.clear()
         for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, (tuple, list)) else timer)
+            self.handle.deleteTimer(timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))  # a play's share of one micro-batch
