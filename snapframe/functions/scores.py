@@ -39,9 +39,15 @@ def _weighted(features: Column, weights: Mapping[str, float], missing: float) ->
     return sum((F.coalesce(features[k], F.lit(missing)) * w for k, w in weights.items()), F.lit(0.0))
 
 
+MOST_FEATURES = 10_000
+
+
 def batch_features(df: DataFrame, features: str) -> set[str]:
-    """Names of the features that any row of a batch has; as many as there are features."""
-    return {r["k"] for r in df.select(F.explode(F.map_keys(features)).alias("k")).distinct().collect()}
+    """Names of the features that any row of a batch has; more than MOST_FEATURES are an error, as they would be a column's values."""
+    names = {r["k"] for r in df.select(F.explode(F.map_keys(features)).alias("k")).distinct().limit(MOST_FEATURES + 1).collect()}
+    if len(names) > MOST_FEATURES:
+        raise ValueError(f"{features} has more than {MOST_FEATURES} different keys")
+    return names
 
 
 def weighted_score(features: Column, weights: Mapping[str, float], batch: Collection[str] | None = None) -> Column:
@@ -71,8 +77,9 @@ def neutral_score(features: Column, weights: Mapping[str, float]) -> Column:
     return _weighted(features, weights, 0.5) / total if total else F.lit(0.5)
 
 
-def trait_map(features: Column, traits: Mapping[str, Mapping[str, float]] = TRAITS) -> Column:
-    return F.create_map(*(x for name, weights in traits.items() for x in (F.lit(name), weighted_score(features, weights))))
+def trait_map(features: Column, traits: Mapping[str, Mapping[str, float]] = TRAITS, batch: Collection[str] | None = None) -> Column:
+    """Score of each trait; with `batch`, only the features that any row of the batch has carry weight."""
+    return F.create_map(*(x for name, weights in traits.items() for x in (F.lit(name), weighted_score(features, weights, batch))))
 
 
 def _edges(score: Column, edges, otherwise: str) -> Column:

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,10 +108,14 @@ def quality_gate(frames: DataFrame, keys: Sequence[str], confidence: str, least:
     return frames.groupBy(*keys).agg(F.avg(confidence).alias("confidence")).filter(F.col("confidence") >= least)
 
 
-def score_reps(reps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Traits, buckets, grade and letter of every rep; one whose `features` are null scores 0 in each trait."""
+def score_reps(reps: DataFrame, keys: Sequence[str], traits: Mapping[str, Mapping[str, float]] = scores.TRAITS, batch: Collection[str] | None = None) -> DataFrame:
+    """Traits, buckets, grade and letter of every rep; one whose `features` are null scores 0 in each trait.
+
+    `batch` names the features that any rep of the batch has (scores.batch_features), for maps that may lack some;
+    rep_features makes all of them for any rep with frames, so its maps need none.
+    """
     empty = F.create_map().cast("map<string,double>")
-    scored = reps.withColumn("traits", scores.trait_map(F.coalesce("features", empty)))
+    scored = reps.withColumn("traits", scores.trait_map(F.coalesce("features", empty), traits, batch))
     grade = F.aggregate(F.map_values("traits"), F.lit(0.0), lambda s, x: s + x) / F.size("traits")
     buckets = F.transform_values("traits", lambda _, x: scores.bucket(x))
     return scored.select(*keys, "traits", buckets.alias("buckets"), grade.alias("overall_grade")).withColumn("letter", scores.letter(F.col("overall_grade")))

@@ -46,6 +46,16 @@ def join_analysis(analysis: DataFrame, reps: DataFrame) -> DataFrame:
     return b.withColumn("_rep", rep).withColumn("track_id", F.coalesce("track_id", F.lit(0))).select(*analysis.columns, "_rep.*")
 
 
+def find_reps(wanted: DataFrame, reps: DataFrame) -> DataFrame:
+    """The wanted keys (video_id, rep_index, track_id, play_index) with the rep of exactly that key: null only meets null.
+
+    Of several reps of a key the one that starts first counts; the rep's columns are null where there is none.
+    """
+    rest = [c for c in reps.columns if c not in ("video_id", "rep_index", "track_id", "play_index")]
+    first = latest(reps, ["video_id", "rep_index", "track_id", "play_index"], [F.col("start_frame").asc_nulls_last()])
+    return wanted.join(first, same(wanted, first, ["video_id", "rep_index"], ["track_id", "play_index"]), "left").select(*(wanted[c] for c in wanted.columns), *(first[c] for c in rest))
+
+
 def join_players(analysis: DataFrame, players: DataFrame) -> DataFrame:
     """player_id by (video, track, play), or track_0_x."""
     joined = analysis.join(players, same(analysis, players, ["video_id", "track_id"], ["play_index"]), "left")

@@ -43,6 +43,16 @@ def siblings(queue: DataFrame, where: Column, order: Sequence[str], n: int) -> D
     return queue.filter(where).orderBy(*order).limit(n)
 
 
+def with_status(rows: DataFrame, status: str, created: str, tie: str, n: int = 50) -> DataFrame:
+    """The n oldest rows of a status."""
+    return rows.filter(F.col("status") == status).orderBy(created, tie).limit(n)
+
+
+def by_priority(queue: DataFrame, priority: int, created: str, tie: str, n: int = 10) -> DataFrame:
+    """The n oldest jobs of a priority."""
+    return queue.filter(F.col("priority") == priority).orderBy(created, tie).limit(n)
+
+
 def clamp_priority(priority: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(10), priority))
 
@@ -97,6 +107,45 @@ def propagate_failures(failed: DataFrame, stages: DataFrame, plays: DataFrame, v
     return upsert(stages, changes, keys[:2], keys[2:]), mark(plays, ["video_id", "play_index"], of_plays), mark(videos, ["video_id"], of_videos)
 
 
+def settle_failures(failed: DataFrame, stages: DataFrame, plays: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As propagate_failures, and a video whose last unresolved play has failed is completed by those that did not fail.
+
+    Only videos of the failed jobs are looked at; one that has failed itself stays failed.
+    """
+    stages, plays, videos = propagate_failures(failed, stages, plays, videos)
+    hit = failed.filter("play_index IS NOT NULL").select("video_id").distinct()
+    over = finalise(plays.join(hit, "video_id", "left_semi"), "video_id", "status").select("video_id", F.lit(True).alias("_over"))
+    done = F.when(F.coalesce("_over", F.lit(False)) & ~F.col("status").eqNullSafe("failed"), "completed").otherwise(F.col("status"))
+    return stages, plays, videos.join(over, "video_id", "left").withColumn("status", done).select(*videos.columns)
+
+
+def repairs(videos: DataFrame, queue: DataFrame) -> DataFrame:
+    """Jobs that a watchdog adds for videos without any queue entry: video_id, stage, priority, reason.
+
+    A pending video starts over with its metadata; one that stopped after its download, or while it was
+    processed, is downloaded again. Completed and failed videos need nothing.
+    """
+    stuck = videos.join(queue.select("video_id").distinct(), "video_id", "left_anti")
+    stage = F.when(F.col("status") == "pending", "metadata").when(F.col("status").isin("downloaded", "processing"), "download")
+    reason = F.when(F.col("status") == "pending", "pending with no queue entry").otherwise(F.concat(F.lit("orphaned ("), F.col("status"), F.lit(")")))
+    return stuck.select("video_id", stage.alias("stage"), F.lit(7).alias("priority"), reason.alias("reason")).filter("stage IS NOT NULL")
+
+
+def cleanup(videos: DataFrame, queue: DataFrame, now: Column, minutes: float = 60, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is done about videos pending for more than `minutes` (video_id, age_minutes, queue_exists, action), and the videos and queue left.
+
+    A dry run leaves both as they are. Videos without a creation time are left alone.
+    """
+    age = (F.unix_micros(now) - F.unix_micros("created_at")) / 60_000_000
+    old = videos.filter(F.col("status") == "pending").select("video_id", F.round(age, 1).alias("age_minutes"), age.alias("_age")).filter(F.col("_age") > minutes).drop("_age")
+    entries = queue.select("video_id", F.lit(True).alias("queue_exists")).distinct()
+    found = old.join(entries, "video_id", "left").select("video_id", "age_minutes", F.coalesce("queue_exists", F.lit(False)).alias("queue_exists"), F.lit("would_delete" if dry_run else "deleted").alias("action"))
+    if dry_run:
+        return found, videos, queue
+    gone = found.select("video_id")
+    return found, videos.join(gone, "video_id", "left_anti"), queue.join(gone, "video_id", "left_anti")
+
+
 def unclaimed(videos: DataFrame, claimed: str, created: str, now: Column, hours: float) -> DataFrame:
     """Videos that nobody has claimed within `hours`."""
     return stale(videos, F.col(claimed).isNull(), created, now, hours * 60)

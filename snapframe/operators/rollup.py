@@ -178,22 +178,82 @@ def season(reps: DataFrame, play: Sequence[str], game: Sequence[str], whole: Seq
     return games.groupBy(*whole).agg(F.avg("v").alias("grade"), F.sum("reps").alias("reps"), F.sum("snaps").alias("snaps"), F.count(F.lit(1)).alias("games"))
 
 
+def _read_surely(sure: float) -> Column:
+    return F.coalesce(F.col("jersey_number") != "", F.lit(False)) & (F.coalesce("jersey_confidence", F.lit(0.0)) >= sure)
+
+
+def _player(sure: float) -> Column:
+    alone = F.concat(F.lit("track_"), F.col("track_id").cast("string"), F.lit("_"), F.coalesce(F.col("play_index").cast("string"), F.lit("x")))
+    return F.when(_read_surely(sure), F.concat(F.lit("jersey_"), F.col("jersey_number"))).otherwise(alone)
+
+
 def players(tracks: DataFrame, keys: Sequence[str], sure: float = 0.8) -> DataFrame:
     """Tracks gathered into players: by jersey if it is read surely, else each track of each play alone.
 
     `tracks` has track_id, play_index, jersey_number, jersey_confidence, total_frames_tracked and
     row_id, which gives the order of first sight.
     """
-    alone = F.concat(F.lit("track_"), F.col("track_id").cast("string"), F.lit("_"), F.coalesce(F.col("play_index").cast("string"), F.lit("x")))
-    by_jersey = F.col("jersey_number").isNotNull() & (F.coalesce("jersey_confidence", F.lit(0.0)) >= sure)
-    player = F.when(by_jersey, F.concat(F.lit("jersey_"), F.col("jersey_number"))).otherwise(alone)
     return (
-        tracks.withColumn("player_id", player)
+        tracks.withColumn("player_id", _player(sure))
         .groupBy(*keys, "player_id")
         .agg(F.sum(F.coalesce("total_frames_tracked", F.lit(0))).alias("frames"), F.count(F.lit(1)).alias("instances"), F.min("row_id").alias("first_seen"))
     )
 
 
+def player_instances(tracks: DataFrame, keys: Sequence[str], sure: float = 0.8) -> DataFrame:
+    """Players as `players` finds them, with their jersey and the list of their tracks and plays in order of first sight.
+
+    The list is the result's own row, so a player has as many entries as it has tracks.
+    """
+    found = tracks.withColumn("player_id", _player(sure)).withColumn("_jersey", F.when(_read_surely(sure), F.col("jersey_number")))
+    seen = F.sort_array(F.collect_list(F.struct("row_id", "track_id", "play_index")))
+    return found.groupBy(*keys, "player_id").agg(
+        F.max("_jersey").alias("jersey_number"), F.sum(F.coalesce("total_frames_tracked", F.lit(0))).alias("total_frames_tracked"), F.min("row_id").alias("first_seen"),
+        F.transform(seen, lambda x: F.struct(x["track_id"].alias("track_id"), x["play_index"].alias("play_index"))).alias("instances"),
+    )
+
+
+def track_summary(rows: DataFrame, keys: Sequence[str], frame: str, still: int = 0) -> DataFrame:
+    """keys, first_frame, last_frame, total_frames, status of each track.
+
+    A track is active if it was seen within `still` frames of its group's last frame (keys without the last one), else lost.
+    """
+    summed = rows.groupBy(*keys).agg(F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame"), F.count(F.lit(1)).alias("total_frames"))
+    last = F.max("last_frame").over(Window.partitionBy(*keys[:-1]))
+    return summed.withColumn("status", F.when(F.col("last_frame") >= last - still, "active").otherwise("lost"))
+
+
+def top_traits(scored: DataFrame, keys: Sequence[str], trait: str = "trait", score: str = "score", n: int = 3) -> DataFrame:
+    """The n best traits of each group with their rank; of equal scores the first by name."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), trait))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def any_signal(signals: Column) -> Column:
+    """Whether any entry of a map of flags is set; null maps and entries are not."""
+    return F.coalesce(F.exists(F.map_values(signals), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+
+
+def compare_players(players: DataFrame, keys: Sequence[str], value: str, signals: str) -> DataFrame:
+    """Players of each group: their number, mean and best value, and whether a signal of any is set."""
+    return players.groupBy(*keys).agg(F.count(F.lit(1)).alias("players"), F.avg(value).alias("mean"), F.max(value).alias("best"), F.bool_or(any_signal(F.col(signals))).alias("flagged"))
+
+
+def frame_signals(frames: DataFrame, keys: Sequence[str], edges: str, drift: str, motion: str, least_variance: float = 0.0005, spike: float = 5000.0, static: float = 1.0) -> DataFrame:
+    """Weak signs of a doctored recording from figures of its sampled frames: keys, the figures, reasons, flagged, confidence.
+
+    Hardly varying edge densities, a spike in the drift from frame to frame and a picture that hardly moves each
+    are a reason. Drift and motion are null on a first frame. Of fewer than two frames nothing can be said.
+    """
+    summed = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.var_pop(edges).alias("edge_variance"), F.coalesce(F.max(drift), F.lit(0.0)).alias("max_drift"), F.avg(motion).alias("mean_motion"))
+    enough = F.col("frames") >= 2
+    signs = {"low_edge_density_variance": F.col("edge_variance") < least_variance, "histogram_drift_spike": F.col("max_drift") > spike, "suspiciously_static": F.coalesce(F.col("mean_motion") < static, F.lit(False))}
+    found = F.array_compact(F.array(*(F.when(hit, name) for name, hit in signs.items())))
+    reasons = F.when(enough, found).otherwise(F.array(F.lit("not_enough_readable_frames")))
+    flagged = enough & (F.size(found) > 0)
+    return summed.select("*", reasons.alias("reasons"), flagged.alias("flagged"), F.when(~enough, "unknown").when(F.size(found) > 0, "medium").otherwise("low").alias("confidence"))
+
+
 def status_counts(df: DataFrame, keys: Sequence[str], status: str, values: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*(F.count_if(F.col(status) == v).alias(v) for v in values))
 

@@ -216,6 +216,26 @@ def moving_average(df: DataFrame, keys: Keys, order: str, value: str, reach: int
     return df.withColumn(name, F.avg(value).over(_by(keys, order).rowsBetween(-reach, reach)))
 
 
+def smooth_keypoints(df: DataFrame, keys: Keys, order: str, landmarks: str = "landmarks", reach: int = 1) -> DataFrame:
+    """keys, order and the landmarks with each keypoint's place averaged over the rows up to `reach` before and after.
+
+    A keypoint is averaged over those of the rows that have it and keeps its own confidence; one that a row
+    lacks is not made up. Rows without landmarks have an empty map.
+    """
+    rows = position(df, keys, order, "_i")
+    long = rows.select(*keys, order, "_i", F.explode(landmarks).alias("_name", "_p"))
+    near = Window.partitionBy(*keys, "_name").orderBy("_i").rangeBetween(-reach, reach)
+    mean = lambda c: F.avg(f"_p.{c}").over(near).alias(c)
+    smooth = long.select(*keys, order, "_i", F.struct("_name", F.struct(mean("x"), mean("y"), mean("z"), F.col("_p.confidence").alias("confidence")).alias("p")).alias("_e"))
+    maps = smooth.groupBy(*keys, "_i").agg(F.map_from_entries(F.sort_array(F.collect_list("_e"))).alias("_map"))
+    named = maps.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_i").alias("_at"), "_map")
+    met = F.col("_i") == F.col("_at")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    empty = F.create_map().cast(maps.schema["_map"].dataType)
+    return rows.join(named, met, "left").select(*keys, order, F.coalesce("_map", empty).alias(landmarks))
+
+
 def shrinkage(df: DataFrame, keys: Keys, at: str, value: str, name: str = "shrink") -> DataFrame:
     """How much a value fell since the step before, at least 0; null where that step is missing."""
     by = _by(keys, at)

@@ -63,3 +63,24 @@ def pivot_stages(stages: DataFrame, key: str, order: str) -> DataFrame:
     last = latest(stages, [key, "stage_name", "play_index"], [F.col(order).desc()])
     name = F.concat(F.col("stage_name"), F.when(F.col("play_index").isNotNull(), F.format_string("_p%04d", "play_index")).otherwise(""))
     return last.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, F.col("status"))))).alias("stages"))
+
+
+def with_stages(roots: DataFrame, stages: DataFrame, key: str, order: str, fields: Sequence[str] = ("status", "attempt")) -> DataFrame:
+    """Every root row with a map from stage, and play if there is one, to a struct of the stage's fields.
+
+    Of repeated entries the last by `order` counts; a root without stages has an empty map.
+    """
+    last = latest(stages, [key, "stage_name", "play_index"], [F.col(order).desc()])
+    name = F.concat(F.col("stage_name"), F.when(F.col("play_index").isNotNull(), F.format_string("_p%04d", "play_index")).otherwise(""))
+    nested = last.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name.alias("stage"), F.struct(*fields).alias("entry"))))).alias("stages"))
+    empty = F.create_map().cast(nested.schema["stages"].dataType)
+    return roots.join(nested, key, "left").withColumn("stages", F.coalesce("stages", empty))
+
+
+def set_columns(base: DataFrame, chosen: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """The rows of the chosen keys, null equal to null, with columns set; other rows and columns stay."""
+    named = chosen.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).distinct().withColumn("_set", F.lit(True))
+    met = F.lit(True)
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return base.join(named, met, "left").select(*(F.when(F.col("_set"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in base.columns))

@@ -199,9 +199,11 @@ def player_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.players(tracks, ["c_nationkey"])
 
 
-@query("SELECT user_id, min(event_id) AS first_frame, max(event_id) AS last_frame, count(*) AS total_frames FROM events GROUP BY ALL")
+@query("""
+    WITH s AS (SELECT event_type, user_id, min(event_id) AS first_frame, max(event_id) AS last_frame, count(*) AS total_frames FROM events GROUP BY ALL)
+    SELECT *, CASE WHEN last_frame >= max(last_frame) OVER (PARTITION BY event_type) - 400 THEN 'active' ELSE 'lost' END AS status FROM s""")
 def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_frame"), F.max("event_id").alias("last_frame"), F.count(F.lit(1)).alias("total_frames"))
+    return rollup.track_summary(table(spark, sf_dir, "events"), ["event_type", "user_id"], "event_id", still=400)
 
 
 @query("""
@@ -289,13 +291,12 @@ def trait_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE rank <= 3""")
 def top_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("trait")).agg(F.avg("value").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "trait"))
-    return means.withColumn("rank", rank).filter("rank <= 3").withColumn("score", F.round("score", 6))
+    return rollup.top_traits(means, ["user_id"]).withColumn("score", F.round("score", 6))
 
 
 @query("""
     SELECT c_mktsegment, count(*) AS players, round(avg(c_acctbal), 4) AS mean, max(c_acctbal) AS best, bool_or(c_acctbal < -990) AS flagged FROM customer GROUP BY ALL""")
 def player_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = F.create_map(F.lit("low"), F.col("c_acctbal") < -990, F.lit("never"), F.lit(False))
-    players = table(spark, sf_dir, "customer").withColumn("flagged", F.exists(F.map_values(signals), lambda x: x))
-    return players.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("players"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.max("c_acctbal").alias("best"), F.bool_or("flagged").alias("flagged"))
+    found = rollup.compare_players(table(spark, sf_dir, "customer").withColumn("signals", signals), ["c_mktsegment"], "c_acctbal", "signals")
+    return found.withColumn("mean", F.round("mean", 4))

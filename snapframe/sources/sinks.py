@@ -33,6 +33,16 @@ def write_rows(spark: SparkSession, base: str, name: str, rows: DataFrame, versi
     return store.read()
 
 
+def write_pose_files(poses: DataFrame, folder: str) -> None:
+    """One JSON document {timestamp, data} a frame (frame_index, timestamp, landmarks), under <folder>/name=frame_<index>.json/.
+
+    `readers.pose_files` reads the folder's files back.
+    """
+    document = F.to_json(F.struct("timestamp", F.col("landmarks").alias("data")))
+    named = poses.select(F.format_string("frame_%06d.json", "frame_index").alias("name"), document.alias("value"))
+    named.repartition("name").write.mode("overwrite").partitionBy("name").text(folder)
+
+
 def report_lines(figures: DataFrame, title: str, order: str) -> DataFrame:
     """A report table as ordered lines of Markdown."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in figures.columns]
