@@ -8,10 +8,13 @@ last row *kept* (thinning), a group's ordered values are folded by a built-in ag
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapframe.session import cut
+
 Keys = Sequence[str]
 
 
@@ -110,18 +113,69 @@ def sessions(df: DataFrame, keys: Keys, at: str, far: Callable[[Column, Column],
     return df.withColumn("_starts", starts).withColumn("_session", F.sum("_starts").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_starts")
 
 
+LONG_CHAIN = 100_000
+CELL = 1024
+
+
 def thin(df: DataFrame, keys: Keys, at: str, gap: float, inclusive: bool = False) -> DataFrame:
     """Keep a row only if it is more than `gap` (with `inclusive`, at least) after the last row kept.
 
     Result: keys and the kept values of `at`. Equal values count once, nulls not at all. A row that
     far from the row before is always kept, so a key's rows are cut there and folded piece by piece.
+    Pieces of more than LONG_CHAIN rows are not gathered but thinned by `_thin_chains`, to the same result.
     """
     far = (lambda x, last: x - last >= gap) if inclusive else (lambda x, last: x - last > gap)
-    values = F.array_sort(F.collect_set(at))
-    cut = sessions(df.filter(F.col(at).isNotNull()), keys, at, far)
-    first = F.array().cast(f"array<{df.schema[at].dataType.simpleString()}>")
+    kind = df.schema[at].dataType.simpleString()
+    pieces = sessions(df.filter(F.col(at).isNotNull()), keys, at, far)
+    sizes = pieces.groupBy(*keys, "_session").agg(F.count(F.lit(1)).alias("_size"))
+    long = sizes.filter(F.col("_size") > LONG_CHAIN).drop("_size")
+    first = F.array().cast(f"array<{kind}>")
     fold = F.aggregate(F.col("_all"), first, lambda kept, x: F.when((F.size(kept) == 0) | far(x, F.element_at(kept, -1)), F.array_append(kept, x)).otherwise(kept))
-    return cut.groupBy(*keys, "_session").agg(values.alias("_all")).select(*keys, F.explode(fold).alias(at))
+    folded = lambda rows: rows.groupBy(*keys, "_session").agg(F.array_sort(F.collect_set(at)).alias("_all")).select(*keys, F.explode(fold).alias(at))
+    if long.isEmpty():
+        return folded(pieces)
+    parts = [pieces.join(long, _equal(pieces, long, [*keys, "_session"]), how) for how in ("left_anti", "left_semi")]
+    return folded(parts[0]).unionByName(_thin_chains(parts[1].select(*keys, "_session", at).distinct(), keys, at, gap, inclusive))
+
+
+def _equal(left: DataFrame, right: DataFrame, keys: Keys) -> Column:
+    """Join condition on equal keys, null equal to null."""
+    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+
+
+def _thin_chains(values: DataFrame, keys: Keys, at: str, gap: float, inclusive: bool) -> DataFrame:
+    """Thinning of unbroken chains (keys, _session, distinct values) in rounds that grow with the logarithm of what is kept.
+
+    Every value's successor is the next value far enough from it. In a chain it is at most two gaps
+    away, so it is found within cells of CELL gaps, each holding a copy of the next one's beginning.
+    What is kept is what can be reached from a chain's first value; each round follows all jumps found so
+    far and doubles them. Rows are spread by value, and every round is written.
+    """
+    group = [*keys, "_session"]
+    width = float(gap) * CELL
+    cell = lambda c: F.floor(c / width)
+    x = F.col(at)
+    # A value v looks for the first point after v + gap: both stand in one order, points first or last at equal places.
+    points = values.select(*group, x.alias("_place"), F.lit(1 if inclusive else 0).alias("_turn"), x.alias("_point"), F.lit(None).cast(values.schema[at].dataType).alias("_from"))
+    probes = values.select(*group, (x + gap).cast(values.schema[at].dataType).alias("_place"), F.lit(0 if inclusive else 1).alias("_turn"), F.lit(None).cast(values.schema[at].dataType).alias("_point"), x.alias("_from"))
+    own = points.unionByName(probes).withColumn("_cell", cell(F.col("_place")))
+    ahead = points.filter(F.col("_place") - cell(F.col("_place")) * width <= 2 * gap).withColumn("_cell", cell(F.col("_place")) - 1)
+    by = Window.partitionBy(*group, "_cell").orderBy("_place", "_turn").rowsBetween(1, Window.unboundedFollowing)
+    jumps = own.unionByName(ahead).withColumn("_next", F.first("_point", ignorenulls=True).over(by)).filter(F.col("_from").isNotNull() & F.col("_next").isNotNull())
+    jumps = cut(jumps.select(*group, "_from", "_next"), "jumps")
+    kept = cut(values.groupBy(*group).agg(F.min(at).alias("_from")), "kept")
+    names = [f"_key{i}" for i in range(len(group))]
+    renamed = lambda df, a, b: df.select(*(F.col(k).alias(n) for k, n in zip(group, names, strict=True)), F.col("_from").alias(a), F.col("_next").alias(b))
+    met = lambda left, right, column: reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[n]) for k, n in zip(group, names, strict=True))) & (left[column] == right["_mid"])
+    size = kept.count()
+    while True:
+        onward = renamed(jumps, "_mid", "_far")
+        reached = kept.join(onward, met(kept, onward, "_from")).select(*group, F.col("_far").alias("_from"))
+        kept = cut(kept.unionByName(reached).distinct(), "kept")
+        if (now := kept.count()) == size:
+            return kept.select(*keys, F.col("_from").alias(at))
+        size = now
+        jumps = cut(jumps.join(onward, met(jumps, onward, "_next")).select(*group, "_from", F.col("_far").alias("_next")), "jumps")
 
 
 def merge_candidates(lists: Sequence[DataFrame], keys: Keys, at: str, window: float) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from snapframe.operators import field, joins, piles, tracking
+from snapframe.operators import field, joins, piles, sequences, tracking
 
 
 def frame(spark, rows, schema):
@@ -121,3 +121,27 @@ def test_piles_meet_over_cells_of_their_own_frame(spark):
         near = {i: {j for j in c if math.dist(c[i], c[j]) <= 8 * width} for i in c}
         best = min(near, key=lambda i: (-len(near[i]), i))
         assert got.get(f, set()) == (near[best] if len(near[best]) >= 6 else set())
+
+
+@pytest.mark.parametrize("inclusive,whole", [(False, True), (True, True), (False, False)])
+def test_long_chains_are_thinned_as_by_a_fold(spark, monkeypatch, inclusive, whole):
+    monkeypatch.setattr(sequences, "LONG_CHAIN", 50)
+    monkeypatch.setattr(sequences, "CELL", 8)
+    rng = random.Random(3)
+    rows = []
+    for key in ("a", None, "b"):
+        at = rng.randint(-500, 500)
+        for _ in range(700 if key != "b" else 30):
+            at += rng.choice((0, 1, 1, 2, 3, 5, 5, 40 if rng.random() < 0.02 else 4))
+            rows.append((key, at if whole else at / 4))
+    gap = 5 if whole else 1.25
+    want = []
+    for key in ("a", None, "b"):
+        last = None
+        for v in sorted({v for k, v in rows if k == key}):
+            if last is None or (v - last >= gap if inclusive else v - last > gap):
+                want.append((key, v))
+                last = v
+    df = frame(spark, rows, f"k string, at {'long' if whole else 'double'}")
+    found = sequences.thin(df.repartition(3), ["k"], "at", gap, inclusive)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
