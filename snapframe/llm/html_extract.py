@@ -1,19 +1,22 @@
 """Main text of HTML pages by tree scoring.
 
 A lenient parser builds the element tree. Boilerplate elements are dropped by tag or role, and by
-class or id if that is wholly a boilerplate name. A boilerplate word in a longer name lowers the
-element's score, and drops it only if it is small or mostly links. Names never drop headings,
-paragraphs or what holds most of the page's text. Every remaining paragraph passes points for its length and commas to
-its ancestors, fewer the further up, discounted by its share of link text. The container with
-most points after the same discount is kept, with those siblings that read like content; inside
-an article or main element, that element is the container.
+class or id if that is wholly a boilerplate name, however much they hold; headings never are, and
+what holds every heading and paragraph of the page is the page and no boilerplate, but for comments.
+Forms are boilerplate by name. A boilerplate word in a longer name lowers the element's score, and
+drops it only if it is mostly links or holds no prose and a short text. Every remaining
+paragraph passes points for its length and commas to its ancestors, fewer the further up,
+discounted by its share of link text. The container with most points after the same discount is
+kept, with those siblings that read like content; inside an article or main element, that element
+is the container, and of its siblings other articles may join it. What is kept is kept whole.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,7 +43,7 @@ DROPPED_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion footer footnav copyright disclaimer masthead topbar toolbar tagcloud skip outbrain taboola".split()
 )
 # Words that also name content: alone they never make a boilerplate name.
-WEAK_WORDS = frozenset("notice notices notification alert promotion rail share sharing social related recommended recommendations trending popular respond reply replies discussion copyright register subscription skip banner overlay consent".split())
+WEAK_WORDS = frozenset("notification alert promotion rail share sharing social related recommended recommendations trending popular respond reply replies discussion copyright register subscription skip banner overlay consent".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 AFFIXES = frozenset("area list section container wrapper wrap box block bar left right top bottom primary secondary links buttons item items inner outer thread posts articles stories body content text form holder unit slot".split())
 CONTENT_WORDS = frozenset("content main article post story entry page layout site text body".split())
@@ -60,27 +63,27 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+CELLS = ("td", "th", "table")
+CLOSES_CELLS = frozenset("table tr td th tbody thead tfoot div section article main body html".split())  # closing tags that end what is open in a cell
 ANCESTOR_SHARES = (1.0, 0.5, 1 / 3)
 ARTICLE_BONUS = 25.0
 SIBLING_SHARE = 0.2
 PROSE = HEADINGS | {"p", "pre", "blockquote"}
 PARTLY, WHOLLY, COMMENTS = 1, 2, 3
 NAMED_SHARES = (1.0, 0.5, 0.25, 0.25)
-MOST = 0.5
-MOST_COMMENTS = 0.9
 SMALL = 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "links", "commas", "named", "prose")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "commas", "named", "prose")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.dropped = self.prose = False
+        self.dropped = False
         self.named = 0
         self.points = 0.0
-        self.length = self.linked = self.links = self.commas = 0
+        self.length = self.linked = self.commas = self.prose = 0
 
 
 def _is_dropped(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -103,9 +106,9 @@ def _is_dropped(tag: str, attrs: str, inside_article: bool) -> bool:
 
 def _name(tag: str, attrs: str) -> int:
     """How far class and id name boilerplate: not at all, in part of a name, by a whole name, or as comments."""
-    if tag == "form":  # a form is boilerplate unless it holds most of the page
+    if tag == "form":
         return WHOLLY
-    if tag in KEPT_TAGS or tag in PROSE or not attrs:
+    if tag in KEPT_TAGS or tag in HEADINGS or not attrs:
         return 0
     found, content = 0, False
     for m in _ATTR.finditer(attrs):
@@ -118,7 +121,8 @@ def _name(tag: str, attrs: str) -> int:
             if hits:
                 whole = not hits <= WEAK_WORDS and all(w in hits or w in AFFIXES for w in words)
                 found = max(found, (COMMENTS if hits & COMMENT_WORDS else WHOLLY) if whole else PARTLY)
-    return min(found, PARTLY) if content else found
+    found = min(found, PARTLY) if content else found
+    return 0 if tag in PROSE and found == PARTLY else found
 
 
 class Tags:
@@ -161,16 +165,19 @@ def parse(page: str) -> Node:
     """Element tree of a page; dropped elements are marked. Never fails on bad markup."""
     root, tags = Node("html", None), Tags(page)
     stack, at, articles, length = [root], 0, 0, len(page)
-    open_tags: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of each tag's open elements
     paragraphs = [-1]  # for each open element, where the paragraph stands that a block inside it ends
 
     def cut(to: int) -> None:
         nonlocal articles
         for n in stack[to:]:
-            open_tags[n.tag] -= 1
+            opened[n.tag].pop()
             articles -= n.tag in ("article", "main")
         del stack[to:], paragraphs[to:]
 
+    def innermost(names) -> int:
+        return max((opened[t][-1] for t in names if opened[t]), default=0)
+
     while at < length:
         found = tags.following(at)
         if found is None:
@@ -183,13 +190,8 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if closing:
-            if open_tags[tag]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        cut(i)
-                        break
-                    if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "div", "section", "article", "main", "body", "html"):
-                        break
+            if opened[tag] and (tag in CLOSES_CELLS or opened[tag][-1] > innermost(CELLS)):
+                cut(opened[tag][-1])
             continue
         if tag == "html" and len(stack) == 1:
             continue
@@ -198,15 +200,10 @@ def parse(page: str) -> Node:
         if tag in IMPLIED:
             ends, fences = IMPLIED[tag]
             ends = ends | {"p"} if tag != "body" else ends
-            first = None
-            if any(open_tags[t] for t in ends):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in fences:
-                        break
-                    if stack[i].tag in ends:
-                        first = i
-            if first is not None:
-                cut(first)
+            fence = innermost(fences)
+            inside = [places[i] for t in ends if (i := bisect_right(places := opened[t], fence)) < len(places)]
+            if inside:
+                cut(min(inside))
         elif tag in CLOSES_P and paragraphs[-1] >= 0:
             cut(paragraphs[-1])
         node = Node(tag, stack[-1])
@@ -219,7 +216,7 @@ def parse(page: str) -> Node:
         elif tag not in VOID:
             paragraphs.append(len(stack) if tag == "p" else -1 if tag in ("td", "th", "table", "button") else paragraphs[-1])
             stack.append(node)
-            open_tags[tag] += 1
+            opened[tag].append(len(stack) - 1)
             articles += tag in ("article", "main")
     return root
 
@@ -236,10 +233,10 @@ def _nodes(root: Node) -> list[Node]:
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Characters, link characters and commas below each element, and whether it holds prose."""
+    """Characters, link characters and commas below each element, and the headings and paragraphs there."""
     for node in reversed(nodes):
-        node.length = node.linked = node.links = node.commas = 0
-        node.prose = node.tag in PROSE
+        node.length = node.linked = node.commas = 0
+        node.prose = int(node.tag in PROSE)
         for child in node.children:
             if isinstance(child, str):
                 text = " ".join(child.split())
@@ -248,12 +245,10 @@ def _measure(nodes: list[Node]) -> None:
             elif not child.dropped:
                 node.length += child.length
                 node.linked += child.linked
-                node.links += child.links
                 node.commas += child.commas
-                node.prose |= child.prose
+                node.prose += child.prose
         if node.tag == "a":
             node.linked = node.length
-            node.links += 1
 
 
 def _link_share(node: Node) -> float:
@@ -262,9 +257,9 @@ def _link_share(node: Node) -> float:
 
 def _drop_named(nodes: list[Node]) -> bool:
     """Mark measured elements that their names give away as boilerplate; false if there are none."""
-    total, any_dropped = nodes[0].length, False
+    any_dropped = False
     for node in nodes:
-        if not node.named or node.length > (MOST_COMMENTS if node.named == COMMENTS else MOST) * total:
+        if not node.named or (node.named != COMMENTS and 0 < node.prose == nodes[0].prose):
             continue
         if node.named > PARTLY or _link_share(node) > 0.5 or (node.length < SMALL and not node.prose):
             node.dropped = any_dropped = True
@@ -315,10 +310,6 @@ def _enclosing(node: Node, tag: str) -> Node | None:
     return found
 
 
-def _is_link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "table", "section", "p", "dl") and _link_share(node) > 0.8 and node.links >= 3
-
-
 def _blocks(tops: list[Node]) -> list[str]:
     """Text of each block in page order; inline elements and line breaks join with what is around."""
     out: list[str] = []
@@ -338,7 +329,7 @@ def _blocks(tops: list[Node]) -> list[str]:
                 flush()
             elif isinstance(item, str):
                 held.append(item)
-            elif not item.dropped and not _is_link_list(item):
+            elif not item.dropped:
                 if item.tag in ("br", "wbr"):
                     held.append(" " if item.tag == "br" else "")
                 elif item.tag in BLOCK:
@@ -368,7 +359,8 @@ def extract(page: str | None) -> str:
         best = root
     whole = _enclosing(best, "article") or _enclosing(best, "main")
     if whole is not None:
-        return "\n\n".join(_blocks([whole]))
+        top, around = value(whole), whole.parent.children if whole.parent else [whole]
+        return "\n\n".join(_blocks([c for c in around if c is whole or (isinstance(c, Node) and c.tag == "article" == whole.tag and _is_content(c, top))]))
     if best.parent is None:
         return "\n\n".join(_blocks([best]))
     top = value(best)
@@ -385,7 +377,9 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points).
 
-    Null, empty and textless pages give ''. Text outside any element counts as a paragraph of the
+    Null, empty and textless pages give '', and so do pages that are boilerplate by tag, role or name
+    throughout (an element with every heading and paragraph of the page is not, unless named as comments). Elements named in part like boilerplate go if more than half of their text is links, or if they
+    hold less than SMALL characters and no prose. Text outside any element counts as a paragraph of the
     page. Of equally good containers the first in page order wins. Pages are read one by one and
     whole; repeated rows give equal results, empty input an empty result; extra columns are ignored.
     """

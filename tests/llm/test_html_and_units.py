@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from snapframe.llm import html_extract, queries, unit_dedup
@@ -173,3 +175,32 @@ def test_a_form_around_the_page_is_no_form():
     inner = "<form><p>Your name, please, and address, too.</p><input name=q></form>"
     found = html_extract.extract(f"<form id='aspnetForm'><div id='page'><nav>Home</nav><div>{body}</div>{inner}</div></form>")
     assert found.count("Paragraph") == 9 and "Your name" not in found and "Home" not in found
+
+
+ARTICLE = "<article><h1>Title</h1><p>" + "Real text, with commas, goes on here. " * 10 + "</p>%s</article>"
+
+
+@pytest.mark.parametrize(
+    "page,gone",
+    [
+        ("<body><div class='sidebar'>" + "<p>boilerplate, more of it, and more.</p>" * 60 + "</div>" + ARTICLE % "" + "</body>", True),
+        (ARTICLE % "" + "<section id='comments'>" + "<p>boilerplate says a reader, hello.</p>" * 300 + "</section>", True),
+        (ARTICLE % "<div class='notice'><p>boilerplate, accept please</p></div>", True),
+        (ARTICLE % "<p class='advert'>boilerplate, buy now</p>", True),
+        ("<body><form>" + "<p>boilerplate, sign up, now.</p>" * 40 + "</form>" + ARTICLE % "" + "</body>", True),
+        ("<form id='aspnet'>" + ARTICLE % "<p>boilerplate</p>" + "</form>", False),
+        (ARTICLE % "<ul><li><a href='a'>Alpha one</a></li><li><a href='b'>boilerplate</a></li><li><a href='c'>Gamma three</a></li></ul>", False),
+        (ARTICLE % "<p><a href='a'>Alpha one</a>, <a href='b'>boilerplate</a>, <a href='c'>Gamma three</a>.</p>", False),
+        ("<body>" + (ARTICLE % "").replace("Real", "boilerplate") + ARTICLE % "" + "</body>", False),
+    ],
+)
+def test_named_boilerplate_goes_whatever_its_size_and_nothing_else(page, gone):
+    text = html_extract.extract(page)
+    assert "Real text" in text and ("boilerplate" in text) is not gone
+
+
+@pytest.mark.parametrize("page", ["<li><ul>" + "<span>" * 30_000 + "<li>x" * 30_000, "<b><table>" + "<i>" * 30_000 + "</b>" * 30_000, "<table>" + "<tr><td>" * 30_000 + "</span>" * 30_000])
+def test_deep_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - began < 5
