@@ -270,13 +270,13 @@ HOP, RATE, LOUD, FULL, NEAR = 4, 8.0, 20000.0, 40000.0, 1.0  # samples a block a
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a recording: user_id, i, v and the event time `at`."""
     rows = sequences.position(events(spark, sf_dir), KEYS, "event_id", "i")
-    return rows.select("user_id", F.col("i").cast("long").alias("i"), (F.col("value") - 250).alias("v"), F.timestamp_seconds(1_000_000 + F.col("i") / RATE).alias("at"))  # an event time at the epoch itself counts as late
+    return rows.select("user_id", F.col("i").cast("long").alias("i"), (F.floor("value") - 250).cast("double").alias("v"), F.timestamp_seconds(1_000_000 + F.col("i") / RATE).alias("at"))  # an event time at the epoch itself counts as late
 
 
 _WHISTLES = _merge_sql(f"""
     SELECT user_id, min(frame) * {HOP / RATE}::DOUBLE AS timestamp, least(1, greatest(0, 0.40::DOUBLE * least(1, greatest(0, max(energy) / {FULL}::DOUBLE)) + 0.35::DOUBLE)) AS confidence, max(energy) AS onset_strength, 0.0::DOUBLE AS spectral_centroid, count(*) * {HOP / RATE}::DOUBLE AS duration
     FROM (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS run FROM (
-        SELECT user_id, i // {HOP} AS frame, avg(v * v) AS energy FROM (SELECT user_id, value - 250 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) GROUP BY ALL HAVING count(*) = {HOP}) WHERE energy > {LOUD})
+        SELECT user_id, i // {HOP} AS frame, avg(v * v) AS energy FROM (SELECT user_id, floor(value) - 250 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) GROUP BY ALL HAVING count(*) = {HOP}) WHERE energy > {LOUD})
     GROUP BY user_id, run""", NEAR)
 
 

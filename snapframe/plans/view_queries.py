@@ -133,11 +133,11 @@ _POINTS = """
 
 @query(f"""
     WITH {_POINTS}
-    SELECT video_id, CAST(event_id AS INT) AS frame_index, name, round(avg(x) OVER w, 6) AS x, round(avg(y) OVER w, 6) AS y, round(c, 6) AS confidence
+    SELECT video_id, CAST(event_id AS INT) AS frame_index, name, round(avg(x) OVER w, 9) AS x, round(avg(y) OVER w, 9) AS y, round(c, 9) AS confidence
     FROM p WINDOW w AS (PARTITION BY video_id, name ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def smoothed_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sequences.smooth_keypoints(_pose(spark, sf_dir), ["video_id"], "frame_index").select("video_id", "frame_index", F.explode("landmarks").alias("name", "p"))
-    return found.select("video_id", "frame_index", "name", *(F.round(f"p.{c}", 6).alias(c) for c in ("x", "y", "confidence")))
+    return found.select("video_id", "frame_index", "name", *(F.round(f"p.{c}", 9).alias(c) for c in ("x", "y", "confidence")))
 
 
 _STEPS = """
