@@ -93,7 +93,9 @@ def frames_of_reps(reps: DataFrame, pose: DataFrame) -> DataFrame:
     Ranges are cut into aligned slots and frames look up their own slot of each level, so both
     sides meet on equal keys only and no pair is made that is not in the result. Play and track are
     part of the key where the rep has them. Pose is read once, and keyed only for the levels and the
-    kinds of keys that the reps use: these are collected first, at most 4 * SLOT_LEVELS rows.
+    kinds of keys that the reps use: these are collected first, at most 4 * SLOT_LEVELS rows. The join is a
+    sort-merge join: slots are many more than the file that the reps come from lets the engine
+    expect, and a broadcast of them would go through the driver.
     """
     kind = F.when(F.col("play_index").isNotNull(), 1).otherwise(0) + F.when(F.col("track_id").isNotNull(), 2).otherwise(0)
     none = F.lit(None).cast("long")
@@ -110,7 +112,7 @@ def frames_of_reps(reps: DataFrame, pose: DataFrame) -> DataFrame:
     )
     met = (F.col("video_id") == F.col("_v")) & (F.col("_kind") == F.col("_k")) & (F.col("_slot.level") == F.col("_l")) & (F.col("_slot.slot") == F.col("_s"))
     met = met & F.col("play_index").cast("long").eqNullSafe(F.col("_p")) & F.col("track_id").cast("long").eqNullSafe(F.col("_t"))
-    return cut.join(frames, met).select(*reps.columns, *rest)
+    return frames.join(cut.hint("merge"), met).select(*reps.columns, *rest)
 
 
 def missing_from(left: DataFrame, right: DataFrame, keys: Sequence[str], nullable: Sequence[str] = ()) -> DataFrame:
