@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BAND = 22.0
 TURN_DEGREES = 20.0
+GRID = float(1 << 40)  # sums of multiples of 1 / GRID are exact below 8,192
+
+
+def _mean(c: str) -> Column:
+    """The mean in whatever order rows come: high and low bits of the values are summed apart, so that only the end is rounded."""
+    high = F.floor(F.col(c) * GRID) / GRID
+    return (F.sum(high) + F.sum(F.col(c) - high)) / F.count(c)
 
 
 def snap_to_lines(corners: DataFrame, lines: DataFrame, keys: Sequence[str], band: float = BAND, turn: float = TURN_DEGREES) -> DataFrame:
@@ -17,7 +24,8 @@ def snap_to_lines(corners: DataFrame, lines: DataFrame, keys: Sequence[str], ban
     A line counts for an edge if it turns from it by at most `turn` degrees, its middle lies beside the edge
     and at most `band` away. An edge whose lines agree (deviation of at most half a band) moves by their
     mean offset. Each corner moves by the mean of its two edges' moves; offsets are all taken from
-    the outline as it came. Edges and lines without length count for nothing. A picture's outline has few
+    the outline as it came, and summed so that the order of lines does not decide where a corner is cut to
+    a whole pixel. Edges and lines without length count for nothing. A picture's outline has few
     edges, so its lines meet each of them.
     """
     keys = list(keys)
@@ -34,7 +42,11 @@ def snap_to_lines(corners: DataFrame, lines: DataFrame, keys: Sequence[str], ban
     along = (F.col("_mx") - F.col("x")) * F.col("_dx") + (F.col("_my") - F.col("y")) * F.col("_dy")
     offset = (F.col("_my") - F.col("y")) * F.col("_dx") - (F.col("_mx") - F.col("x")) * F.col("_dy")
     fits = met.filter(parallel & along.between(0.0, F.col("_len")) & (F.abs(offset) <= band)).withColumn("_off", offset)
-    moves = fits.groupBy(*keys, "corner", "_next", "_dx", "_dy").agg(F.avg("_off").alias("_mean"), F.stddev_pop("_off").alias("_spread")).filter(F.col("_spread") <= band / 2)
+    # Offset times length: exact for whole pixels, and so are its sums; they tell the deviation.
+    cross = (F.col("_my") - F.col("y")) * (F.col("_x") - F.col("x")) - (F.col("_mx") - F.col("x")) * (F.col("_y") - F.col("y"))
+    fits = fits.withColumn("_c", cross).withColumn("_square", F.pow(F.col("_x") - F.col("x"), 2) + F.pow(F.col("_y") - F.col("y"), 2))
+    n, spread = F.count(F.lit(1)), F.count(F.lit(1)) * F.sum(F.col("_c") * F.col("_c")) - F.sum("_c") * F.sum("_c")
+    moves = fits.groupBy(*keys, "corner", "_next", "_dx", "_dy").agg(_mean("_off").alias("_mean"), (spread <= (band / 2) ** 2 * F.first("_square") * n * n).alias("_agree")).filter("_agree")
     ends = moves.select(*keys, F.explode(F.array("corner", "_next")).alias("corner"), (-F.col("_dy") * F.col("_mean")).alias("_sx"), (F.col("_dx") * F.col("_mean")).alias("_sy"))
     shifts = ends.groupBy(*keys, "corner").agg(F.avg("_sx").alias("_sx"), F.avg("_sy").alias("_sy"))
     moved = lambda c, by: (F.col(c) + F.coalesce(by, F.lit(0.0))).cast("int").alias(c)

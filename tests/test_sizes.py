@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from snapframe.operators import joins
+from snapframe.operators import field, joins
 from snapframe.plans import ORACLES, QUERIES
 
 
@@ -31,3 +31,10 @@ def test_keys_of_long_numbers_are_those_of_the_sql(spark, tmp_path):
     want = {r[0]: r[2] for r in con.execute(ORACLES["identifiers"]).fetchall()}
     got = {r.o_orderkey: r.key for r in QUERIES["identifiers"](spark, str(tmp_path)).collect()}
     assert got == want and want[8_765_432] == "frame_876543"
+
+
+def test_a_mean_does_not_depend_on_the_order(spark):
+    values = [0.1, 7.3, -7.3, 1e-3, -0.1, 3.3, -3.3, -1e-3] * 3
+    orders = [sorted(values), sorted(values, reverse=True), values, sorted(values, key=abs)]
+    means = {spark.createDataFrame([(v,) for v in o], "v double").coalesce(1).agg(field._mean("v")).first()[0] for o in orders}
+    assert means == {0.0}
