@@ -92,8 +92,9 @@ def frames_of_reps(reps: DataFrame, pose: DataFrame) -> DataFrame:
 
     Ranges are cut into aligned slots and frames look up their own slot of each level, so both
     sides meet on equal keys only and no pair is made that is not in the result. Play and track are
-    part of the key where the rep has them. Pose is read once, and keyed only for the levels and the
-    kinds of keys that the reps use: these are collected first, at most 4 * SLOT_LEVELS rows. The join is a
+    part of the key where the rep has them. Only frames' keys look up slots, each distinct one once, for the
+    levels and the kinds of keys that the reps use; the rows themselves are joined to the keys that were
+    found, so they are shuffled once whatever the number of levels. The levels and kinds are collected first, at most 4 * SLOT_LEVELS rows. The join is a
     sort-merge join: slots are many more than the file that the reps come from lets the engine
     expect, and a broadcast of them would go through the driver.
     """
@@ -106,13 +107,17 @@ def frames_of_reps(reps: DataFrame, pose: DataFrame) -> DataFrame:
     fits = lambda c: ((c["kind"].bitwiseAND(1) == 0) | F.col("play_index").isNotNull()) & ((c["kind"].bitwiseAND(2) == 0) | F.col("track_id").isNotNull())
     rest = [c for c in pose.columns if c not in reps.columns]
     cells = F.filter(F.array(*cells), fits) if cells else F.array().cast("array<struct<kind:int,level:int,slot:bigint>>")
-    frames = pose.withColumn("_cell", F.explode(cells)).select(
-        *rest, F.col("video_id").alias("_v"), F.col("_cell.kind").alias("_k"), F.col("_cell.level").alias("_l"), F.col("_cell.slot").alias("_s"),
+    point = ["video_id", "frame_index", "play_index", "track_id"]
+    points = pose.select(*point).distinct().withColumn("_cell", F.explode(cells)).select(
+        *(F.col(c).alias(f"_at_{c}") for c in point), F.col("_cell.kind").alias("_k"), F.col("_cell.level").alias("_l"), F.col("_cell.slot").alias("_s"),
         key(F.col("_cell.kind").bitwiseAND(1) > 0, "play_index").alias("_p"), key(F.col("_cell.kind").bitwiseAND(2) > 0, "track_id").alias("_t"),
     )
-    met = (F.col("video_id") == F.col("_v")) & (F.col("_kind") == F.col("_k")) & (F.col("_slot.level") == F.col("_l")) & (F.col("_slot.slot") == F.col("_s"))
+    met = (F.col("video_id") == F.col("_at_video_id")) & (F.col("_kind") == F.col("_k")) & (F.col("_slot.level") == F.col("_l")) & (F.col("_slot.slot") == F.col("_s"))
     met = met & F.col("play_index").cast("long").eqNullSafe(F.col("_p")) & F.col("track_id").cast("long").eqNullSafe(F.col("_t"))
-    return frames.join(cut.hint("merge"), met).select(*reps.columns, *rest)
+    held = points.join(cut.hint("merge"), met).select(*reps.columns, *(f"_at_{c}" for c in point))
+    frames = pose.select(*rest, *(F.col(c).alias(f"_of_{c}") for c in point))
+    here = reduce(lambda x, y: x & y, (F.col(f"_of_{c}").eqNullSafe(F.col(f"_at_{c}")) if c in point[2:] else F.col(f"_of_{c}") == F.col(f"_at_{c}") for c in point))
+    return frames.join(held.hint("merge"), here).select(*reps.columns, *rest)
 
 
 def missing_from(left: DataFrame, right: DataFrame, keys: Sequence[str], nullable: Sequence[str] = ()) -> DataFrame:

@@ -38,3 +38,12 @@ def test_a_mean_does_not_depend_on_the_order(spark):
     orders = [sorted(values), sorted(values, reverse=True), values, sorted(values, key=abs)]
     means = {spark.createDataFrame([(v,) for v in o], "v double").coalesce(1).agg(field._mean("v")).first()[0] for o in orders}
     assert means == {0.0}
+
+
+def test_rows_of_frames_are_not_repeated_for_each_level(spark):
+    reps = spark.createDataFrame([("v", 0, 0, 1, 0, 500), ("v", 1, 0, 1, 3, 70)], "video_id string, rep_index int, play_index int, track_id int, start_frame int, end_frame int")
+    pose = frame(spark, [("v", 0, 1, f, float(f)) for f in (2, 3, 3, 80)], POSE)
+    found = joins.frames_of_reps(reps, pose)
+    repeated = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line and "value#" in line]
+    assert not repeated
+    assert sorted((r.rep_index, r.value) for r in found.collect()) == [(0, 2.0), (0, 3.0), (0, 3.0), (0, 80.0), (1, 3.0), (1, 3.0)]
