@@ -136,10 +136,31 @@ def existence(left: DataFrame, right: DataFrame, key: str, left_name: str, right
     return a.join(b, key, "full_outer").select(key, *(F.coalesce(c, F.lit(False)).alias(c) for c in (left_name, right_name)))
 
 
+PAIRS = 1 << 22  # that one piece of a cell compares
+
+
+def in_pieces(left: DataFrame, right: DataFrame, cell: Sequence[str], pairs: int = PAIRS) -> DataFrame:
+    """Rows that share a cell joined on it (an inner join), a crowded cell dealt over as many tasks as its pairs fill pieces.
+
+    The left rows of a cell are dealt to its pieces by hash, its right rows go to each of them. Pieces are shuffled
+    by number and not by size: the rows are few, but not the pairs that they make. Both inputs are
+    read twice.
+    """
+    cell = list(cell)
+    count = lambda df, name: df.groupBy(*cell).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(left, "_l").join(count(right, "_r"), cell).select(*cell, F.least(F.col("_l"), F.ceil(F.col("_l") * F.col("_r") / pairs)).alias("_pieces"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.join(sizes, cell).withColumn("_piece", F.pmod(F.xxhash64(*(c for c in left.columns if c not in cell)), F.col("_pieces"))).drop("_pieces")
+    given = right.join(sizes, cell).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    keys = [*cell, "_piece"]
+    return dealt.repartition(parts, *keys).join(given.repartition(parts, *keys).hint("merge"), keys).drop("_piece")
+
+
 def within_radius(points: DataFrame, others: DataFrame, keys: Sequence[str], x: str, y: str, radius: float) -> DataFrame:
     """Pairs at most `radius` apart, met over a grid of cells as wide as the radius.
 
     Points go to their own cell, the others to the nine cells around theirs, so each pair meets once.
+    The work of crowded cells is dealt over tasks (`in_pieces`).
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     a = points.select(*(F.col(k) for k in keys), *(F.col(c).alias(f"a_{c}") for c in points.columns if c not in keys), cell(x).alias("_cx"), cell(y).alias("_cy"))
@@ -147,7 +168,7 @@ def within_radius(points: DataFrame, others: DataFrame, keys: Sequence[str], x:
     b = others.select(*(F.col(k) for k in keys), *(F.col(c).alias(f"b_{c}") for c in others.columns if c not in keys), cell(x).alias("_bx"), cell(y).alias("_by"))
     b = b.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumn("_cx", F.col("_bx") + F.col("_dx")).withColumn("_cy", F.col("_by") + F.col("_dy"))
     apart = F.sqrt(F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2) + F.pow(F.col(f"a_{y}") - F.col(f"b_{y}"), 2))
-    joined = a.join(b, [*keys, "_cx", "_cy"]).withColumn("distance", apart).filter(F.col("distance") <= radius)
+    joined = in_pieces(a, b, [*keys, "_cx", "_cy"]).withColumn("distance", apart).filter(F.col("distance") <= radius)
     return joined.drop("_cx", "_cy", "_bx", "_by", "_dx", "_dy")
 
 

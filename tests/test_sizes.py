@@ -47,3 +47,15 @@ def test_rows_of_frames_are_not_repeated_for_each_level(spark):
     repeated = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line and "value#" in line]
     assert not repeated
     assert sorted((r.rep_index, r.value) for r in found.collect()) == [(0, 2.0), (0, 3.0), (0, 3.0), (0, 80.0), (1, 3.0), (1, 3.0)]
+
+
+def test_pairs_of_a_crowded_cell_are_dealt_over_tasks(spark):
+    left = spark.range(400).select(F.lit(1).alias("c"), F.col("id").alias("a"))
+    right = spark.range(300).select(F.lit(1).alias("c"), F.col("id").alias("b"))
+    met = joins.in_pieces(left, right, ["c"], pairs=1000)
+    assert met.count() == met.distinct().count() == 120_000
+    assert met.select(F.spark_partition_id()).distinct().count() > 1
+    points = spark.range(300).select(F.lit(1).alias("k"), F.col("id"), (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    near = joins.within_radius(points, points, ["k"], "x", "y", 3.0)
+    rows = [(r.id, r.x, r.y) for r in points.collect()]
+    assert sorted((r.a_id, r.b_id) for r in near.collect()) == sorted((a, b) for a, ax, ay in rows for b, bx, by in rows if (ax - bx) ** 2 + (ay - by) ** 2 <= 9)
