@@ -135,12 +135,14 @@ def trait_levels(reps: DataFrame, play: Sequence[str], game: Sequence[str], whol
     """Trait averages of plays, games and seasons from one scan of the reps.
 
     level, the keys (null above their level), trait, rows (reps, plays or games), mean, min, max. The reps are
-    summarised once by play; games merge their plays' summaries and seasons their games'.
+    summarised once by play; games merge their plays' summaries and seasons their games'. Reps are dealt by play
+    and by number before they are spread over their traits, as a task's share grows with its rows then.
     """
-    plays = trait_summary(reps, [*whole, *game, *play], traits)
+    every = [*whole, *game, *play]
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plays = trait_summary(reps.select(*every, traits).repartition(parts, *every), every, traits)
     games = merge_up(plays, [*whole, *game])
     seasons = merge_up(games, list(whole))
-    every = [*whole, *game, *play]
     full = lambda df, name: df.filter("trait IS NOT NULL").select(F.lit(name).alias("level"), *(F.col(c) if c in df.columns else F.lit(None).cast(plays.schema[c].dataType).alias(c) for c in every), "trait", "rows", "mean", "min", "max")
     return full(plays, "play").unionByName(full(games, "game")).unionByName(full(seasons, "season"))
 
