@@ -15,9 +15,11 @@ Keys = Sequence[str]
 
 
 def _centres(boxes: DataFrame, keys: Keys, who: str) -> DataFrame:
+    """Centres with their frame's median width and number of boxes; frames are dealt by number, as they are small but make many neighbours."""
     whole = Window.partitionBy(*keys)
     width = F.col("bbox")[2] - F.col("bbox")[0]
-    return boxes.select(
+    parts = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return boxes.select(*keys, who, "bbox").repartition(parts, *keys).select(
         *keys, who, ((F.col("bbox")[0] + F.col("bbox")[2]) / 2).alias("x"), ((F.col("bbox")[1] + F.col("bbox")[3]) / 2).alias("y"), F.median(width).over(whole).alias("width"), F.count(F.lit(1)).over(whole).alias("n")
     )
 

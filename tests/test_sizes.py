@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from snapframe.operators import field, joins
+from snapframe.operators import field, joins, piles, rollup
 from snapframe.plans import ORACLES, QUERIES
 
 
@@ -50,8 +50,8 @@ def test_rows_of_frames_are_not_repeated_for_each_level(spark):
 
 
 def test_pairs_of_a_crowded_cell_are_dealt_over_tasks(spark):
-    left = spark.range(400).select(F.lit(1).alias("c"), F.col("id").alias("a"))
-    right = spark.range(300).select(F.lit(1).alias("c"), F.col("id").alias("b"))
+    left = spark.range(400).select((F.col("id") * 0).alias("c"), F.col("id").alias("a"))
+    right = spark.range(300).select((F.col("id") * 0).alias("c"), F.col("id").alias("b"))
     met = joins.in_pieces(left, right, ["c"], pairs=1000)
     assert met.count() == met.distinct().count() == 120_000
     assert met.select(F.spark_partition_id()).distinct().count() > 1
@@ -59,3 +59,10 @@ def test_pairs_of_a_crowded_cell_are_dealt_over_tasks(spark):
     near = joins.within_radius(points, points, ["k"], "x", "y", 3.0)
     rows = [(r.id, r.x, r.y) for r in points.collect()]
     assert sorted((r.a_id, r.b_id) for r in near.collect()) == sorted((a, b) for a, ax, ay in rows for b, bx, by in rows if (ax - bx) ** 2 + (ay - by) ** 2 <= 9)
+
+
+def test_frames_and_plays_are_dealt_by_number(spark):
+    boxes = spark.range(20).select(F.col("id").alias("frame"), F.col("id").alias("track_id"), F.array(*(F.lit(float(v)) for v in (0, 0, 4, 9))).alias("bbox"))
+    assert "REPARTITION_BY_NUM" in plan_of(piles.piles(boxes, ["frame"]))
+    reps = spark.range(20).select(F.col("id").alias("p"), (F.col("id") % 5).alias("g"), (F.col("id") % 2).alias("s"), F.create_map(F.lit("t"), F.lit(1.0)).alias("traits"))
+    assert "REPARTITION_BY_NUM" in plan_of(rollup.trait_levels(reps, ["p"], ["g"], ["s"]))
