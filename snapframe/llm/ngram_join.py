@@ -18,8 +18,10 @@ one representative, the smallest first member among its lists. Links are contrac
 before any further pair of a long list is made: in lists that still hold several components,
 growing samples of pivots, the same documents in every list, meet the members of other components,
 until all have met. Parity bitmaps, whose Hamming distance never exceeds the sets' difference, are
-compared inside that join, so that only pairs that may well link come out of it; the same test
-discards most other false candidates before sets are compared.
+compared inside each list before any pair is made. Copies share many lists of nearly the same
+members, so the pivots that a class may link with are brought together over all its lists: a pair is
+made once, not once for each list. The same test discards most other false candidates before sets
+are compared.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ FILTER_BITS = (16, 28)  # least and most, as powers of two; 16 bits a key betwee
 LONG = 32  # members of a list from which on its pairs are not all made
 PIVOTS = 64
 PIVOT_GROWTH = 64
+PART = 64  # members and pivots of a list that meet at once
 NO_ID = -(1 << 63)  # stands for a null doc_id in the filter
 
 
@@ -337,6 +340,37 @@ def _alike(na: str, nb: str, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
+def _near(percent: int):
+    """Of each row's two groups of classes, those of the second that each of the first may link with; see _may_link."""
+
+    def columns(groups: pa.Array):
+        keys, n, labels, maps = groups.values.flatten()
+        maps = maps.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITMAP_BITS // 64)
+        return groups.offsets.to_numpy(), *(x.to_numpy(zero_copy_only=False) for x in (keys, n, labels)), maps
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (at, k, n, label, bits), (pat, p, pn, plabel, pbits) = (columns(batch.column(c)) for c in ("members", "pivots"))
+            rows, parts, found = [], [], []
+            for r, part in enumerate(batch.column("part").to_pylist()):
+                own, other = slice(at[r], at[r + 1]), slice(pat[r], pat[r + 1])
+                size, psize = n[own, None], pn[None, other]
+                may = (label[own, None] != plabel[None, other]) & (np.minimum(size, psize) * 100 >= np.maximum(size, psize) * percent)
+                apart = np.bitwise_count(bits[own, None] ^ pbits[None, other]).sum(axis=2, dtype=np.int64)
+                may &= apart * (100 + percent) <= (size + psize) * (100 - percent)
+                some = np.flatnonzero(may.any(axis=1))
+                rows += (some + at[r]).tolist()
+                parts += [part] * len(some)
+                found += [np.flatnonzero(may[i]) + pat[r] for i in some]
+            others = np.concatenate(found) if found else np.zeros(0, np.int64)
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(p[others], pa.int64()), pa.array(pn[others], pa.int64())], ["p", "pn"]))
+            rows = np.array(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k[rows], pa.int64()), pa.array(n[rows], pa.int64()), pa.array(parts, pa.int64()), lists], ["k", "n", "part", "others"])
+
+    return run
+
+
 class Verifier:
     """Tests candidate pairs of classes; reads the token sets of classes as they come up."""
 
@@ -352,13 +386,20 @@ class Verifier:
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         return joined.filter(_may_link("na", "nb", "mapa", "mapb", self.percent)).select("a", "b", "na", "nb")
 
-    def _sets_of(self, pairs: DataFrame) -> DataFrame:
-        """Token sets of the pairs' classes and of few others; texts are read for new classes only."""
+    def _sets_of(self, pairs: DataFrame, soon: DataFrame | None) -> DataFrame:
+        """Token sets of the pairs' classes and of few others; texts are read for new classes only.
+
+        Where they must be read, the sets of `soon` (k), which later pairs may be of, are read as well.
+        """
         spark, schema = self.texts.sparkSession, "k long, doc_id long, tokens array<long>"
         wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
         wanted = materialise(wanted.join(self.classes.select("k", "doc_id"), "k"), "wanted")
         new = wanted if self.known is None else materialise(wanted.join(self.known, "k", "left_anti"), "wanted-new")
         if fresh := new.count():
+            if soon is not None:
+                new = new.union(soon.join(self.classes.select("k", "doc_id"), "k")).distinct()
+                new = materialise(new if self.known is None else new.join(self.known, "k", "left_anti"), "wanted-new")
+                fresh = new.count()
             shared = spark.sparkContext.broadcast(_key_filter(new, fresh))
             found = materialise(self.texts.mapInArrow(_sets(self.words, shared), schema), "token-sets")
             self.scratch.append(found)
@@ -369,12 +410,12 @@ class Verifier:
         shared = spark.sparkContext.broadcast(_key_filter(wanted, wanted.count()))
         return self.sets.mapInArrow(_passing(shared), schema)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, soon: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) that link; pairs with na and nb have passed the test of sizes and bitmaps."""
         pairs = materialise(pairs if "na" in pairs.columns else self.plausible(pairs), "pairs")
         if pairs.isEmpty():
             return pairs.select("a", "b")
-        sets = self._sets_of(pairs)
+        sets = self._sets_of(pairs, soon)
         side = lambda x: sets.select(F.col("k").alias(x), F.col("tokens").alias(f"t{x}"))
         both = F.size(F.array_intersect("ta", "tb"))
         tested = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
@@ -418,6 +459,29 @@ def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
     return paired.union(hooked.select(F.least("k", "p"), F.greatest("k", "p"))).distinct()
 
 
+def _pivot_pairs(left: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """(a, b, na, nb), each once, of members of `left` (sig, k, n, map, lead, size, label) and those of about `pivots` pivots of each of their lists that they may link with.
+
+    Pivots are the same classes in every list. A list tests its members with its pivots of other
+    components, and what a class may link with is brought together over all its lists before any
+    pair is made. Members and pivots of a list meet in parts of about PART, told by hashes, so that
+    no row grows with a list.
+    """
+    held = F.collect_list(F.struct("k", "n", "label", "map"))
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "k"), F.ceil(n / PART))
+    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40)
+    members = left.groupBy("sig", deal(1, F.col("size")).alias("block")).agg(held.alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).drop("block")
+    chosen = left.filter(F.col("lead") & (draw * F.col("size") < pivots)).groupBy("sig", deal(2, F.lit(pivots)).alias("part"))
+    chosen = chosen.agg(held.alias("pivots"), F.min("label").alias("plo"), F.max("label").alias("phi"))
+    met = members.join(chosen, "sig").filter((F.least("lo", "plo") < F.greatest("hi", "phi"))).select("part", "members", "pivots")
+    near = met.mapInArrow(_near(percent), "k long, n long, part long, others array<struct<p: long, pn: long>>")
+    once = near.groupBy("k", "n", "part").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    pairs = once.select("k", "n", F.inline("others"))
+    first = F.col("k") < F.col("p")
+    sides = (F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb"))
+    return pairs.select(*sides).distinct()
+
+
 def link_classes(indexed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(k, label) of the classes that link with another class."""
     classes = indexed.filter("map IS NOT NULL").select("k", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "n", "map").dropDuplicates(["k"])
@@ -441,12 +505,7 @@ def link_classes(indexed: DataFrame, texts: DataFrame, words: int, percent: int)
             for table in (members, classes, *verifier.scratch):
                 release(table)
             return labels
-        draw = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40)
-        chosen = left.filter(F.col("lead") & (draw * F.col("size") < pivots)).select("sig", F.col("k").alias("p"), F.col("label").alias("plabel"), F.col("n").alias("pn"), F.col("map").alias("pmap"))
-        met = (F.col("label") != F.col("plabel")) & _may_link("n", "pn", "map", "pmap", percent)
-        first = F.col("k") < F.col("p")
-        sides = (F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb"))
-        found = verifier.links(left.join(chosen, "sig").filter(met).select(*sides).distinct())
+        found = verifier.links(_pivot_pairs(left, pivots, percent), left.select("k").distinct())
         if not found.isEmpty():
             # What was linked before is told by the labels: one edge a class.
             labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).union(found))

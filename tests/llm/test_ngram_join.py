@@ -136,3 +136,35 @@ def test_components_of_chains_and_stars(spark):
     found = {r.k: r.label for r in components(spark.createDataFrame(chain + star + [(7, 7)], "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and all(found[i] == 100 for i in range(100, 160))
     assert len(list(combinations(range(3), 2))) == 3
+
+
+def test_pairs_of_many_lists_are_made_once(spark):
+    """Lists of the same members: what the joins hand on grows neither with pairs nor with lists' pairs."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64)) for _ in range(2)]
+    sets = [np.unique(np.concatenate([rng.permutation(sets[i % 2])[:95], rng.integers(0, 1 << 63, 2).astype(np.uint64)])) for i in range(80)]
+    maps = [ngram_join.bitmap(s) for s in sets]
+    rows = [(sig, k, len(s), m.tolist(), k % 3 != 0, 80, k // 4) for sig in range(6) for k, (s, m) in enumerate(zip(sets, maps, strict=True))]
+    left = spark.createDataFrame(rows, "sig long, k long, n long, map array<long>, lead boolean, size long, label long")
+
+    def near(a, b):
+        apart = int(np.bitwise_count((maps[a] ^ maps[b]).view(np.uint64)).sum())
+        return apart * 185 <= (len(sets[a]) + len(sets[b])) * 15
+
+    wanted = sorted((a, b, len(sets[a]), len(sets[b])) for a, b in combinations(range(80), 2) if a // 4 != b // 4 and (a % 3 or b % 3) and near(a, b))
+    pairs = ngram_join._pivot_pairs(left, 80, 85)
+    assert wanted and sorted(tuple(r) for r in pairs.collect()) == wanted
+    made = []
+
+    def walk(node):
+        if any(x in node.nodeName() for x in ("Join", "Generate", "Arrow")) and node.metrics().contains("numOutputRows"):
+            made.append(node.metrics().apply("numOutputRows").value())
+        parts = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        children = node.children()
+        for x in [*parts, *(children.apply(i) for i in range(children.size()))]:
+            walk(x)
+
+    plan = pairs._jdf.queryExecution().executedPlan()
+    pairs._jdf.queryExecution().toRdd().count()
+    walk(plan)
+    assert made and max(made) <= 2 * len(wanted)
