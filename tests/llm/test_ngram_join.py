@@ -138,7 +138,8 @@ def test_components_of_chains_and_stars(spark):
     assert len(list(combinations(range(3), 2))) == 3
 
 
-def test_pairs_of_many_lists_are_made_once(spark):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_of_many_lists_are_made_once(spark, percent):
     """Lists of the same members: what the joins hand on grows neither with pairs nor with lists' pairs."""
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64)) for _ in range(2)]
@@ -149,10 +150,10 @@ def test_pairs_of_many_lists_are_made_once(spark):
 
     def near(a, b):
         apart = int(np.bitwise_count((maps[a] ^ maps[b]).view(np.uint64)).sum())
-        return apart * 185 <= (len(sets[a]) + len(sets[b])) * 15
+        return apart * (100 + percent) <= (len(sets[a]) + len(sets[b])) * (100 - percent)
 
     wanted = sorted((a, b, len(sets[a]), len(sets[b])) for a, b in combinations(range(80), 2) if a // 4 != b // 4 and (a % 3 or b % 3) and near(a, b))
-    pairs = ngram_join._pivot_pairs(left, 80, 85)
+    pairs = ngram_join._pivot_pairs(left, 80, percent)
     assert wanted and sorted(tuple(r) for r in pairs.collect()) == wanted
     made = []
 
