@@ -44,6 +44,7 @@ LEAST_FREQUENT = 8
 VERY_FREQUENT = 32  # times the frequency of a frequent token
 SEGMENTS = 1 << 10
 SEGMENT_BITS = 1 << 16
+MAPS = ("again", "two", "three")
 COUNTED_BELOW = int(0.4 * 2**64)  # hashes below it are counted exactly
 BITMAP_BITS = 2048
 FILTER_BITS = (16, 28)  # least and most, as powers of two; 16 bits a key between them
@@ -110,8 +111,8 @@ def _spell(words: int):
     return run
 
 
-def _mark_frequent(limits: tuple[int, int]):
-    """A segment's tokens counted, and those of each frequency class marked in bits."""
+def _mark_frequent(limits: tuple[int, int, int]):
+    """A segment's tokens counted, and those met as often as each limit marked in bits."""
 
     def close(segment: int, parts: list[bytes]):
         rest, n = np.unique(np.frombuffer(b"".join(parts), np.uint32), return_counts=True)
@@ -120,7 +121,7 @@ def _mark_frequent(limits: tuple[int, int]):
             bits = np.zeros(SEGMENT_BITS, bool)
             bits[_bit_at(rest[n >= limit])] = True
             maps.append(pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), *maps], ["segment", "two", "three"])
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), *maps], ["segment", *MAPS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
@@ -138,33 +139,43 @@ def _mark_frequent(limits: tuple[int, int]):
 
 
 class TokenClasses:
-    """Which tokens are frequent (class 2) and very frequent (3), as bitmaps of fixed size.
+    """Which tokens are frequent (class 2) and very frequent (3), and which were met more than once, as bitmaps of fixed size.
 
     A rare token may be taken for a frequent one, but always and in every set alike, so linked
-    sets still agree on their signatures.
+    sets still agree on their signatures. A token met once may be taken for one met again, which
+    costs a key that nothing shares.
     """
 
-    def __init__(self, two: np.ndarray, three: np.ndarray):
-        self.two, self.three = two, three
+    def __init__(self, again: np.ndarray, two: np.ndarray, three: np.ndarray):
+        self.again, self.two, self.three = again, two, three
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _place(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         segment, rest = _token_slots(tokens)
         at = segment * SEGMENT_BITS + _bit_at(rest)
-        byte, bit = at >> 3, (at & 7).astype(np.uint8)
+        return at >> 3, (at & 7).astype(np.uint8)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        byte, bit = self._place(tokens)
         return (1 + (self.two[byte] >> bit & 1) + (self.three[byte] >> bit & 1)).astype(np.uint8)
 
+    def met(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether more than one set may hold each token; only low hashes are counted whole."""
+        byte, bit = self._place(tokens)
+        return (tokens >= np.uint64(COUNTED_BELOW)) | (self.again[byte] >> bit & 1).astype(bool)
+
 
 def token_classes(texts: DataFrame, words: int, least: int | None = None) -> TokenClasses:
-    """Count the tokens of all texts and mark the frequent ones; SEGMENTS x SEGMENT_BITS bits a class."""
+    """Count the tokens of all texts and mark the frequent and the repeated ones; SEGMENTS x SEGMENT_BITS bits a map."""
     spark = texts.sparkSession
     least = least or LEAST_FREQUENT
     parts = min(SEGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spelled = texts.mapInArrow(_spell(words), "segment long, tokens binary").repartition(parts, "segment").sortWithinPartitions("segment")
-    maps = [np.zeros(SEGMENTS * SEGMENT_BITS // 8, np.uint8) for _ in range(2)]
+    maps = [np.zeros(SEGMENTS * SEGMENT_BITS // 8, np.uint8) for _ in MAPS]
     size = SEGMENT_BITS // 8
-    for row in spelled.mapInArrow(_mark_frequent((least, least * VERY_FREQUENT)), "segment long, two binary, three binary").collect():
-        for held, bits in zip(maps, (row["two"], row["three"]), strict=True):
-            held[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(bits, np.uint8)
+    for row in spelled.mapInArrow(_mark_frequent((2, least, least * VERY_FREQUENT)), f"segment long, {', '.join(f'{m} binary' for m in MAPS)}").collect():
+        for held, name in zip(maps, MAPS, strict=True):
+            held[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row[name], np.uint8)
     tidy(spark)
     return TokenClasses(*maps)
 
@@ -213,18 +224,20 @@ def _combined(rare: np.ndarray, rest: np.ndarray, mixed: np.ndarray, kinds: list
     return out
 
 
-def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int = PERCENT, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a sorted token set: rare tokens, combinations it is indexed by, and ones it probes with.
 
     `classes` gives how many tokens of its kind a combination needs. Of two sets linked at
-    `percent`, either both have a rare key, or the larger probes with a key of the smaller.
+    `percent`, either both have a rare key, or the larger probes with a key of the smaller. Rare
+    tokens that no other set holds (not `met`) fill the prefix like others, but are no keys.
     """
     n, none = len(tokens), np.zeros(0, np.uint64)
     most, short = missing(n, percent) + 1, missing(n, percent, n) + 1
     common = classes > 1
     rare = tokens[~common]
+    shared = rare if met is None else rare[met[~common]]
     if len(rare) >= most:
-        return mix64(rare[:most]), none, none
+        return mix64(shared[shared <= rare[most - 1]]), none, none
     rest, kinds = tokens[common], classes[common]
     order = np.lexsort((rest, kinds))
     rest, kinds = rest[order], kinds[order].tolist()
@@ -236,7 +249,7 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int = PERCENT)
         if len(rare) < need:
             probe += _combined(rare, rest, mixed, kinds, bucket, need, percent)
     join = lambda x: np.unique(np.concatenate(x)) if x else none
-    return mix64(rare), join(index), join(probe)
+    return mix64(shared), join(index), join(probe)
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -258,7 +271,10 @@ def _index(words: int, percent: int, shared):
                 new = key is not None and key not in seen
                 seen.add(key)
                 maps.append(bitmap(tokens) if new else None)
-                for held, found in zip(sigs, signatures(tokens, classes.of(tokens), percent) if new else (None, None, None), strict=True):
+                rare, leading, probing = signatures(tokens, classes.of(tokens), percent, classes.met(tokens)) if new else (None, None, None)
+                if new and len(leading):  # a set probes with the keys it is indexed by as well: they are handed on once
+                    probing = np.setdiff1d(probing, leading, assume_unique=True)
+                for held, found in zip(sigs, (rare, leading, probing), strict=True):
                     held.append(found.view(np.int64) if new else None)
             longs = pa.list_(pa.int64())
             columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(x, longs) for x in (maps, *sigs))]
@@ -330,6 +346,14 @@ def _passing(shared):
     return run
 
 
+def _of_keys(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(k, n, map) of the classes of `rows` (k) and of few others: bitmaps are long, and a join would shuffle all of them."""
+    wanted = rows.select("k", F.lit(NO_ID).alias("doc_id")).distinct()
+    shared = classes.sparkSession.sparkContext.broadcast(_key_filter(wanted, wanted.count()))
+    every = classes.select("k", F.lit(NO_ID).alias("doc_id"), "n", "map")
+    return every.mapInArrow(_passing(shared), "k long, doc_id long, n long, map array<long>").select("k", "n", "map")
+
+
 def _may_link(na: str, nb: str, mapa: str, mapb: str, percent: int) -> Column:
     """Whether sizes and bitmaps of two sets allow a link."""
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.get(mapa, F.lit(i)).bitwiseXOR(F.get(mapb, F.lit(i)))) for i in range(BITMAP_BITS // 64)))
@@ -431,21 +455,16 @@ def _signature_lists(indexed: DataFrame) -> DataFrame:
 
     least is the list's smallest class that leads, and size its number of classes.
     """
-    # Rare tokens have short lists; those of combinations may be long, so they are aggregated
-    # before the shuffle and joined back, which lets skewed ones be split.
-    own = Window.partitionBy("sig")
-    rare = indexed.select(F.explode("rare").alias("sig"), "k", "n")
-    short = rare.select("sig", "k", "n", F.min("k").over(own).alias("least"), F.max("k").over(own).alias("most")).filter("least <> most").select("sig", "k", "n", F.lit(True).alias("lead"))
-    both = [indexed.select(F.explode(c).alias("sig"), "k", "n", F.lit(c == "leading").alias("lead")) for c in ("leading", "probing")]
-    combined = both[0].union(both[1])
-    useful = combined.groupBy("sig").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.bool_or("lead").alias("led")).filter("least <> most AND led")
-    long = combined.join(useful.select("sig"), "sig")
-    every = materialise(short.union(long).groupBy("sig", "k", "n").agg(F.bool_or("lead").alias("lead")), "postings")
+    # A sorted task of one shuffle counts and marks each list; a list's rows spill where they are many.
+    own, lead = Window.partitionBy("sig"), F.when(F.col("lead"), F.col("k"))
+    keys = [indexed.select(F.explode(c).alias("sig"), "k", "n", F.lit(c != "probing").alias("lead")) for c in ("rare", "leading", "probing")]
+    useful = reduce(DataFrame.union, keys).select("*", F.min("k").over(own).alias("low"), F.max("k").over(own).alias("high"), F.min(lead).over(own).alias("least"))
+    useful = useful.filter("low <> high AND least IS NOT NULL").groupBy("sig", "k", "n").agg(F.bool_or("lead").alias("lead"), F.first("low").alias("low"), F.first("least").alias("least"))
+    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "k", "lead")).over(own)
+    every = materialise(useful.select("*", F.count(F.lit(1)).over(own).alias("size"), mark(1).alias("x"), mark(2).alias("y")), "postings")
     # Of lists with the same members one is enough.
-    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "k", "lead"))
-    prints = every.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), mark(1).alias("x"), mark(2).alias("y"), F.min(F.when(F.col("lead"), F.col("k"))).alias("least"))
-    chosen = prints.groupBy("size", "x", "y").agg(F.min("sig").alias("sig"), F.min("least").alias("least"))
-    members = materialise(every.join(chosen.select("sig", "size", "least"), "sig"), "lists")
+    chosen = every.filter("k = low").groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    members = materialise(every.join(chosen, "sig", "left_semi").select("sig", "k", "n", "lead", "size", "least"), "lists")
     release(every)
     return members
 
@@ -495,9 +514,8 @@ def link_classes(indexed: DataFrame, texts: DataFrame, words: int, percent: int)
     every = members.filter(F.col("size") > LONG).select("sig", "k", "lead", "size")
     pivots = PIVOTS
     while True:
-        # Components are told of classes, of which there are fewer than of memberships.
-        named = classes.join(labels, "k", "left").select("k", "n", "map", F.coalesce("label", "k").alias("label"))
-        every = materialise(every.join(named, "k"), "long-lists")
+        named = every.join(labels, "k", "left").select("sig", "k", "lead", "size", F.coalesce("label", "k").alias("label"))
+        every = materialise(named, "long-lists")
         open_lists = every.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
         left = materialise(every.join(open_lists, "sig", "left_semi"), "open-lists")
         release(every)
@@ -505,7 +523,7 @@ def link_classes(indexed: DataFrame, texts: DataFrame, words: int, percent: int)
             for table in (members, classes, *verifier.scratch):
                 release(table)
             return labels
-        found = verifier.links(_pivot_pairs(left, pivots, percent), left.select("k").distinct())
+        found = verifier.links(_pivot_pairs(left.join(_of_keys(classes, left), "k"), pivots, percent), left.select("k").distinct())
         if not found.isEmpty():
             # What was linked before is told by the labels: one edge a class.
             labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).union(found))

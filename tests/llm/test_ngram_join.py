@@ -120,6 +120,25 @@ def test_token_classes_follow_counts(make_docs):
             assert found.of(tokens)[0] == least
 
 
+def test_tokens_met_once_are_no_keys(make_docs):
+    """Lists of one member are not shuffled: of texts that share nothing, no key is left that was counted."""
+    from snapframe.llm.common import shingle_sets, utf8
+
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(90)) + (" a b c d e f g h" if i < 2 else "")) for i in range(60)]
+    docs = make_docs(*rows).repartition(7)
+    found = ngram_join.token_classes(docs.select("text"), 4)
+    import pyarrow as pa
+
+    sets = list(shingle_sets(*utf8(pa.array([t for _, t in rows])), 4))
+    both = np.intersect1d(sets[0], sets[1])
+    assert len(both) == 5 and found.met(both).all()
+    for tokens in sets[2:]:
+        rare, _, _ = ngram_join.signatures(tokens, found.of(tokens), 85, found.met(tokens))
+        assert len(rare) <= 1  # a bit that another token has set lets one by now and then
+        every, _, _ = ngram_join.signatures(tokens, found.of(tokens), 85)
+        assert len(every) == ngram_join.missing(len(tokens), 85) + 1
+
+
 def test_keep_first_and_empty(make_docs):
     docs = make_docs((2, "a b c d e f"), (1, "A b c d e f"), (3, None), (4, None), (5, "other words stand here now"))
     kept = ngram_join.keep_first(docs, 5, 80)
