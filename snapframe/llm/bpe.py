@@ -12,7 +12,10 @@ the raw text before that, so no cut is made inside one. Chunks whose spans do no
 REACH pre-tokens, or overlap, are joined and encoded as one.
 
 This holds for any tokenizer whose pre-tokenizer scans forward, with white space in its tokens or
-without. Whole texts are encoded, and each document's ids are exactly those of the library.
+without. Where the pre-tokenizer drops white space, and the normalizer does not look across it, a
+cut is moved on to the next white space of its text and needs no repair: a new chunk's ids are
+those of its words, of which each that a bounded store does not hold is encoded by the library,
+all of a block in one call. Whole texts are encoded, and each document's ids are exactly those of the library.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapframe.llm.common import _byte_values, _power_tables, blocks, mix64
+from snapframe.llm.common import _IS_BREAK, _byte_values, _power_tables, blocks, mix64
 
 WINDOW_BYTES = 16
 CHUNK_BITS = 10
@@ -40,6 +43,10 @@ STORE_BYTES = 24 << 20
 TOKENIZER_BYTES = 32 << 20
 FIRST_REACH = 2
 REACH = 4
+WORDS_HELD = 200_000
+LONGEST_HELD = 64  # bytes of a word that is held
+# The pattern by which the word tokenizer cuts texts, a fixed value of its format: no match holds white space.
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Chunk(NamedTuple):
@@ -263,11 +270,89 @@ def _linked(parts: list[bytes], known: dict[bytes, Chunk], joins: dict[tuple[byt
     return ids.tolist()
 
 
+def drops_space(spec: str) -> bool:
+    """Whether the file's tokenizer encodes a text's words between ASCII white space each by itself."""
+    held = json.loads(spec)
+    flat = lambda part, inner: part[inner] if part and part["type"] == "Sequence" else [part] if part else []
+    plain = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+    split = {"type": "Split", "pattern": {"Regex": WORD_LEVEL}, "behavior": "Removed", "invert": True}
+    first, *later = flat(held.get("pre_tokenizer"), "pretokenizers") or [None]
+    steps = all(x["type"] == "ByteLevel" and not x.get("add_prefix_space", True) and not x.get("use_regex", True) for x in later)
+    added = all(not any(t.get(k) for k in ("normalized", "lstrip", "rstrip", "single_word")) and not any(c.isspace() for c in t["content"]) for t in held.get("added_tokens", []))
+    return held["model"].get("type") == "BPE" and not held["model"].get("dropout") and first == split and steps and added and all(x in plain for x in flat(held.get("normalizer"), "normalizers"))
+
+
+class WordStore:
+    """Ids, as native unsigned ints in bytes, of words; two generations bound what is held."""
+
+    def __init__(self, tokenizer, held: int = WORDS_HELD):
+        self.tokenizer, self.held = tokenizer, held
+        self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, chunks: list[bytes]) -> list[array]:
+        """Ids of each chunk; chunks begin and end at white space."""
+        words = [chunk.split() for chunk in chunks]  # bytes are split at ASCII white space only
+        if len(self.ids) >= self.held:
+            self.old, self.ids = self.ids, {}
+        unknown = []
+        for word in set().union(*words) - self.ids.keys():
+            if (ids := self.old.get(word)) is None:
+                unknown.append(word)
+            else:
+                self.ids[word] = ids
+        if unknown:
+            found = self.tokenizer.encode([w.decode() for w in unknown], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "I")
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(unknown)), "right").tolist()
+            for word, start, end in zip(unknown, [0, *ends[:-1]], ends, strict=True):
+                self.ids[word] = ids[start:end].tobytes()
+        out = [array("I", b"".join(map(self.ids.__getitem__, own))) for own in words]
+        for word in unknown:
+            if len(word) > LONGEST_HELD:
+                del self.ids[word]
+        return out
+
+
+def _to_space(cuts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each cut moved to the next white space of its row; cuts that no white space follows are left out."""
+    spaces = np.append(np.flatnonzero(_IS_BREAK[data]), len(data))
+    moved = spaces[np.searchsorted(spaces, cuts, "left")]
+    end = offsets[np.searchsorted(offsets, cuts, "left")]
+    return np.unique(moved[moved < end])
+
+
+def encode_spaced(data: np.ndarray, offsets: np.ndarray, words: WordStore, store: ChunkStore) -> list[list[int]]:
+    """As encode_block(), for tokenizers that drop white space (`drops_space`)."""
+    raw = data.tobytes()
+    cuts = _to_space(cut_points(data, offsets), data, offsets)
+    texts: list[list[bytes]] = []
+    known: dict[bytes, array] = {}
+    fresh: dict[bytes, None] = {}
+    for r in range(len(offsets) - 1):
+        start, end = int(offsets[r]), int(offsets[r + 1])
+        bounds = _spread(start, end, cuts[np.searchsorted(cuts, start, "right") : np.searchsorted(cuts, end, "left")])
+        parts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+        for part in parts:
+            if part in known or part in fresh:
+                store.hits += 1
+            elif (held := store.get(part)) is not None:
+                known[part] = held.ids
+            else:
+                fresh[part] = None
+        texts.append(parts)
+    for part, ids in zip(fresh, words.encode(list(fresh)), strict=True):
+        known[part] = ids
+        if len(part) >= LEAST_CHUNK:
+            store.put(part, Chunk("", ids, [], []))
+    return [[i for part in parts for i in known[part]] for parts in texts]
+
+
 _loaded: dict[str, tuple] = {}
 
 
 def _worker(spec: str):
-    """This worker's tokenizer, decimal names of the ids and chunk store."""
+    """This worker's encoder of blocks, decoder of ids, decimal names of the ids and chunk store."""
     name = hashlib.sha256(spec.encode()).hexdigest()
     if name not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -276,7 +361,14 @@ def _worker(spec: str):
         tokenizer = Tokenizer.from_str(without_trimming(spec))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _loaded[name] = tokenizer, [str(i) for i in range(tokenizer.get_vocab_size())], ChunkStore()
+        size, store = tokenizer.get_vocab_size(), ChunkStore()
+        words = WordStore(tokenizer) if drops_space(spec) else None
+        encode = lambda data, offsets: encode_spaced(data, offsets, words, store) if words else encode_block(data, offsets, tokenizer, store)
+        # Without a decoder the library joins the tokens by spaces.
+        tokens = [tokenizer.id_to_token(i) for i in range(size)] if tokenizer.decoder is None else []
+        plain = bool(tokens) and None not in tokens
+        decode = lambda ids: " ".join([tokens[i] for i in ids]) if plain else tokenizer.decode(ids, skip_special_tokens=False)
+        _loaded[name] = encode, decode, [str(i) for i in range(size)], store
     return _loaded[name]
 
 
@@ -296,14 +388,14 @@ def read_tokenizer(path: str) -> str:
 
 def _coder(broadcast, digests: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, names, store = _worker(broadcast.value)
+        encode, decode, names, store = _worker(broadcast.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for first, data, offsets in blocks(batch.column(at)):
-                ids = encode_block(data, offsets, tokenizer, store)
+                ids = encode(data, offsets)
                 kept = [c.slice(first, len(ids)) for i, c in enumerate(batch.columns) if i != at]
                 counts = pa.array([len(x) for x in ids], pa.int64())
-                texts = [tokenizer.decode(x, skip_special_tokens=False) for x in ids]
+                texts = [decode(x) for x in ids]
                 more = {}
                 if digests:
                     more["ids_sha256"] = pa.array([hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in ids], pa.string())

@@ -89,6 +89,39 @@ def test_chunks_are_reused_and_bounded():
     assert small.held <= 2000
 
 
+def test_words_are_encoded_once_and_chunks_end_at_white_space(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "LEAST_CHUNK", 1)
+    monkeypatch.setattr(bpe.cut_points, "__defaults__", (4,))
+    spec = bpe.read_tokenizer(PATH)
+    assert bpe.drops_space(spec) and not bpe.drops_space(bpe.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_truncation()
+    rng = np.random.default_rng(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "it's", "'", "s", "  ", "\n\n ", "\t", "\x0b", "\x0c", "\x1c", "\x85", "123", "abc", "É", "e\u0301", "\u0301", "漢字", "🙂", "!!<|", "|>", "don't", " the", " x", "ΑΣ", "İ", "\u00a0", "\u3000", "\r\n", "\ufb01", "long" * 40]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 60)))) for _ in range(600)]
+
+    class Counting:
+        met: list[str] = []
+
+        def encode(self, words, **options):
+            self.met += words
+            return tokenizer.encode(words, **options)
+
+    for held in (10_000, 5):
+        words, store = bpe.WordStore(Counting(), held), bpe.ChunkStore()
+        Counting.met = []
+        for _, data, offsets in blocks(pa.array(texts), 4000):
+            raw = data.tobytes()
+            own = [raw[a:b].decode() for a, b in itertools.pairwise(offsets.tolist())]
+            for text, ids in zip(own, bpe.encode_spaced(data, offsets, words, store), strict=True):
+                assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+        short = [w for w in Counting.met if len(w.encode()) <= bpe.LONGEST_HELD]
+        assert held == 5 or len(short) == len(set(short))
+        assert store.hits and all(len(w) <= bpe.LONGEST_HELD for w in words.ids)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
